@@ -10,14 +10,22 @@ from . import common
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _longer(step: int):
-    """One doubling step: the name of a place, made of its own name and of the one `step` lines further."""
+def _longer(x: Column, y: Column) -> Column:
+    """The name of a place, made of its own name and of that of the place where it ends or overlaps."""
+    return F.struct(x["lo"].alias("lo"), y["hi"].alias("hi"), F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(1), x["b"], y["b"]).alias("b"))
 
-    def name(x: Column, i: Column) -> Column:
-        y = F.get("names", i + step)
-        return F.struct(x["lo"].alias("lo"), y["hi"].alias("hi"), F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(1), x["b"], y["b"]).alias("b"))
 
-    return name
+def _doubled(step: int):
+    def names(x: Column) -> Column:
+        n = F.greatest(F.size(x) - step, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(1 + step), n), _longer)
+
+    return names
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once for each row, however often the body's own lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def line_runs(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,8 +44,7 @@ def line_runs(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_co
     while length < min_run:
         step = min(length, min_run - length)  # names of k lines, k or fewer further: together k + step lines
 
-        pairs = F.transform(F.slice("names", F.lit(1), F.size("names") - step), _longer(step))
-        named = named.filter(F.size("names") > step).withColumn("names", pairs)
+        named = named.withColumn("names", _bound(F.col("names"), _doubled(step)))
         length += step
     places = named.select("doc_key", "text_key", F.explode("names").alias("n")).select("doc_key", "text_key", "n.lo", "n.hi", "n.a", "n.b")
     first = F.min(F.struct("doc_key", "text_key", "lo")).alias("first")
@@ -65,21 +72,20 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
     joined = whole.join(hits, ["doc_key", "text_key"], "left")
     own = F.col("row")[text_col].cast("string")
     # `hits` are sorted by both ends: what stays are the slices before the first, between neighbours and after the last
-    between = F.transform(
-        F.sequence(F.lit(0), F.size("hits")),
-        lambda i: F.slice(
-            "lines",
-            F.when(i > 0, F.get("hits", i - 1)["hi"] + 2).otherwise(1),
-            F.greatest(F.coalesce(F.get("hits", i)["lo"], F.size("lines")) - F.when(i > 0, F.get("hits", i - 1)["hi"] + 1).otherwise(0), F.lit(0)),
-        ),
-    )
-    joined = joined.withColumn("lines", F.split(own, "\n")).withColumn("stay", F.when(F.col("hits").isNotNull(), F.flatten(between)))
-    n_lines = F.coalesce(F.size("lines"), F.lit(0))
+    def between(lines: Column) -> Column:
+        def part(i: Column) -> Column:
+            past = F.when(i > 0, F.get("hits", i - 1)["hi"] + 1).otherwise(0)  # lines before the slice
+            return F.slice(lines, past + 1, F.greatest(F.coalesce(F.get("hits", i)["lo"], F.size(lines)) - past, F.lit(0)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("hits")), part))
+
+    joined = joined.withColumn("stay", F.when(F.col("hits").isNotNull(), _bound(F.split(own, "\n"), between)))
+    n_lines = F.when(own.isNull(), 0).otherwise(F.char_length(own) - F.char_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1)
     cleaned = F.when(F.col("stay").isNull(), own).otherwise(F.concat_ws("\n", "stay"))
-    removed = F.when(F.col("stay").isNull(), 0).otherwise(F.size("lines") - F.size("stay"))
+    removed = F.when(F.col("stay").isNull(), 0).otherwise(n_lines - F.size("stay"))
     return joined.select(
         *[(cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in kept],
-        F.when(own.isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        n_lines.cast("long").alias("n_lines"),
         removed.cast("long").alias("n_removed_lines"),
     )
 
