@@ -47,29 +47,61 @@ def _coder(path: str):
     return _loaded[path]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers as four planes of bytes, of which the high ones compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack(words: list[str], ids: list[bytes] | None = None) -> bytes:
     """Words, which may hold any character, with their ids if any, as one compressed block."""
     data = [w.encode() for w in words]
-    parts = [np.array([len(words)], "<u4").tobytes(), np.array([len(x) for x in data], "<u4").tobytes(), b"".join(data)]
+    text = b"".join(data)
+    parts = [np.array([len(words), len(text)], "<u4").tobytes(), _planes(np.array([len(x) for x in data])), text]
     if ids is not None:
-        parts += [np.array([len(x) // 4 for x in ids], "<u4").tobytes(), b"".join(ids)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        parts += [_planes(np.array([len(x) // 4 for x in ids])), _planes(np.frombuffer(b"".join(ids), "<u4"))]
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
-def _unpack(block: bytes, with_ids: bool) -> tuple[list[str], list[bytes]]:
+def _unpack(block: bytes) -> tuple[list[str], list[bytes]]:
     data = zstandard.ZstdDecompressor().decompress(block)
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    at = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)]) + 4 + 4 * n
-    words = [data[a:b].decode() for a, b in zip(at, at[1:])]
-    if not with_ids:
+    n, size = np.frombuffer(data, "<u4", 2).tolist()
+    at = np.concatenate([[0], np.cumsum(_numbers(data[8 : 8 + 4 * n]), dtype=np.int64)]) + 8 + 4 * n
+    words, end = [data[a:b].decode() for a, b in zip(at, at[1:])], 8 + 4 * n + size
+    if end == len(data):
         return words, []
-    start = int(at[-1])
-    at = np.concatenate([[0], 4 * np.cumsum(np.frombuffer(data, "<u4", n, start), dtype=np.int64)]) + start + 4 * n
-    return words, [data[a:b] for a, b in zip(at, at[1:])]
+    at = np.concatenate([[0], 4 * np.cumsum(_numbers(data[end : end + 4 * n]), dtype=np.int64)])
+    ids = _numbers(data[end + 4 * n :]).tobytes()
+    return words, [ids[a:b] for a, b in zip(at, at[1:])]
+
+
+class _Blocks:
+    """Numbers the blocks of one task's documents, alike in every pass over the same rows."""
+
+    def __init__(self, size: int):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        self.size, self.task, self.filled, self.number = size, context.partitionId() if context else 0, 0, 0
 
+    def cut(self, sizes: list[int]) -> Iterator[tuple[int, int, int]]:
+        """block, and the first and last row of a batch that belong to it."""
+        start = 0
+        for i, n in enumerate(sizes):
+            if self.filled and self.filled + n > self.size:
+                if i > start:
+                    yield self.task << 32 | self.number, start, i
+                start, self.filled, self.number = i, 0, self.number + 1
+            self.filled += n
+        if len(sizes) > start:
+            yield self.task << 32 | self.number, start, len(sizes)
 
-def _words_of_blocks(ranges: int):
-    """(block, text) -> the distinct pre-tokens of each block, one row for each word range."""
+
+def _words_of_blocks(ranges: int, block_bytes: int):
+    """(doc_id, text) -> the distinct pre-tokens of each block, one row for each word range."""
 
     def flush(block: int, words: set[str]) -> Iterator[pa.RecordBatch]:
         dealt: dict[int, list[str]] = {}
@@ -79,19 +111,16 @@ def _words_of_blocks(ranges: int):
             yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "block": pa.array([block], pa.int64()), "data": pa.array([_pack(own)], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, found, size = _pattern(), {}, 0
+        split, blocks, current, words = _pattern(), _Blocks(block_bytes), None, set()
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = found.setdefault(block, set())
-                before = len(own)
-                own.update(split(text))
-                size += len(own) - before
-                if size > 1_000_000:  # words held, over all blocks
-                    for b, words in found.items():
-                        yield from flush(b, words)
-                    found, size = {}, 0
-        for b, words in found.items():
-            yield from flush(b, words)
+            texts = batch.column(1).to_pylist()
+            for block, a, b in blocks.cut(list(map(len, texts))):
+                if block != current:
+                    yield from flush(current, words)
+                    current, words = block, set()
+                for text in texts[a:b]:
+                    words.update(split(text))
+        yield from flush(current, words)
 
     return run
 
@@ -107,7 +136,7 @@ def _encode_words(path: str):
             for r, block, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if r != current:
                     current, known = r, {}
-                words, _ = _unpack(data, False)
+                words, _ = _unpack(data)
                 ids = []
                 for w in words:
                     x = known.get(w)
@@ -119,34 +148,35 @@ def _encode_words(path: str):
     return run
 
 
-def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, doc_id, text) -> compressed pieces of each block's documents."""
-    for batch in batches:
-        order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-        batch = batch.take(pa.array(order))
-        blocks = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
-        for a, b in zip(cuts, cuts[1:]):
-            sink = pa.BufferOutputStream()
-            part = pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["doc_id", "text"])
-            with pa.ipc.new_stream(sink, part.schema) as writer:
-                writer.write_batch(part)
-            data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_pydict({"block": pa.array([int(blocks[a])], pa.int64()), "kind": pa.array([1], pa.int32()), "data": pa.array([data], pa.binary())})
+def _pack_documents(block_bytes: int):
+    """(doc_id, text) -> compressed pieces of each block's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(block_bytes)
+        for batch in batches:
+            for block, a, b in blocks.cut(list(map(len, batch.column(1).to_pylist()))):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(a, b - a)
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                data = zstandard.ZstdCompressor(level=6).compress(sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "kind": pa.array([1], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    return run
 
 
 def _encode_documents(path: str):
     """Rows of each block in order, its words first -> a digest row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, token_bytes = _coder(path)
+        encode, token_bytes = _coder(path)
         split, current, ids_of, bytes_of = _pattern(), None, {}, {}
         for batch in batches:
             for block, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if block != current:
                     current, ids_of, bytes_of = block, {}, {}
                 if kind == 0:
-                    words, ids = _unpack(data, True)
+                    words, ids = _unpack(data)
                     ids_of.update(zip(words, ids))
                     # decoding: the ids joined with the token-byte table
                     bytes_of.update((x, b"".join(map(token_bytes.__getitem__, np.frombuffer(x, "<u4").tolist()))) for x in ids if x not in bytes_of)
@@ -154,7 +184,14 @@ def _encode_documents(path: str):
                 part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
                 rows = ([], [], [])
                 for text in part.column(1).to_pylist():
-                    ids = list(map(ids_of.__getitem__, split(text)))  # by position
+                    words = split(text)
+                    try:
+                        ids = list(map(ids_of.__getitem__, words))  # by position
+                    except KeyError:  # a source that deals its rows anew each time: words that this block did not ask for
+                        for w in set(words) - ids_of.keys():
+                            x = ids_of[w] = np.array(encode(w), "<u4").tobytes()
+                            bytes_of[x] = b"".join(map(token_bytes.__getitem__, np.frombuffer(x, "<u4").tolist()))
+                        ids = list(map(ids_of.__getitem__, words))
                     joined = b"".join(ids)
                     rows[0].append(len(joined) // 4)
                     rows[1].append(hashlib.sha256(joined).hexdigest())
@@ -167,11 +204,11 @@ def _encode_documents(path: str):
 def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encode whole texts by a byte-level BPE and decode the ids again: n_tokens and the digests of ids and bytes.
 
-    vocabulary: a name for public_tokenizers.path(), or a path, of a rank table. Documents belong to blocks of about
-    `block_bytes` of text, by a hash of the id. Pre-tokens are exploded where documents are read; each task sends the
-    distinct ones of each block once, dealt by word, so a frequent word costs no more than a rare one. Where a word
-    arrives it is encoded once for the whole corpus, and its ids go back to the blocks that asked. Every block then meets
-    its documents: ids are put together by position, and decoded through the token-byte table.
+    vocabulary: a name for public_tokenizers.path(), or a path, of a rank table. Each task's documents form blocks of
+    about `block_bytes` of text. Pre-tokens are exploded where documents are read; the distinct ones of each block
+    are sent once, dealt by word, so a frequent word costs no more than a rare one. Where a word arrives it is encoded
+    once for the whole corpus, and its ids go back to the blocks that asked. Every block then meets its documents: ids are
+    put together by position, and decoded through the token-byte table.
 
     A missing text counts as empty: 0 tokens and the digest of nothing. Ids may be missing or repeat; each row is encoded
     by itself. An empty table gives an empty result. Other columns are not read. A task holds one block's distinct words,
@@ -180,12 +217,12 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoke
     path = public_tokenizers.path(vocabulary) if os.sep not in vocabulary else vocabulary
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    blocks, ranges = max(1, size // block_bytes), max(12, size // block_bytes)
-    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    asked = rows.select("block", "text").mapInArrow(_words_of_blocks(ranges), "range int, block long, data binary")
-    answers = asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_encode_words(path), "block long, kind int, data binary")
-    packed = rows.mapInArrow(_pack_documents, "block long, kind int, data binary")
-    met = answers.unionByName(packed).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    parts = max(12, size // block_bytes)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    asked = rows.mapInArrow(_words_of_blocks(parts, block_bytes), "range int, block long, data binary")
+    answers = asked.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_encode_words(path), "block long, kind int, data binary")
+    packed = rows.mapInArrow(_pack_documents(block_bytes), "block long, kind int, data binary")
+    met = answers.unionByName(packed).repartition(parts, "block").sortWithinPartitions("block", "kind")
     return met.mapInArrow(_encode_documents(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

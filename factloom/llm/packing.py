@@ -18,7 +18,8 @@ from . import common
 #: Tokens of one unit of length; lengths are rounded up to units for the linear program, so a sequence of 4,096 tokens has 256.
 UNIT = 16
 _SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]+)?")
-_CACHE_SIZE = 400_000
+#: Pieces, and letter runs of pieces, that one worker keeps encoded.
+_CACHE_SIZE, _PARTS_SIZE = 300_000, 1_000_000
 _coders: dict[str, WordCoder] = {}
 
 
@@ -35,33 +36,42 @@ class WordCoder:
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, text: str) -> bytes:
-        if text.isascii():
-            text = text.lower()
-        found = self.parts.get(text)
-        if found is None:
-            found = self.parts[text] = self.raw(text)
-        return found
-
-    def piece(self, data: bytes) -> bytes:
-        text = data.decode()
-        simple = _SIMPLE.fullmatch(text)
-        return b"".join(self.part(x) for x in simple.groups() if x) if simple else self.raw(text)
+    def together(self, parts: list[str]) -> dict[str, bytes]:
+        """Parts without white space, encoded in one call with line ends between them."""
+        encoded = self.tokenizer.encode("\n".join(parts), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4")
+        starts = np.cumsum([0, *(len(x) + 1 for x in parts)])
+        cuts = np.searchsorted(np.array([a for a, _ in encoded.offsets], np.int64), starts)
+        return {x: ids[a:b].tobytes() for x, a, b in zip(parts, cuts, cuts[1:])}
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Unknown pieces: letters and punctuation after them are pre-tokens of their own, and kept by themselves."""
+        split, unknown = {}, {}
+        for p in pieces:
+            text = p.decode()
+            simple = _SIMPLE.fullmatch(text)
+            parts = [x.lower() if x.isascii() else x for x in simple.groups() if x] if simple else [text]
+            split[p] = parts
+            unknown.update((x, None) for x in parts if x not in self.parts)
+        plain = [x for x in unknown if "<|" not in x]
+        new = self.together(plain) if plain else {}
+        new.update((x, self.raw(x)) for x in unknown if "<|" in x)
+        parts, cache = self.parts, self.cache
+        out = {p: b"".join(new[x] if x in new else parts[x] for x in own) for p, own in split.items()}
+        if len(parts) < _PARTS_SIZE:
+            parts.update(new)
+        if len(cache) < _CACHE_SIZE:
+            cache.update(out)
+        return out
 
     def ids(self, text: str) -> bytes:
         pieces = text.encode().split()
-        if len(self.cache) > _CACHE_SIZE:
-            self.cache.clear()
-        if len(self.parts) > _CACHE_SIZE:
-            self.parts.clear()
         cache = self.cache
         try:
             return b"".join(map(cache.__getitem__, pieces))
         except KeyError:
-            for p in pieces:
-                if p not in cache:
-                    cache[p] = self.piece(p)
-            return b"".join(map(cache.__getitem__, pieces))
+            new = self.learn({p for p in pieces if p not in cache})
+            return b"".join([cache[p] if p in cache else new[p] for p in pieces])
 
 
 def _pieces(path: str, length: int, end: int):

@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,8 +21,9 @@ OVERLAP = 512
 #: White space by any library's definition, or something that may be: only a run of other characters counts as a word.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\u180e\u200b\ufeff]|[ \n]{2}")
 _STABLE = re.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e\u200b\ufeff])(?=[ \n])")
-_SIMPLE = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?]+)")
-_CACHE_SIZE = 400_000
+_SIMPLE = re.compile(r"([ \n][^\W\d_]+)([.,;:!?]+)?")
+#: Pieces, and letter runs of pieces, that one worker keeps counted.
+_CACHE_SIZE, _PARTS_SIZE = 300_000, 1_000_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -33,47 +35,53 @@ class Counter:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.parts = Tokenizer.from_file(path), {}, {}
 
     def raw(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, key: str) -> int:
-        """Of a piece with the blank before it: "\\nword" after a line end, else " word"."""
-        text = key if key[0] == "\n" else " " + key
-        simple = _SIMPLE.fullmatch(text)
-        if simple:  # letters, then punctuation: two pre-tokens
-            return sum(self.known(x) for x in simple.groups())
-        return self.raw(text)
-
-    def known(self, part: str) -> int:
-        n = self.cache.get("\0" + part)
-        if n is None:
-            n = self.cache["\0" + part] = self.raw(part)
-        return n
+    def together(self, parts: list[str]) -> dict[str, int]:
+        """Parts that begin with a blank and hold no other, counted in one call: what stands before a blank ends there."""
+        encoded = self.tokenizer.encode("".join(parts), add_special_tokens=False)
+        starts = np.cumsum([0, *map(len, parts)])
+        cuts = np.searchsorted(np.array([a for a, _ in encoded.offsets], np.int64), starts)
+        return dict(zip(parts, np.diff(cuts).tolist()))
+
+    def learn(self, pieces: set[str]) -> dict[str, int]:
+        """Unknown pieces: a word after its blank and punctuation behind it are pre-tokens, and kept by themselves."""
+        split, unknown = {}, {}
+        for p in pieces:
+            text = p if p[0] == "\n" else " " + p
+            simple = _SIMPLE.fullmatch(text)
+            split[p] = [x for x in simple.groups() if x] if simple else [text]
+            unknown.update((x, None) for x in split[p] if x not in self.parts)
+        plain = [x for x in unknown if x[0] in " \n" and "<|" not in x]
+        new = self.together(plain) if plain else {}
+        new.update((x, self.raw(x)) for x in unknown if x not in new)
+        out = {p: sum(new[x] if x in new else self.parts[x] for x in own) for p, own in split.items()}
+        if len(self.parts) < _PARTS_SIZE:
+            self.parts.update(new)
+        if len(self.cache) < _CACHE_SIZE:
+            self.cache.update(out)
+        return out
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if _ODD.search(text) or "\0" in text:
+        if _ODD.search(text):
             cuts = [0, *(m.start() for m in _STABLE.finditer(text)), len(text)]
-            return sum(self.known(text[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a) if len(cuts) > 2 else self.raw(text)
-        if len(self.cache) > _CACHE_SIZE:
-            self.cache.clear()
+            return sum(self.raw(text[a:b]) for a, b in zip(cuts, cuts[1:])) if len(cuts) > 2 and len(text) > 2000 else self.raw(text)
         first, *pieces = text.replace("\n", " \n").split(" ")
-        cache = self.cache
         if not pieces:
             return self.raw(text)
-        total = self.raw(first) if first else 0
+        total, cache = self.raw(first) if first else 0, self.cache
         if pieces[-1] == "":  # the text ends with a blank
             total, pieces = total + self.raw(" "), pieces[:-1]
         try:
             return total + sum(map(cache.__getitem__, pieces))
         except KeyError:
-            for p in pieces:
-                if p not in cache:
-                    cache[p] = self.piece(p)
-            return total + sum(map(cache.__getitem__, pieces))
+            new = self.learn({p for p in pieces if p not in cache})
+            return total + sum([cache[p] if p in cache else new[p] for p in pieces])
 
 
 def counter(path: str) -> Counter:
