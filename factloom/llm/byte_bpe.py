@@ -188,7 +188,7 @@ def _encode_documents(path: str):
                     try:
                         ids = list(map(ids_of.__getitem__, words))  # by position
                     except KeyError:  # a source that deals its rows anew each time: words that this block did not ask for
-                        for w in set(words) - ids_of.keys():
+                        for w in {w for w in words if w not in ids_of}:
                             x = ids_of[w] = np.array(encode(w), "<u4").tobytes()
                             bytes_of[x] = b"".join(map(token_bytes.__getitem__, np.frombuffer(x, "<u4").tolist()))
                         ids = list(map(ids_of.__getitem__, words))
@@ -222,7 +222,8 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoke
     asked = rows.mapInArrow(_words_of_blocks(parts, block_bytes), "range int, block long, data binary")
     answers = asked.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_encode_words(path), "block long, kind int, data binary")
     packed = rows.mapInArrow(_pack_documents(block_bytes), "block long, kind int, data binary")
-    met = answers.unionByName(packed).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    # documents come first, so that their tasks have the numbers that they had when words were asked for
+    met = packed.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block", "kind")
     return met.mapInArrow(_encode_documents(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
