@@ -1,0 +1 @@
+"""Reserved for the operators of this kind; see README."""

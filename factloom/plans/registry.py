@@ -1,4 +1,318 @@
-"""Every registered query of the fact-analysis operators and its SQL oracle."""
+"""Every registered query of the fact-analysis operators over the driver tables, and its SQL oracle.
+
+The driver tables stand in for program facts: consecutive suppliers of an order are edges, other keys give constraints
+by modulo. A shared SQL text defines these facts for both sides; the operators themselves are DataFrame code.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.operators import facts, graph, pointsto
+
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Run SQL in which the driver tables are named plainly."""
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
+    for t in used:
+        text = re.sub(rf"\b{t}\b", "{" + t + "}", text)
+    return spark.sql(text, **used)
+
+
+def edges_sql(quantity: int) -> str:
+    return f"""SELECT DISTINCT a AS src, b AS dst FROM (
+  SELECT l_suppkey AS a, LEAD(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS b,
+         l_linenumber AS n, l_returnflag AS f, l_quantity AS q FROM lineitem) t
+WHERE b IS NOT NULL AND a <> b AND n = 1 AND f = 'R' AND q >= {quantity}"""
+
+
+E49, E48, E50 = edges_sql(49), edges_sql(48), edges_sql(50)
+CLOSURE = "tc(src, dst) AS (SELECT src, dst FROM e UNION SELECT tc.src, e.dst FROM tc JOIN e ON e.src = tc.dst)"
+VERTS = "vs AS (SELECT src AS v FROM e UNION SELECT dst FROM e)"
+SCC = "s AS (SELECT v, least(v, coalesce((SELECT min(x.dst) FROM tc x JOIN tc y ON x.src = y.dst AND x.dst = y.src WHERE x.src = v), v)) AS component FROM vs)"
+COND = "c AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN s a ON a.v = e.src JOIN s b ON b.v = e.dst WHERE a.component <> b.component)"
+ENTRY = "SELECT min(src) AS v FROM e"
+DOM = f"""{CLOSURE}, en AS ({ENTRY}), live AS (SELECT v FROM en UNION SELECT dst FROM tc JOIN en ON src = v),
+r(d, v) AS (SELECT live.v, en.v FROM live, en WHERE live.v <> en.v UNION SELECT r.d, e.dst FROM r JOIN e ON e.src = r.v WHERE e.dst <> r.d),
+dom AS (SELECT d, v FROM (SELECT a.v AS d, b.v AS v FROM live a, live b) p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.d = p.d AND r.v = p.v))"""
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def plain(name: str, text: str, oracle: str | None = None) -> None:
+    """A query that is one SQL statement in both dialects."""
+    QUERIES[name], ORACLES[name] = (lambda spark, sf, t=text: sql(spark, sf, t)), oracle or text
+
+
+def with_e(edges: str, rest: str) -> str:
+    return f"WITH RECURSIVE e AS ({edges}), {rest}"
+
+
+@query("transitive_closure", with_e(E49, f"{CLOSURE} SELECT src, dst FROM tc"))
+def _closure(spark, sf):
+    return graph.transitive_closure(sql(spark, sf, E49))
+
+
+@query("reachable_from", with_e(E49, "r(v) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM r JOIN e ON e.src = r.v) SELECT v FROM r"))
+def _reachable(spark, sf):
+    e = sql(spark, sf, E49)
+    return graph.reachable(e, e.agg(F.min("src").alias("v")))
+
+
+@query("edge_inverse", f"WITH e AS ({E49}) SELECT dst AS src, src AS dst FROM e")
+def _inverse(spark, sf):
+    return graph.inverse(sql(spark, sf, E49))
+
+
+@query("symmetric_closure", f"WITH e AS ({E49}) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+def _symmetric(spark, sf):
+    return graph.symmetric_closure(sql(spark, sf, E49))
+
+
+@query("scc_label", with_e(E48, f"{CLOSURE}, {VERTS}, {SCC} SELECT v, component FROM s"))
+def _scc(spark, sf):
+    return graph.scc(sql(spark, sf, E48))
+
+
+@query("condensation", with_e(E48, f"{CLOSURE}, {VERTS}, {SCC}, {COND} SELECT src, dst FROM c"))
+def _condensation(spark, sf):
+    return graph.condensation(sql(spark, sf, E48))
+
+
+@query("connected_components", with_e(E50, f"{VERTS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(v, w) AS (SELECT v, v FROM vs UNION SELECT r.v, b.dst FROM r JOIN b ON b.src = r.w) SELECT v, min(w) AS component FROM r GROUP BY v"))
+def _components(spark, sf):
+    return graph.components(sql(spark, sf, E50))
+
+
+@query("topo_level", with_e(E48, f"{CLOSURE}, {VERTS}, {SCC}, {COND}, l(v, level) AS (SELECT DISTINCT component, 0 FROM s UNION SELECT c.src, l.level + 1 FROM l JOIN c ON c.dst = l.v) SELECT v, max(level) AS level FROM l GROUP BY v"))
+def _levels(spark, sf):
+    e = sql(spark, sf, E48)
+    labels = graph.scc(e)
+    return graph.levels(graph.condensation(e, labels), labels.select(F.col("component").alias("v")).distinct())
+
+
+@query("simple_paths", with_e(E49, f"{VERTS}, p(src, dst, path, n) AS (SELECT v, v, [v], 0 FROM vs UNION ALL SELECT p.src, e.dst, list_append(p.path, e.dst), n + 1 FROM p JOIN e ON e.src = p.dst WHERE n < 4 AND NOT list_contains(p.path, e.dst)) SELECT src, dst, array_to_string(path, '>') AS path, n FROM p WHERE n > 0"))
+def _paths(spark, sf):
+    e = sql(spark, sf, E49)
+    return graph.simple_paths(e, graph.vertices(e), 4)
+
+
+@query("dominators", with_e(E49, f"{DOM} SELECT d, v FROM dom"))
+def _dominators(spark, sf):
+    e = sql(spark, sf, E49)
+    return graph.dominators(e, e.agg(F.min("src").alias("v")))
+
+
+@query("back_edges", with_e(E48, f"{DOM} SELECT e.src, e.dst FROM e JOIN dom ON dom.d = e.dst AND dom.v = e.src"))
+def _back(spark, sf):
+    e = sql(spark, sf, E48)
+    return graph.back_edges(e, e.agg(F.min("src").alias("v"))).select("src", "dst")
+
+
+@query("join_points", f"WITH e AS ({E48}) SELECT dst AS v, count(DISTINCT src) AS n_preds FROM e GROUP BY dst HAVING count(DISTINCT src) > 1")
+def _joins(spark, sf):
+    return graph.join_points(sql(spark, sf, E48))
+
+
+CONSTRAINTS = {
+    "addr": "SELECT DISTINCT o_orderkey % 60 AS l, 60 + o_custkey % 40 AS o FROM orders WHERE o_totalprice > 400000",
+    "cp": "SELECT DISTINCT l_partkey % 100 AS r, l_suppkey % 60 AS l FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_linenumber = 1",
+    "gep": "SELECT DISTINCT l_orderkey % 60 AS r, l_partkey % 60 AS l, 1 + l_suppkey % 3 AS w FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0 AND l_linenumber = 2",
+    "st": "SELECT DISTINCT l_orderkey % 60 AS v, l_suppkey % 2 AS proj, l_partkey % 60 AS r FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0 AND l_linenumber = 3",
+    "ld": "SELECT DISTINCT l_partkey % 60 AS l, l_orderkey % 60 AS v, l_suppkey % 2 AS proj FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0.08 AND l_linenumber = 4",
+    "ends": "SELECT p_partkey - 1 AS i, CASE WHEN p_partkey - 1 < 60 THEN p_partkey - 1 ELSE p_partkey - 1 + 3 - (p_partkey - 1) % 4 END AS e FROM part WHERE p_partkey <= 100",
+}
+PTS = "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in CONSTRAINTS.items()) + """,
+f(k, x, y, one) USING KEY (k, x, y) AS (
+  SELECT 'p', l, o, 1 FROM addr UNION ALL SELECT 'c', r, l, 1 FROM cp
+  UNION
+  SELECT n.k, n.x, n.y, 1 FROM (
+    SELECT 'p' k, c.y x, p.y y FROM recurring.f c JOIN recurring.f p ON c.k = 'c' AND p.k = 'p' AND c.x = p.x
+    UNION SELECT 'p', g.l, p.y + g.w FROM gep g JOIN recurring.f p ON p.k = 'p' AND p.x = g.r JOIN ends e ON e.i = p.y AND p.y + g.w <= e.e
+    UNION SELECT 'c', p.y + ld.proj, ld.l FROM ld JOIN recurring.f p ON p.k = 'p' AND p.x = ld.v JOIN ends e ON e.i = p.y AND p.y + ld.proj <= e.e
+    UNION SELECT 'c', st.r, p.y + st.proj FROM st JOIN recurring.f p ON p.k = 'p' AND p.x = st.v JOIN ends e ON e.i = p.y AND p.y + st.proj <= e.e) n
+  WHERE EXISTS (SELECT 1 FROM f) AND NOT EXISTS (SELECT 1 FROM recurring.f o WHERE o.k = n.k AND o.x = n.x AND o.y = n.y)),
+pts AS (SELECT x AS loc, y AS obj FROM f WHERE k = 'p')"""
+TAKEN = "taken AS (SELECT DISTINCT unnest(range(obj, e + 1)) AS slot FROM pts JOIN ends ON i = obj)"
+WRITES = "SELECT DISTINCT l_orderkey % 30 AS fn, l_partkey % 60 AS loc, l_returnflag = 'R' AS deref, l_suppkey % 2 AS proj, 1 + l_linenumber % 2 AS len FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0.05"
+CALLS = "SELECT DISTINCT l_orderkey % 30 AS src, l_partkey % 30 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0.07 AND l_tax = 0.02"
+WSETS = f"""wr AS ({WRITES}), ws AS (
+  SELECT DISTINCT fn, slot FROM (
+    SELECT fn, unnest(range(loc + proj, loc + proj + len)) AS slot FROM wr WHERE NOT deref
+    UNION ALL SELECT fn, slot FROM (SELECT fn, e, unnest(range(obj + proj, obj + proj + len)) AS slot FROM wr JOIN pts ON pts.loc = wr.loc JOIN ends ON i = obj WHERE deref) x WHERE slot <= e) y
+  WHERE slot IN (SELECT slot FROM taken))"""
+
+
+def _constraints(spark, sf):
+    return {k: sql(spark, sf, v) for k, v in CONSTRAINTS.items()}
+
+
+def _pts(spark, sf):
+    c = _constraints(spark, sf)
+    return pointsto.points_to(c["addr"], c["cp"], c["gep"], c["st"], c["ld"], c["ends"]), c["ends"]
+
+
+@query("points_to", f"{PTS} SELECT loc, obj FROM pts")
+def _points_to(spark, sf):
+    return _pts(spark, sf)[0]
+
+
+@query("address_taken", f"{PTS}, {TAKEN} SELECT slot FROM taken")
+def _taken(spark, sf):
+    return pointsto.address_taken(*_pts(spark, sf))
+
+
+def _write_sets(spark, sf):
+    pts, ends = _pts(spark, sf)
+    return pointsto.write_sets(sql(spark, sf, WRITES), pts, ends, pointsto.address_taken(pts, ends))
+
+
+@query("write_sets", f"{PTS}, {TAKEN}, {WSETS} SELECT fn, slot FROM ws")
+def _writes(spark, sf):
+    return _write_sets(spark, sf)
+
+
+@query("call_writes", f"{PTS}, {TAKEN}, {WSETS}, e AS ({CALLS}), {CLOSURE}, fs AS (SELECT DISTINCT src AS fn, dst AS g FROM tc UNION SELECT fn, fn FROM ws) SELECT DISTINCT fs.fn, ws.slot FROM fs JOIN ws ON ws.fn = fs.g")
+def _call_writes(spark, sf):
+    own = _write_sets(spark, sf)
+    reach = graph.transitive_closure(sql(spark, sf, CALLS)).toDF("f", "fn").union(own.select("fn", "fn")).distinct()
+    return reach.join(own, "fn").select(F.col("f").alias("fn"), "slot").distinct()
+
+
+@query("indirect_calls", f"{PTS} SELECT DISTINCT loc AS site, obj AS callee FROM pts WHERE loc % 5 = 0 AND obj % 4 = 0")
+def _indirect(spark, sf):
+    pts, _ = _pts(spark, sf)
+    return pts.filter("loc % 5 = 0 and obj % 4 = 0").select(F.col("loc").alias("site"), F.col("obj").alias("callee")).distinct()
+
+
+KINDS = "SELECT DISTINCT l_orderkey % 30 AS fn, CASE WHEN l_linestatus = 'O' THEN 'union' ELSE 'deref' END AS kind FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0.01 AND l_discount = 0.09 AND l_linenumber = 1"
+FNS = "SELECT DISTINCT o_orderkey % 30 AS fn FROM orders"
+
+
+@query("unsafety_report", f"""WITH RECURSIVE e AS ({CALLS}), {CLOSURE}, k AS ({KINDS}), fns AS ({FNS}),
+r AS (SELECT src AS fn, dst FROM tc UNION SELECT fn, fn FROM fns),
+u AS (SELECT r.fn, bool_or(kind = 'union') AS un FROM r JOIN k ON k.fn = r.dst GROUP BY r.fn)
+SELECT count(*) AS total, count(u.fn) AS n_unsafe, count(*) FILTER (WHERE un) AS n_union, (count(*) FILTER (WHERE un))::DOUBLE / nullif(count(u.fn), 0) AS ratio FROM fns LEFT JOIN u ON u.fn = fns.fn""")
+def _unsafety(spark, sf):
+    return facts.unsafety(sql(spark, sf, FNS), sql(spark, sf, KINDS), sql(spark, sf, CALLS))
+
+
+@query("alloc_wrappers", f"""WITH RECURSIVE c AS ({CALLS}), cand AS (SELECT fn FROM ({FNS}) x WHERE fn % 3 <> 0),
+a(fn) AS (SELECT fn FROM cand WHERE fn % 7 = 1 UNION SELECT c.src FROM a JOIN c ON c.dst = a.fn WHERE c.src IN (SELECT fn FROM cand)) SELECT fn FROM a""")
+def _alloc(spark, sf):
+    candidates = sql(spark, sf, FNS).filter("fn % 3 <> 0")
+    return facts.allocators(candidates, candidates.filter("fn % 7 = 1"), sql(spark, sf, CALLS))
+
+
+@query("foreign_types", f"""WITH RECURSIVE c AS ({CALLS}), r(t) AS (SELECT DISTINCT src FROM c WHERE src % 10 = 3 UNION SELECT c.dst FROM r JOIN c ON c.src = r.t),
+m AS (SELECT src AS t FROM c UNION SELECT dst FROM c) SELECT t AS type, t IN (SELECT t FROM r) AS is_foreign FROM m""")
+def _foreign(spark, sf):
+    refs = sql(spark, sf, CALLS)
+    return facts.partition_types(refs, refs.filter("src % 10 = 3").select(F.col("src").alias("v")).distinct())
+
+
+FIELDS = "SELECT l_orderkey AS ty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS field, 1 + l_partkey % 4 AS len FROM lineitem"
+
+
+@query("layout_offsets", f"SELECT ty, field, len, CAST(coalesce(sum(len) OVER (PARTITION BY ty ORDER BY field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({FIELDS}) t")
+def _layout(spark, sf):
+    return facts.layout(sql(spark, sf, FIELDS).withColumn("field", F.col("field").cast("long")))
+
+
+plain("union_offset_ranges", f"SELECT ty, field, len, lead(field) OVER (PARTITION BY ty ORDER BY field) AS next_field FROM (SELECT ty, CAST(field AS BIGINT) AS field, len FROM ({FIELDS}) f) t WHERE len > 1")
+
+
+@query("absint_join", "SELECT l_suppkey AS k, CASE WHEN count(DISTINCT l_linenumber) <= 10 THEN array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') END AS vals, CASE WHEN count(DISTINCT l_partkey) <= 10 THEN array_to_string(list_sort(list(DISTINCT l_partkey)), ',') END AS parts FROM lineitem GROUP BY 1")
+def _absint(spark, sf):
+    rows = sql(spark, sf, "SELECT * FROM lineitem")
+    text = lambda c: F.concat_ws(",", c.cast("array<string>"))
+    out = rows.groupBy(F.col("l_suppkey").alias("k")).agg(facts.int_set(F.col("l_linenumber")).alias("a"), facts.int_set(F.col("l_partkey")).alias("b"))
+    return out.select("k", F.when(F.col("a").isNotNull(), text(F.col("a"))).alias("vals"), F.when(F.col("b").isNotNull(), text(F.col("b"))).alias("parts"))
+
+
+@query("absint_widen", """WITH s AS (SELECT o_custkey AS k, list_sort(list(DISTINCT extract(month FROM o_orderdate)) FILTER (WHERE o_orderstatus = 'F')) AS a, list_sort(list(DISTINCT extract(month FROM o_orderdate))) AS b FROM orders GROUP BY 1)
+SELECT k, CASE WHEN a IS NULL THEN array_to_string(b, ',') WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 THEN array_to_string(a, ',') END AS vals FROM s""")
+def _widen(spark, sf):
+    month = F.month("o_orderdate")
+    s = sql(spark, sf, "SELECT * FROM orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") == "F", month))).alias("a"), F.array_sort(F.collect_set(month)).alias("b"))
+    out = facts.widen(F.col("a"), F.col("b"))
+    return s.select("k", F.when(out.isNotNull(), F.concat_ws(",", out.cast("array<string>"))).alias("vals"))
+
+
+USES = "SELECT DISTINCT l_suppkey AS owner, CAST(l_linenumber AS BIGINT) AS field, l_returnflag AS variant, l_partkey AS tag FROM lineitem WHERE l_quantity >= 40"
+
+
+@query("fd_tag_discovery", f"""WITH u AS ({USES}), bad AS (SELECT DISTINCT owner, field FROM (SELECT owner, field, tag FROM u GROUP BY ALL HAVING count(DISTINCT variant) > 1) x),
+n AS (SELECT owner, field, count(DISTINCT variant) AS n_variants FROM u WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.owner = u.owner AND bad.field = u.field) GROUP BY 1, 2 HAVING count(DISTINCT variant) > 1)
+SELECT owner, field, n_variants FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY n_variants DESC, field) AS r FROM n) y WHERE r = 1""")
+def _tags(spark, sf):
+    return facts.discover_tags(sql(spark, sf, USES))
+
+
+SPANS = "SELECT o_custkey AS key, o_orderkey AS id, o_orderkey % 1000 AS lo, o_orderkey % 1000 + 1 + CAST(floor(o_totalprice) AS BIGINT) % 200 AS hi, o_orderstatus AS s FROM orders"
+
+
+@query("interval_overlap_join", f"WITH t AS ({SPANS}) SELECT a.key, a.id AS l_id, b.id AS r_id FROM t a JOIN t b ON a.key = b.key AND a.s = 'F' AND b.s = 'O' AND a.lo < b.hi AND b.lo < a.hi")
+def _overlap(spark, sf):
+    t = sql(spark, sf, SPANS)
+    return facts.overlaps(t.filter("s = 'F'"), t.filter("s = 'O'"), 100)
+
+
+plain("branch_tag_filter", """SELECT DISTINCT o_custkey AS path, o_orderpriority AS tagset FROM orders a WHERE o_orderstatus = 'F'
+AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderstatus = 'O')
+AND NOT EXISTS (SELECT 1 FROM orders c WHERE c.o_custkey = a.o_custkey AND c.o_orderpriority = a.o_orderpriority AND c.o_totalprice > 450000)""")
+
+ASSIGNS = "SELECT user_id AS key, event_id AS pos, event_type AS target FROM events"
+
+
+@query("assign_islands", f"""WITH t AS ({ASSIGNS}), m AS (SELECT *, CASE WHEN lag(target) OVER (PARTITION BY key ORDER BY pos) = target THEN 0 ELSE 1 END AS new FROM t),
+r AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT key, target, min(pos) AS first, count(*) AS n FROM r GROUP BY key, target, run HAVING count(*) > 1""")
+def _islands(spark, sf):
+    return facts.islands(sql(spark, sf, ASSIGNS))
+
+
+plain("candidate_filter", "SELECT p_partkey, p_name FROM part WHERE p_size > 10 AND p_type LIKE 'S%' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50)")
+
+
+@query("wrap_arith", "SELECT o_orderkey, ((o_orderkey * 37 + 128) % 256 + 256) % 256 - 128 AS i8, ((o_orderkey * 104729 + 32768) % 65536 + 65536) % 65536 - 32768 AS i16 FROM orders")
+def _wrap(spark, sf):
+    key = F.col("o_orderkey")
+    return sql(spark, sf, "SELECT o_orderkey FROM orders").select("o_orderkey", facts.wrap(key * 37, 8).alias("i8"), facts.wrap(key * 104729, 16).alias("i16"))
+
+
+@query("normalize_text", r"SELECT p_partkey, regexp_replace('(' || p_name || ' )', '[\s()]', '', 'g') AS norm FROM part")
+def _normalize(spark, sf):
+    return sql(spark, sf, "SELECT * FROM part").select("p_partkey", F.regexp_replace(F.concat(F.lit("("), "p_name", F.lit(" )")), r"[\s()]", "").alias("norm"))
+
+
+@query("codegen_listagg", "SELECT p_brand, string_agg(DISTINCT p_type, ' | ' ORDER BY p_type) AS pattern, count(DISTINCT p_type) = 1 AS single FROM part GROUP BY p_brand")
+def _listagg(spark, sf):
+    out = sql(spark, sf, "SELECT * FROM part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("t"))
+    return out.select("p_brand", F.array_join("t", " | ").alias("pattern"), (F.size("t") == 1).alias("single"))
+
+
+plain("statistics_sum", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS n_supp, CAST(sum(l_linenumber) AS BIGINT) AS lines, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem GROUP BY l_returnflag")
+
+
+@query("apply_edits", "SELECT CAST(c_custkey AS VARCHAR) AS path, '<' || substr(c_name, 3, 3) || '[' || c_mktsegment || ']' || substr(c_name, 9) AS content FROM customer")
+def _edits(spark, sf):
+    c = sql(spark, sf, "SELECT * FROM customer").withColumn("path", F.col("c_custkey").cast("string"))
+    edits = c.select("path", F.lit(0).alias("lo"), F.lit(2).alias("hi"), F.lit("<").alias("text")).union(c.select("path", F.lit(5), F.lit(8), F.concat(F.lit("["), "c_mktsegment", F.lit("]"))))
+    return facts.apply_edits(c.select("path", F.col("c_name").alias("content")), edits)
