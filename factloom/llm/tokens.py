@@ -145,7 +145,7 @@ def _huge(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         parts = parts.repartition(F.col("key"), F.col("k"))  # a huge document's chunks go to many tasks
         coded = parts.mapInArrow(encode(overlap), f"key string, k long, last boolean, head {spot}, tail {spot}, n long")
         by = Window.partitionBy("key").orderBy("k")
-        before = lambda side: F.element_at(F.filter(side, lambda x: x["pos"] == F.col("splice")), 1)["n"]
+        before = lambda side: F.get(F.filter(side, lambda x: x["pos"] == F.col("splice")), F.lit(0))["n"]
         shared = F.array_intersect(F.transform("tail", lambda x: x["pos"]), F.transform("next", lambda x: x["pos"]))
         linked = coded.withColumn("next", F.lead("head").over(by)).withColumn("splice", F.try_element_at(shared, F.lit(1)))
         # tokens of this chunk up to the splice, less those of the next chunk before it
