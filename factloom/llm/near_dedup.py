@@ -16,8 +16,8 @@ from . import common
 BUCKETS, MANTISSA = 256, 10
 #: Bands and registers of each: a pair of similarity 0.75 shares none of 40 bands with probability 2e-5.
 BANDS, ROWS = 40, 5
-#: Pairs of members of unlike components that a last round may compare, for each member that is left.
-LAST_ROUND = 8
+#: Buckets of at most so many members compare all of unlike components.
+FEW = 32
 #: New centres that a bucket gets at random in each round, beside one of its smallest and one of its largest component.
 CENTRES = 4
 _random = np.random.default_rng(20240607)
@@ -169,8 +169,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     vertices into buckets. Every bucket compares its members with one of them, its centre: pairs whose collision-corrected estimate is
     not clearly too low are verified on their full shingle sets, and links are contracted to components. As long as
     a bucket has members in several components, a few of them become new centres, until all members but centres are in
-    one component, or so few pairs of different components are left that all are compared. So nothing is capped, and a
-    bucket of n members costs a multiple of n pairs, not n * n.
+    one component, or at most FEW are left, of which all pairs of unlike components are compared. No pair is compared twice. So nothing is
+    capped, and a bucket of n members that belong together costs a multiple of n pairs, not n * n.
 
     A missing or empty text has no shingles: it is linked with nothing and kept. A missing id sorts before all others
     and comes back as missing. Rows that repeat an id are separate documents with the same component if they are
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         return common.store(full.mapInArrow(_verified(percent), "a long, b long"), f"links_{name}")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.filter("v <> centre").select(*ordered("v", "centre")).distinct()
+    pairs = tested = common.store(members.filter("v <> centre").select(*ordered("v", "centre")).distinct(), "pairs_0")
     labels = connect(links(pairs, "0"), "labels_0")
     open_ = members.filter("v <> centre").select("key", "v")  # members that were no centres yet
     step = 0
@@ -213,23 +213,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         centres = F.array(F.min(F.struct("c", spot(F.lit(0)).alias("s")))["s"], F.max(F.struct("c", spot(F.lit(0)).alias("s")))["s"], *by_hash)
         state = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size"), F.array_distinct(centres).alias("centres")).filter("low < high")
         placed = common.store(placed.join(state.select("key", "size", "centres"), "key"), f"open_{step}")
-        left, pairs_left = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        if not left:
+        if placed.isEmpty():
             break
-        last = pairs_left <= LAST_ROUND * left
-        if last:
-            other = placed.select("key", F.col("v").alias("w"), F.col("c").alias("d"))
-            pairs = placed.join(other, "key").filter("c < d").select(*ordered("v", "w"))
-        else:
-            pairs = placed.withColumn("w", F.explode("centres")).filter("c <> w.c").select(*ordered("v", "w.v"))
-        found = links(pairs.distinct(), str(step))
+        few = placed.filter(F.col("size") <= FEW)  # so few members that all of unlike components are compared
+        other = few.select("key", F.col("v").alias("w"), F.col("c").alias("d"))
+        pairs = few.join(other, "key").filter("c < d").select(*ordered("v", "w"))
+        placed = placed.filter(F.col("size") > FEW)
+        pairs = pairs.union(placed.withColumn("w", F.explode("centres")).filter("c <> w.c").select(*ordered("v", "w.v"))).distinct()
+        pairs = common.store(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs_{step}")
+        tested = tested.union(pairs)
+        found = links(pairs, str(step))
         name = lambda x: F.coalesce(F.col(x), F.col(x[0]))
         contracted = found.join(labels.toDF("a", "ac"), "a", "left").join(labels.toDF("b", "bc"), "b", "left").select(name("ac").alias("a"), name("bc").alias("b")).filter("a <> b")
         merged = connect(contracted.select(*ordered("a", "b")), f"labels_{step}")
         both = labels.union(merged.select("v", F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
         labels = common.store(both.join(merged.toDF("c", "root"), "c", "left").select("v", F.coalesce("root", "c").alias("c")), f"labels_{step}_all")
-        if last:
-            break
         open_ = placed.filter(~F.array_contains(F.transform("centres", lambda x: x["v"]), F.col("v"))).select("key", "v")
     placed = table.select("doc_key", "n", "v").join(labels, "v", "left").select("doc_key", "n", F.coalesce("c", "v").alias("c"))
     placed = common.store(placed, "placed")
