@@ -11,50 +11,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .words import mix, word_hashes
 
 #: Buckets of a sketch (8 bits of each hash), and mantissa bits of a register; the other 6 bits hold its leading zeros.
 BUCKETS, MANTISSA = 256, 10
 #: Bands and registers of each: a pair of similarity 0.75 shares none of 40 bands with probability 2e-5.
 BANDS, ROWS = 40, 5
-#: Buckets of at most so many members compare all of unlike components.
-FEW = 32
-#: New centres that a bucket gets at random in each round, beside one of its smallest and one of its largest component.
-CENTRES = 4
+#: Members outside a bucket's largest component that become centres in the first round; each later round takes GROWTH times as many.
+CENTRES, GROWTH = 32, 4
+#: One bit of each register, in four longs: a coarse sketch that JVM-side joins compare.
+BITS = ["s0", "s1", "s2", "s3"]
 _random = np.random.default_rng(20240607)
 _order = _random.random((BUCKETS, BUCKETS))
+_ranked = np.argsort(_order, axis=1)
 _multipliers = _random.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
-_words: dict[bytes, int] = {}
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the whole text's shingles (A-Z lower-cased; with fewer words, of all of them)."""
-    import xxhash
-
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    try:
-        ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w)
-        ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    ids = word_hashes(text.encode(), lower=True)[0] if text else np.zeros(0, np.uint64)
+    if not len(ids):
+        return ids
     width = min(width, len(ids))
     n = len(ids) - width + 1
     h = ids[:n].copy()
     for j in range(1, width):
         h = h * _P + ids[j : n + j]
-    return np.unique(_mix(h + np.uint64(width)))
+    h = mix(h + np.uint64(width))
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -72,8 +58,18 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     registers = np.zeros(BUCKETS, np.uint16)
     registers[filled] = ((zeros << np.uint64(MANTISSA)) | ((rest >> shift) & np.uint64((1 << MANTISSA) - 1))).astype(np.uint16)
     if len(filled) < BUCKETS:
-        empty = np.setdiff1d(np.arange(BUCKETS), filled, assume_unique=True)
-        registers[empty] = registers[filled[np.argmin(_order[empty][:, filled], axis=1)]]
+        full = np.zeros(BUCKETS, bool)
+        full[filled] = True
+        empty = np.flatnonzero(~full)
+        for attempt in range(BUCKETS if len(filled) > 48 else 0):
+            source = _ranked[empty, attempt]
+            good = full[source]
+            registers[empty[good]] = registers[source[good]]
+            empty = empty[~good]
+            if not len(empty):
+                break
+        if len(empty):  # few filled buckets: a small matrix
+            registers[empty] = registers[filled[np.argmin(_order[empty][:, filled], axis=1)]]
     return registers
 
 
@@ -107,10 +103,29 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS)
         parts = registers[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-        keys = _mix((parts * _multipliers).sum(axis=2, dtype=np.uint64) * _P + np.arange(1, BANDS + 1, dtype=np.uint64))
+        keys = mix((parts * _multipliers).sum(axis=2, dtype=np.uint64) * _P + np.arange(1, BANDS + 1, dtype=np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "v"])
 
 
+def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS)
+        bits = np.packbits((registers * np.uint16(40503)) >> np.uint16(15), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))], ["v", "n", "registers", *BITS])
+
+
+def coarsely_alike(x: str, y: str, minimum: float):
+    """Whether sizes and bits of rows `x` and `y` (column prefixes) allow a similarity of `minimum`, six standard deviations granted.
+
+    Bits of equal registers are equal, others are by a half: the share of unlike bits is about (1 - similarity) / 2.
+    """
+    unlike = sum(F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in BITS)
+    few, many = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
+    share = (1 - minimum) / 2
+    margin = 6 * F.sqrt(F.lit(share * (1 - share)) / F.least(few, F.lit(BUCKETS // 2)))
+    return (few >= minimum * many) & (unlike / F.lit(float(BUCKETS)) <= share + margin)
+
+
 def _promising(minimum: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +183,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     of equal shingle sets are one vertex. Each vertex has a HyperMinHash sketch; bands of its compressed registers deal
     vertices into buckets. Every bucket compares its members with one of them, its centre: pairs whose collision-corrected estimate is
     not clearly too low are verified on their full shingle sets, and links are contracted to components. As long as
-    a bucket has members in several components, a few of them become new centres, until all members but centres are in
-    one component, or at most FEW are left, of which all pairs of unlike components are compared. No pair is compared twice. So nothing is
-    capped, and a bucket of n members that belong together costs a multiple of n pairs, not n * n.
+    a bucket has members in several components, CENTRES of those outside its largest component (all, where there are no
+    more) become new centres, GROWTH times as many in each round, until all members but centres are in one component.
+    One bit of each register tells in the join itself which pairs are too far apart, and no pair is compared twice. So
+    nothing is capped, rounds grow with the logarithm of a bucket, and n members that belong together cost a multiple of n pairs, not n * n.
 
     A missing or empty text has no shingles: it is linked with nothing and kept. A missing id sorts before all others
     and comes back as missing. Rows that repeat an id are separate documents with the same component if they are
@@ -190,45 +206,58 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     known = vertices.join(involved, "v", "left_semi")
     texts = rows.join(known.select("v", "doc_key", "text_key"), ["doc_key", "text_key"]).select("v", "text").dropDuplicates(["v"])
     texts = common.store(texts, "texts")
-    known = common.store(known.select("v", "n", "registers"), "involved")
+    known = known.select("v", "n", "registers").mapInArrow(_with_bits, "v long, n long, registers binary, s0 long, s1 long, s2 long, s3 long")
+    known = common.store(known, "involved")
+    coarse, full = known.drop("registers"), known.select("v", "n", "registers")
+    minimum = percent / 100
     common.release(docs.sparkSession)
+    side = lambda df, x: df.toDF(*[x if c == "v" else f"{x}_{c}" for c in df.columns])
+
+    def of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of `df` that `pairs` need, so that later rounds with few pairs move few texts and sketches."""
+        return df.join(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "v", "left_semi")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda df, x: df.toDF(*[x if c == "v" else f"{x}_{c}" for c in df.columns])
-        sketched = pairs.join(side(known, "a"), "a").join(side(known, "b"), "b").select("a", "b", "a_registers", "b_registers", "a_n", "b_n")
-        promising = common.store(sketched.mapInArrow(_promising(percent / 100), "a long, b long"), f"promising_{name}")
-        full = promising.join(side(texts, "b"), "b").join(side(texts, "a"), "a").select("a", "b", "a_text", "b_text")
-        return common.store(full.mapInArrow(_verified(percent), "a long, b long"), f"links_{name}")
+        own = of_pairs(full, pairs)
+        sketched = pairs.join(side(own, "a"), "a").join(side(own, "b"), "b").select("a", "b", "a_registers", "b_registers", "a_n", "b_n")
+        promising = common.store(sketched.mapInArrow(_promising(minimum), "a long, b long"), f"promising_{name}")
+        own = of_pairs(texts, promising)
+        both = promising.join(side(own, "b"), "b").join(side(own, "a"), "a").select("a", "b", "a_text", "b_text")
+        return common.store(both.mapInArrow(_verified(percent), "a long, b long"), f"links_{name}")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = tested = common.store(members.filter("v <> centre").select(*ordered("v", "centre")).distinct(), "pairs_0")
+    pairs = members.filter("v <> centre").select(*ordered("v", "centre")).distinct()
+    pairs = pairs.join(side(coarse, "a"), "a").join(side(coarse, "b"), "b").filter(coarsely_alike("a_", "b_", minimum)).select("a", "b")
+    pairs = tested = common.store(pairs, "pairs_0")
     labels = connect(links(pairs, "0"), "labels_0")
     open_ = members.filter("v <> centre").select("key", "v")  # members that were no centres yet
     step = 0
     while True:
         step += 1
+        budget = CENTRES * GROWTH ** (step - 1)
         placed = open_.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-        spot = lambda h: F.struct(h, F.col("v").alias("v"), F.col("c").alias("c"))
-        by_hash = [F.min(F.struct(F.xxhash64("v", F.lit(step), F.lit(i)).alias("h"), spot(F.lit(0)).alias("s")))["s"] for i in range(CENTRES)]
-        centres = F.array(F.min(F.struct("c", spot(F.lit(0)).alias("s")))["s"], F.max(F.struct("c", spot(F.lit(0)).alias("s")))["s"], *by_hash)
-        state = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size"), F.array_distinct(centres).alias("centres")).filter("low < high")
-        placed = common.store(placed.join(state.select("key", "size", "centres"), "key"), f"open_{step}")
+        sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
+        state = sizes.groupBy("key").agg(F.sum("size").alias("size"), F.max(F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+        state = state.select("key", (F.col("size") - F.col("main.size")).alias("outside"), F.col("main.c").alias("main"))
+        drawn = (F.col("outside") <= budget) | (F.pmod(F.xxhash64("v", F.lit(step)), F.col("outside")) < budget)
+        placed = placed.join(state, "key").withColumn("is_centre", (F.col("c") != F.col("main")) & drawn).drop("outside", "main")
+        placed = common.store(placed.join(coarse, "v").select("key", "v", "c", "is_centre", "n", *BITS), f"open_{step}")
         if placed.isEmpty():
             break
-        few = placed.filter(F.col("size") <= FEW)  # so few members that all of unlike components are compared
-        other = few.select("key", F.col("v").alias("w"), F.col("c").alias("d"))
-        pairs = few.join(other, "key").filter("c < d").select(*ordered("v", "w"))
-        placed = placed.filter(F.col("size") > FEW)
-        pairs = pairs.union(placed.withColumn("w", F.explode("centres")).filter("c <> w.c").select(*ordered("v", "w.v"))).distinct()
+        centre = placed.filter("is_centre").drop("is_centre").toDF("key", "w", "d", "w_n", *(f"w_{x}" for x in BITS))
+        pairs = placed.join(centre, "key").filter((F.col("c") != F.col("d")) & coarsely_alike("", "w_", minimum)).select(*ordered("v", "w")).distinct()
         pairs = common.store(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs_{step}")
         tested = tested.union(pairs)
+        open_ = placed.filter("not is_centre").select("key", "v")
+        if pairs.isEmpty():
+            continue
         found = links(pairs, str(step))
         name = lambda x: F.coalesce(F.col(x), F.col(x[0]))
         contracted = found.join(labels.toDF("a", "ac"), "a", "left").join(labels.toDF("b", "bc"), "b", "left").select(name("ac").alias("a"), name("bc").alias("b")).filter("a <> b")
         merged = connect(contracted.select(*ordered("a", "b")), f"labels_{step}")
         both = labels.union(merged.select("v", F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
         labels = common.store(both.join(merged.toDF("c", "root"), "c", "left").select("v", F.coalesce("root", "c").alias("c")), f"labels_{step}_all")
-        open_ = placed.filter(~F.array_contains(F.transform("centres", lambda x: x["v"]), F.col("v"))).select("key", "v")
+        common.release(docs.sparkSession)
     placed = table.select("doc_key", "n", "v").join(labels, "v", "left").select("doc_key", "n", F.coalesce("c", "v").alias("c"))
     placed = common.store(placed, "placed")
     smallest = placed.filter("c is not null").groupBy("c").agg(F.min("doc_key").alias("least"))
