@@ -35,7 +35,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}/{name}"
     _written.append(path.rsplit("/", 1)[0])
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_in = _written[-1]
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of store() that no later step reads: what was made of them is stored by now."""
+    for df in stored:
+        _written.remove(df._stored_in)
+        _delete(df._stored_in)
+
+
+def _delete(folder: str) -> None:
+    context = SparkContext._active_spark_context
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_stored() -> None:
@@ -44,10 +59,8 @@ def drop_stored() -> None:
     if context is None or context._jsc is None or context._gateway is None:
         return
     try:
-        jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
         while _written:
-            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-            path.getFileSystem(conf).delete(path, True)
+            _delete(_written.pop())
     except Exception:  # the JVM is already gone at exit
         _written.clear()
 

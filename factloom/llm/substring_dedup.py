@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .words import word_hashes
 
 #: Words of an anchor: of the anchors in a window, the one of the smallest hash stands for it.
 ANCHOR = 5
@@ -18,8 +19,9 @@ ANCHOR = 5
 HOT = 20_000
 #: Words of the passages that one automaton holds, at most (plus one anchor's).
 SHARD_WORDS = 200_000
+#: Part of an anchor row whose anchor is known to be shared, dealt together with part 0.
+KNOWN = -1
 PLACES = "anchor long, passage binary, doc_key long, text_key long, start long"
-_words: dict[bytes, int] = {}
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,28 +90,14 @@ class SuffixAutomaton:
         return out
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    if len(_words) > 500_000:
-        _words.clear()
-    try:
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
-def anchors(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first window and number of windows of each anchor: every window of `width` words belongs to the anchor of the
+def anchors(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first window and number of windows of each anchor of a text's word hashes: every window of `width` words belongs to the anchor of the
     smallest hash in it (of equal ones the last), so equal windows have equal anchors at equal places."""
-    n = len(words) - width + 1
+    n = len(ids) - width + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids, k = _hashes(words), min(ANCHOR, width)
-    m = len(words) - k + 1
+    k = min(ANCHOR, width)
+    m = len(ids) - k + 1
     h = ids[:m].copy()
     for j in range(1, k):
         h = h * _P + ids[j : m + j]
@@ -128,15 +116,15 @@ def anchors(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _anchor_rows(width: int):
-    """(doc_key, text) -> anchor, doc_key, known, part.
+    """(doc_key, text) -> anchor, doc_key, part.
 
-    Of an anchor that several documents of a batch share, one row goes to the anchor's part 0, to tell the other batches;
-    the others are known to be shared and stay out of it, in parts of their own.
+    Of an anchor that several documents of a batch share, one row goes to part KNOWN, which tells the other batches;
+    the others are known to be shared and get parts of their own, above 0. The rest are in part 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(x.encode().split(), width)[0]) for x in batch.column(1).to_pylist()]
+            found = [np.unique(anchors(word_hashes(x)[0], width)[0]) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             h = np.concatenate(found) if found else np.zeros(0, np.int64)
             if not len(h):
                 continue
@@ -147,8 +135,8 @@ def _anchor_rows(width: int):
             begins[1:] = h[1:] != h[:-1]
             starts = np.flatnonzero(begins)
             known = (np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts))[np.cumsum(begins) - 1]
-            part = np.where(known & ~begins, 1 + docs % 1024, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs), pa.array(known), pa.array(part)], ["anchor", "doc_key", "known", "part"])
+            part = np.where(known, np.where(begins, KNOWN, 1 + docs % 1024), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs), pa.array(part)], ["anchor", "doc_key", "part"])
 
     return run
 
@@ -159,15 +147,15 @@ def _passage_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: tuple = ([], [], [], [], [])
-            for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                words = text.encode().split()
-                h, first, n = anchors(words, width)
-                for j in np.flatnonzero(np.isin(h, np.array(wanted, np.int64))).tolist():
-                    a = int(first[j])
-                    columns[0].append(int(h[j]))
-                    columns[1].append(b" ".join(words[a : a + int(n[j]) + width - 1]))
-                    columns[2].append(i)
-                    columns[3].append(a)
+            for i, (text, wanted) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3))):
+                ids, begin, end = word_hashes(text)
+                h, first, n = anchors(ids, width)
+                chosen = np.isin(h, wanted.values.to_numpy())
+                h, first, n = h[chosen], first[chosen], n[chosen]
+                columns[0].extend(h.tolist())
+                columns[1].extend([b" ".join(text[a:b].split()) for a, b in zip(begin[first].tolist(), end[first + n + width - 2].tolist())])
+                columns[2].extend([i] * len(h))
+                columns[3].extend(first.tolist())
             row = pa.array(columns[2], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), batch.column(0).take(row), batch.column(1).take(row), pa.array(columns[3], pa.int64())],
@@ -293,15 +281,19 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     text = F.col(text_col).cast("string")
     keys = ["doc_key", "text_key"]
     rows = docs.filter(text.isNotNull()).select(common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = rows.select("doc_key", "text").mapInArrow(_anchor_rows(width), "anchor long, doc_key long, known boolean, part int")
-    alike = Window.partitionBy("anchor", "part")
-    shared = F.col("known") | F.max("known").over(alike) | (F.min("doc_key").over(alike) < F.max("doc_key").over(alike))
+    found = rows.select("doc_key", "text").mapInArrow(_anchor_rows(width), "anchor long, doc_key long, part int")
+    alike = Window.partitionBy("anchor", F.greatest("part", F.lit(0)))
+    shared = (F.col("part") > 0) | (F.min("part").over(alike) == KNOWN) | (F.min("doc_key").over(alike) < F.max("doc_key").over(alike))
     wanted = found.withColumn("shared", shared).filter("shared").groupBy("doc_key").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = common.store(wanted, "wanted")
+    common.release(spark)
     places = rows.join(wanted, "doc_key").select(*keys, "text", "anchors").mapInArrow(_passage_rows(width), PLACES)
     places = common.store(places.withColumn("passage_key", F.xxhash64("passage")), "places")
+    common.discard(wanted)
     common.release(spark)
     passages = lambda df: df.groupBy("anchor", "passage_key", "passage").agg(F.min("doc_key").alias("least"))
     distinct = common.store(passages(places), "passages")
+    common.release(spark)
     hot = common.store(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
     if not hot.isEmpty():
         single = places.join(hot, "anchor", "left_semi").select("anchor", "passage", *keys, "start").mapInArrow(_single_windows(width), PLACES)
@@ -309,12 +301,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         places = common.store(places, "single_places")
         distinct = common.store(passages(places), "single_passages")
     dealt = distinct.select("anchor", "passage", "least", "passage_key").repartition("anchor").sortWithinPartitions("anchor")
-    matched = dealt.mapInArrow(_matched(width), "anchor long, passage_key long, least array<long>")
+    matched = common.store(dealt.mapInArrow(_matched(width), "anchor long, passage_key long, least array<long>"), "matched")
+    common.release(spark)
     # Spark splits a passage of very many places in this join
     placed = places.select("anchor", "passage_key", *keys, "start").join(matched, ["anchor", "passage_key"])
     covered = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_key"), F.col("start") + i)), lambda x: x.isNotNull())
     placed = placed.select(*keys, covered.alias("covered")).filter(F.size("covered") > 0)
     runs = common.store(placed.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered")), "covered")
+    common.discard(places, distinct, matched)
     common.release(spark)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"))
     whole = whole.join(runs, keys, "left").select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("covered").alias("_covered"))
