@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,6 +17,10 @@ from .words import mix, word_hashes
 BUCKETS, MANTISSA = 256, 10
 #: Bands and registers of each: a pair of similarity 0.75 shares none of 40 bands with probability 2e-5.
 BANDS, ROWS = 40, 5
+#: Buckets of a vertex, largest first, whose centres it is compared with at first.
+FIRST = 4
+#: Standard deviations by which an estimate may miss the similarity before its pair goes untested (one in 300,000).
+MARGIN = 4.5
 #: Members outside a bucket's largest component that become centres in the first round; each later round takes GROWTH times as many.
 CENTRES, GROWTH = 32, 4
 #: One bit of each register, in four longs: a coarse sketch that JVM-side joins compare.
@@ -115,14 +119,15 @@ def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coarsely_alike(x: str, y: str, minimum: float):
-    """Whether sizes and bits of rows `x` and `y` (column prefixes) allow a similarity of `minimum`, six standard deviations granted.
+    """Whether sizes and bits of rows `x` and `y` (column prefixes) allow a similarity of `minimum`, MARGIN standard deviations granted.
 
     Bits of equal registers are equal, others are by a half: the share of unlike bits is about (1 - similarity) / 2.
     """
     unlike = sum(F.bit_count(F.col(f"{x}{s}").bitwiseXOR(F.col(f"{y}{s}"))) for s in BITS)
     few, many = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
     share = (1 - minimum) / 2
-    margin = 6 * F.sqrt(F.lit(share * (1 - share)) / F.least(few, F.lit(BUCKETS // 2)))
+    filled = -F.expm1(-few / BUCKETS) * BUCKETS
+    margin = MARGIN * F.sqrt(F.lit(share * (1 - share)) / filled)
     return (few >= minimum * many) & (unlike / F.lit(float(BUCKETS)) <= share + margin)
 
 
@@ -133,8 +138,9 @@ def _promising(minimum: float):
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
             na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            # six standard deviations below; small sets fill few buckets of their own, so those vary more
-            margin = 6 * np.sqrt(minimum * (1 - minimum) / np.minimum(np.minimum(na, nb), BUCKETS / 2))
+            # small sets fill few buckets of their own, so those vary more
+            filled = BUCKETS * -np.expm1(-np.minimum(na, nb) / BUCKETS)
+            margin = MARGIN * np.sqrt(minimum * (1 - minimum) / filled)
             sizes = np.minimum(na, nb) >= minimum * np.maximum(na, nb)  # a condition that no pair can do without
             good = sizes & (corrected_jaccard(ra, rb, na, nb) >= minimum - margin)
             yield batch.select(["a", "b"]).filter(pa.array(good))
@@ -181,7 +187,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (its own smallest). Documents
     of equal shingle sets are one vertex. Each vertex has a HyperMinHash sketch; bands of its compressed registers deal
-    vertices into buckets. Every bucket compares its members with one of them, its centre: pairs whose collision-corrected estimate is
+    vertices into buckets. Every vertex is first compared with one member, the
+    centre, of each of its FIRST largest buckets, then with those of the others that are not in its component: pairs whose collision-corrected estimate is
     not clearly too low are verified on their full shingle sets, and links are contracted to components. As long as
     a bucket has members in several components, CENTRES of those outside its largest component (all, where there are no
     more) become new centres, GROWTH times as many in each round, until all members but centres are in one component.
@@ -199,8 +206,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     vertices = table.filter("v is not null").groupBy("v").agg(F.min(F.struct("doc_key", "text_key")).alias("d"), F.max("n").alias("n"), F.max("registers").alias("registers"))
     vertices = common.store(vertices.select("v", "d.doc_key", "d.text_key", "n", "registers"), "vertices")
     bands = vertices.select("v", "registers").mapInArrow(_bands, "key long, v long")
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("centre")).filter("size > 1")
-    members = common.store(bands.join(buckets, "key").select("key", "v", "centre"), "members")
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "v"), "v"))["v"].alias("centre")).filter("size > 1")
+    largest = Window.partitionBy("v").orderBy(F.desc("size"), "key")  # at most BANDS rows each
+    members = bands.join(buckets, "key").select("key", "v", "centre", F.row_number().over(largest).alias("place"))
+    members = common.store(members, "members")
     common.release(docs.sparkSession)
     involved = members.select("v").distinct()
     known = vertices.join(involved, "v", "left_semi")
@@ -226,11 +235,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         return common.store(both.mapInArrow(_verified(percent), "a long, b long"), f"links_{name}")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.filter("v <> centre").select(*ordered("v", "centre")).distinct()
-    pairs = pairs.join(side(coarse, "a"), "a").join(side(coarse, "b"), "b").filter(coarsely_alike("a_", "b_", minimum)).select("a", "b")
-    pairs = tested = common.store(pairs, "pairs_0")
-    labels = connect(links(pairs, "0"), "labels_0")
-    open_ = members.filter("v <> centre").select("key", "v")  # members that were no centres yet
+    name = lambda x: F.coalesce(F.col(x), F.col(x[0]))
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        pairs = pairs.join(labels.toDF("a", "ac"), "a", "left").join(labels.toDF("b", "bc"), "b", "left")
+        return pairs.withColumn("ac", name("ac")).withColumn("bc", name("bc")).filter("ac <> bc")
+
+    def unite(labels: DataFrame, found: DataFrame, step: str) -> DataFrame:
+        merged = connect(apart(found, labels).select(*ordered("ac", "bc")), f"labels_{step}")
+        both = labels.union(merged.select("v", F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
+        return common.store(both.join(merged.toDF("c", "root"), "c", "left").select("v", F.coalesce("root", "c").alias("c")), f"labels_{step}_all")
+
+    labels = docs.sparkSession.createDataFrame([], "v long, c long")
+    tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    for most in (FIRST, BANDS):  # what the first buckets link needs no comparison in the others
+        pairs = members.filter((F.col("place") <= most) & (F.col("v") != F.col("centre"))).select(*ordered("v", "centre")).distinct()
+        pairs = apart(pairs, labels).select("a", "b").join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.join(side(coarse, "a"), "a").join(side(coarse, "b"), "b").filter(coarsely_alike("a_", "b_", minimum)).select("a", "b")
+        pairs = common.store(pairs, f"pairs_first_{most}")
+        tested = tested.union(pairs)
+        labels = unite(labels, links(pairs, f"first_{most}"), f"first_{most}")
+    open_ = members.select("key", "v")  # members that were no centres yet
     step = 0
     while True:
         step += 1
@@ -252,11 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if pairs.isEmpty():
             continue
         found = links(pairs, str(step))
-        name = lambda x: F.coalesce(F.col(x), F.col(x[0]))
-        contracted = found.join(labels.toDF("a", "ac"), "a", "left").join(labels.toDF("b", "bc"), "b", "left").select(name("ac").alias("a"), name("bc").alias("b")).filter("a <> b")
-        merged = connect(contracted.select(*ordered("a", "b")), f"labels_{step}")
-        both = labels.union(merged.select("v", F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
-        labels = common.store(both.join(merged.toDF("c", "root"), "c", "left").select("v", F.coalesce("root", "c").alias("c")), f"labels_{step}_all")
+        labels = unite(labels, found, str(step))
         common.release(docs.sparkSession)
     placed = table.select("doc_key", "n", "v").join(labels, "v", "left").select("doc_key", "n", F.coalesce("c", "v").alias("c"))
     placed = common.store(placed, "placed")
