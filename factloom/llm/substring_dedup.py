@@ -295,11 +295,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     distinct = common.store(passages(places), "passages")
     common.release(spark)
     hot = common.store(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
-    if not hot.isEmpty():
+    stored = [places, distinct]
+    if not hot.isEmpty():  # only the hot anchors' rows are written again
         single = places.join(hot, "anchor", "left_semi").select("anchor", "passage", *keys, "start").mapInArrow(_single_windows(width), PLACES)
-        places = places.join(hot, "anchor", "left_anti").unionByName(single.withColumn("passage_key", F.xxhash64("passage")))
-        places = common.store(places, "single_places")
-        distinct = common.store(passages(places), "single_passages")
+        single = common.store(single.withColumn("passage_key", F.xxhash64("passage")), "single_places")
+        single_distinct = common.store(passages(single), "single_passages")
+        stored += [single, single_distinct]
+        places = places.join(hot, "anchor", "left_anti").unionByName(single)
+        distinct = distinct.join(hot, "anchor", "left_anti").unionByName(single_distinct)
     dealt = distinct.select("anchor", "passage", "least", "passage_key").repartition("anchor").sortWithinPartitions("anchor")
     matched = common.store(dealt.mapInArrow(_matched(width), "anchor long, passage_key long, least array<long>"), "matched")
     common.release(spark)
@@ -308,7 +311,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     covered = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_key"), F.col("start") + i)), lambda x: x.isNotNull())
     placed = placed.select(*keys, covered.alias("covered")).filter(F.size("covered") > 0)
     runs = common.store(placed.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered")), "covered")
-    common.discard(places, distinct, matched)
+    common.discard(*stored, matched)
     common.release(spark)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"))
     whole = whole.join(runs, keys, "left").select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("covered").alias("_covered"))
