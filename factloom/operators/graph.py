@@ -24,7 +24,8 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     """Pairs joined by a path of one edge or more; a vertex reaches itself only on a cycle."""
     edges = settle(edges.select("src", "dst").distinct())
     hop = edges.toDF("dst", "far")
-    return fixpoint(edges, lambda new: new.join(hop, "dst").select("src", F.col("far").alias("dst")))
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few pairs can make many: small rounds are dealt out as well
+    return fixpoint(edges, lambda new: new.repartition(tasks, "src").join(hop, "dst").select("src", F.col("far").alias("dst")))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -24,14 +24,17 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
-def edges_sql(quantity: int) -> str:
+def edges_sql(more: str = "") -> str:
+    """Neighbouring, different suppliers of an order's lines, over all of lineitem; `more` narrows the lines."""
     return f"""SELECT DISTINCT a AS src, b AS dst FROM (
   SELECT l_suppkey AS a, LEAD(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS b,
          l_linenumber AS n, l_returnflag AS f, l_quantity AS q FROM lineitem) t
-WHERE b IS NOT NULL AND a <> b AND n = 1 AND f = 'R' AND q >= {quantity}"""
+WHERE b IS NOT NULL AND a <> b{more}"""
 
 
-E49, E48, E50 = edges_sql(49), edges_sql(48), edges_sql(50)
+E = edges_sql()
+#: Only for simple_paths: the paths of the whole graph, which is dense, are too many to list.
+E49 = edges_sql(" AND n = 1 AND f = 'R' AND q >= 49")
 CLOSURE = "tc(src, dst) AS (SELECT src, dst FROM e UNION SELECT tc.src, e.dst FROM tc JOIN e ON e.src = tc.dst)"
 VERTS = "vs AS (SELECT src AS v FROM e UNION SELECT dst FROM e)"
 SCC = "s AS (SELECT v, least(v, coalesce((SELECT min(x.dst) FROM tc x JOIN tc y ON x.src = y.dst AND x.dst = y.src WHERE x.src = v), v)) AS component FROM vs)"
@@ -64,45 +67,45 @@ def with_e(edges: str, rest: str) -> str:
     return f"WITH RECURSIVE e AS ({edges}), {rest}"
 
 
-@query("transitive_closure", with_e(E49, f"{CLOSURE} SELECT src, dst FROM tc"))
+@query("transitive_closure", with_e(E, f"{CLOSURE} SELECT src, dst FROM tc"))
 def _closure(spark, sf):
-    return graph.transitive_closure(sql(spark, sf, E49))
+    return graph.transitive_closure(sql(spark, sf, E))
 
 
-@query("reachable_from", with_e(E49, "r(v) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM r JOIN e ON e.src = r.v) SELECT v FROM r"))
+@query("reachable_from", with_e(E, "r(v) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM r JOIN e ON e.src = r.v) SELECT v FROM r"))
 def _reachable(spark, sf):
-    e = sql(spark, sf, E49)
+    e = sql(spark, sf, E)
     return graph.reachable(e, e.agg(F.min("src").alias("v")))
 
 
-@query("edge_inverse", f"WITH e AS ({E49}) SELECT dst AS src, src AS dst FROM e")
+@query("edge_inverse", f"WITH e AS ({E}) SELECT dst AS src, src AS dst FROM e")
 def _inverse(spark, sf):
-    return graph.inverse(sql(spark, sf, E49))
+    return graph.inverse(sql(spark, sf, E))
 
 
-@query("symmetric_closure", f"WITH e AS ({E49}) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+@query("symmetric_closure", f"WITH e AS ({E}) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
 def _symmetric(spark, sf):
-    return graph.symmetric_closure(sql(spark, sf, E49))
+    return graph.symmetric_closure(sql(spark, sf, E))
 
 
-@query("scc_label", with_e(E48, f"{CLOSURE}, {VERTS}, {SCC} SELECT v, component FROM s"))
+@query("scc_label", with_e(E, f"{CLOSURE}, {VERTS}, {SCC} SELECT v, component FROM s"))
 def _scc(spark, sf):
-    return graph.scc(sql(spark, sf, E48))
+    return graph.scc(sql(spark, sf, E))
 
 
-@query("condensation", with_e(E48, f"{CLOSURE}, {VERTS}, {SCC}, {COND} SELECT src, dst FROM c"))
+@query("condensation", with_e(E, f"{CLOSURE}, {VERTS}, {SCC}, {COND} SELECT src, dst FROM c"))
 def _condensation(spark, sf):
-    return graph.condensation(sql(spark, sf, E48))
+    return graph.condensation(sql(spark, sf, E))
 
 
-@query("connected_components", with_e(E50, f"{VERTS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(v, w) AS (SELECT v, v FROM vs UNION SELECT r.v, b.dst FROM r JOIN b ON b.src = r.w) SELECT v, min(w) AS component FROM r GROUP BY v"))
+@query("connected_components", with_e(E, f"{VERTS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(v, w) AS (SELECT v, v FROM vs UNION SELECT r.v, b.dst FROM r JOIN b ON b.src = r.w) SELECT v, min(w) AS component FROM r GROUP BY v"))
 def _components(spark, sf):
-    return graph.components(sql(spark, sf, E50))
+    return graph.components(sql(spark, sf, E))
 
 
-@query("topo_level", with_e(E48, f"{CLOSURE}, {VERTS}, {SCC}, {COND}, l(v, level) AS (SELECT DISTINCT component, 0 FROM s UNION SELECT c.src, l.level + 1 FROM l JOIN c ON c.dst = l.v) SELECT v, max(level) AS level FROM l GROUP BY v"))
+@query("topo_level", with_e(E, f"{CLOSURE}, {VERTS}, {SCC}, {COND}, l(v, level) AS (SELECT DISTINCT component, 0 FROM s UNION SELECT c.src, l.level + 1 FROM l JOIN c ON c.dst = l.v) SELECT v, max(level) AS level FROM l GROUP BY v"))
 def _levels(spark, sf):
-    e = sql(spark, sf, E48)
+    e = sql(spark, sf, E)
     labels = graph.scc(e)
     return graph.levels(graph.condensation(e, labels), labels.select(F.col("component").alias("v")).distinct())
 
@@ -113,21 +116,21 @@ def _paths(spark, sf):
     return graph.simple_paths(e, graph.vertices(e), 4)
 
 
-@query("dominators", with_e(E49, f"{DOM} SELECT d, v FROM dom"))
+@query("dominators", with_e(E, f"{DOM} SELECT d, v FROM dom"))
 def _dominators(spark, sf):
-    e = sql(spark, sf, E49)
+    e = sql(spark, sf, E)
     return graph.dominators(e, e.agg(F.min("src").alias("v")))
 
 
-@query("back_edges", with_e(E48, f"{DOM} SELECT e.src, e.dst FROM e JOIN dom ON dom.d = e.dst AND dom.v = e.src"))
+@query("back_edges", with_e(E, f"{DOM} SELECT e.src, e.dst FROM e JOIN dom ON dom.d = e.dst AND dom.v = e.src"))
 def _back(spark, sf):
-    e = sql(spark, sf, E48)
+    e = sql(spark, sf, E)
     return graph.back_edges(e, e.agg(F.min("src").alias("v"))).select("src", "dst")
 
 
-@query("join_points", f"WITH e AS ({E48}) SELECT dst AS v, count(DISTINCT src) AS n_preds FROM e GROUP BY dst HAVING count(DISTINCT src) > 1")
+@query("join_points", f"WITH e AS ({E}) SELECT dst AS v, count(DISTINCT src) AS n_preds FROM e GROUP BY dst HAVING count(DISTINCT src) > 1")
 def _joins(spark, sf):
-    return graph.join_points(sql(spark, sf, E48))
+    return graph.join_points(sql(spark, sf, E))
 
 
 CONSTRAINTS = {
