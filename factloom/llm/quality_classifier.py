@@ -14,7 +14,7 @@ from . import common
 
 #: Hashed n-gram buckets of the two generative models, a power of two.
 BUCKETS = 1 << 16
-#: At most so many labelled documents of each class are read as target text and for the threshold.
+#: At most so many labelled documents of each class (good, poor, toxic) are read for the models and for the thresholds.
 LABELLED = 20_000
 #: Pseudo-counts that pull the ratio of a rarely seen bucket towards 1.
 SHRINK = 5.0
@@ -32,11 +32,11 @@ def _hashes(word: bytes) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape[:16], 1)
 
 
-def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """The buckets of all uni- and bigrams of the words of one whole text, and of their shapes."""
+def _ids(text: str | None) -> np.ndarray:
+    """A row for each word of one whole text: the hashes of the word and of its shape."""
     words = text.encode().split() if text else []
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros((0, 2), np.uint64)
     if len(_cache) > 400_000:
         _cache.clear()
     try:
@@ -46,34 +46,60 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
             if w not in _cache:
                 _cache[w] = _hashes(w)
         found = list(map(_cache.__getitem__, words))
-    ids = np.array(found, np.uint64)
+    return np.array(found, np.uint64)
+
+
+def ngram_buckets(ids: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """The buckets of all uni- and bigrams of the words of one whole text, and of their shapes, from its _ids()."""
     pairs = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]
     return (np.concatenate([ids.ravel(), (pairs ^ (pairs >> np.uint64(29))).ravel()]) & np.uint64(buckets - 1)).astype(np.int64)
 
 
+def _rows(kind: int, names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "name", "n"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each task and class that occurs: how often each bucket occurs."""
-    totals = np.zeros((2, BUCKETS), np.int64)  # all text, good labelled text
+    """kind, name, n: how often a bucket occurs in all text (0) and in good labelled text (1); how many good (2) and toxic (3)
+    labelled documents hold a word, named by its whole hash; the number of such documents (4, 5; named 0)."""
+    totals = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for text, good, fit in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            found = np.bincount(ngram_buckets(text), minlength=BUCKETS)
+        held = ([], [])
+        for text, good, toxic, fit in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            ids = _ids(text)
+            found = np.bincount(ngram_buckets(ids), minlength=BUCKETS)
             totals[0] += found
-            if good and fit:
+            if fit and good:
                 totals[1] += found
+            if fit and (good or toxic):
+                held[bool(toxic)].append(np.unique(ids[:, 0]))
+        for kind, words in enumerate(held):
+            if words:
+                names, n = np.unique(np.concatenate(words), return_counts=True)
+                yield _rows(2 + kind, names.view(np.int64), n)
+                yield _rows(4 + kind, np.zeros(1), np.array([len(words)]))
     for kind in (0, 1):
         at = np.flatnonzero(totals[kind])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(totals[kind][at])], ["kind", "bucket", "n"])
+        yield _rows(kind, at, totals[kind][at])
+
+
+def toxic_weights(held: dict[int, tuple[int, int]], n_good: int, n_toxic: int) -> dict[int, float]:
+    """Word hash -> log ratio of toxic over good documents that hold the word, where it is log 2 or more: plain words do not make
+    up for toxic ones. `held` has the numbers of good and toxic documents of each word."""
+    ratio = {w: (toxic + SHRINK) / (good * n_toxic / max(n_good, 1) + SHRINK) for w, (good, toxic) in held.items()}
+    return {w: float(np.log(x)) for w, x in ratio.items() if x >= 2}
 
 
 def _labelled(labels: DataFrame, label_id: str) -> DataFrame:
-    """At most LABELLED good and LABELLED bad document ids, chosen by a hash of the id."""
-    known = labels.select(F.col(label_id).cast("long").alias("label_key"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), F.col("quality"))
-    known = known.filter(F.col("label_key").isNotNull() & F.col("quality").isNotNull()).groupBy("label_key").agg(F.min("quality").alias("quality"), F.bool_and("good").alias("good"))
+    """At most LABELLED good, poor and toxic document ids each, chosen by a hash of the id."""
+    known = labels.select(F.col(label_id).cast("long").alias("label_key"), "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    known = known.filter("label_key is not null and (quality is not null or toxic = 1)").groupBy("label_key")
+    known = known.agg(F.coalesce(F.min("quality") == 0, F.lit(False)).alias("poor"), (F.max("toxic") == 1).alias("toxic"))
+    known = known.withColumn("good", ~F.col("poor") & ~F.col("toxic"))
     order = F.xxhash64("label_key", F.lit("labels"))
-    good = known.filter("good").orderBy(order, "label_key").limit(LABELLED)
-    bad = known.filter("quality = 0").orderBy(order, "label_key").limit(LABELLED)
-    # one half fits the model, the other half sets the threshold
-    return good.unionByName(bad).select("label_key", "good", (F.pmod(order, F.lit(2)) == 0).alias("fit"))
+    good, poor, toxic = (known.filter(x).orderBy(order, "label_key").limit(LABELLED) for x in ("good", "poor and not toxic", "toxic"))
+    # one half fits the models, the other half sets the thresholds
+    return good.unionByName(poor).unionByName(toxic).select("label_key", "good", "poor", "toxic", (F.pmod(order, F.lit(2)) == 0).alias("fit"))
 
 
 def _top(scored: DataFrame, k: int) -> float:
@@ -97,26 +123,39 @@ def _top(scored: DataFrame, k: int) -> float:
 
 
 def importance_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", seed: int = 7) -> DataFrame:
-    """doc_id, n_ngrams, log_weight (target over raw, summed), sampling_key (log_weight plus Gumbel noise), good and fit (label and its half, or null)."""
+    """doc_id, n_ngrams, log_weight (target over raw, summed), toxic_weight, sampling_key (log_weight plus Gumbel noise), good, poor, toxic and fit (label and its half, or null)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = common.store(_labelled(labels, label_id), "labelled")
-    marked = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_key"), "left").select("doc_id", "text", "good", "fit")
-    found = marked.select("text", "good", "fit").mapInArrow(_count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()  # at most 2 * BUCKETS rows
-    counts = np.zeros((2, BUCKETS))
-    for r in found:
-        counts[r["kind"], r["bucket"]] = r["n"]
+    marked = rows.join(F.broadcast(known), F.col("doc_id") == F.col("label_key"), "left").select("doc_id", "text", "good", "poor", "toxic", "fit")
+    counted = common.store(marked.select("text", "good", "toxic", "fit").mapInArrow(_count, "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")), "counts")
+    counts, labelled = np.zeros((2, BUCKETS)), {4: 0, 5: 0}
+    for r in counted.filter("kind in (0, 1, 4, 5)").collect():  # at most 2 * BUCKETS + 2 rows
+        if r["kind"] < 2:
+            counts[r["kind"], r["name"]] = r["n"]
+        else:
+            labelled[r["kind"]] = r["n"]
     expected = counts[0] * (counts[1].sum() / max(counts[0].sum(), 1.0))  # of the target text under the raw model
     weights = np.log((counts[1] + SHRINK) / (expected + SHRINK))
-    ratio = spark.sparkContext.broadcast(weights)  # BUCKETS doubles
+    words = counted.filter("kind in (2, 3)").groupBy("name").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(x) for k, x in ((2, "good"), (3, "toxic"))))
+    # a ratio of 2 needs as many toxic documents as SHRINK: few words are left
+    held = {r["name"] % 2**64: (r["good"], r["toxic"]) for r in words.filter((F.col("toxic") >= SHRINK) & (F.col("toxic") * max(labelled[4], 1) >= 2.0 * F.col("good") * labelled[5])).collect()}
+    strong = toxic_weights(held, labelled[4], labelled[5])
+    ratio = spark.sparkContext.broadcast((weights, strong))  # BUCKETS doubles, and the toxic words
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, strong = ratio.value
+        maybe, low = np.zeros(1 << 16, bool), np.uint64((1 << 16) - 1)
+        maybe[[w & 0xFFFF for w in strong]] = True
         for batch in batches:
-            found = [ngram_buckets(x) for x in batch.column(1).to_pylist()]
-            sums = pa.array([float(ratio.value[x].sum()) for x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(x) for x in found], pa.int64()), sums], ["doc_id", "good", "fit", "n_ngrams", "log_weight"])
-
-    scored = marked.mapInArrow(score, "doc_id long, good boolean, fit boolean, n_ngrams long, log_weight double")
+            ids = [_ids(x) for x in batch.column(1).to_pylist()]
+            found = [ngram_buckets(x) for x in ids]
+            sums = pa.array([float(weight[x].sum()) for x in found], pa.float64())
+            words = (set(x[maybe[x[:, 0] & low], 0].tolist()) for x in ids)
+            bad = pa.array([float(sum(strong.get(w, 0.0) for w in sorted(x))) for x in words], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 6)), pa.array([len(x) for x in found], pa.int64()), sums, bad], ["doc_id", "good", "poor", "toxic", "fit", "n_ngrams", "log_weight", "toxic_weight"])
+
+    scored = marked.mapInArrow(score, "doc_id long, good boolean, poor boolean, toxic boolean, fit boolean, n_ngrams long, log_weight double, toxic_weight double")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return scored.withColumn("sampling_key", F.col("log_weight") - F.log(-F.log(uniform)))
 
@@ -127,7 +166,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Two hashed models of uni- and bigrams, of words and of their shapes, are fitted: one of all `docs`, one of good
     labelled documents (quality 1, not toxic; one half of at most LABELLED of them). A document's log importance weight is the sum of its n-grams' log ratios; the k
     documents of the largest weight plus Gumbel noise are kept. k is the number of documents whose mean log ratio reaches
-    the threshold that best splits the other half of the labelled documents. Returns doc_id, n_ngrams, log_weight, sampling_key,
+    the threshold that best splits good from poor (quality 0) ones in the other half of the labelled documents. Toxic text is
+    judged apart, since it may be well written: of the words that a share at least twice as large of toxic as of good labelled
+    documents holds, each that a document has adds its log ratio once, whatever the document's length; a document whose sum is beyond
+    the value that best splits good from toxic ones in the other half is never kept and not counted in k. Returns doc_id, n_ngrams, log_weight, sampling_key,
     kept.
 
     A missing or empty text has weight 0 and is judged as such. Ids may be missing or repeat; each row is judged by itself,
@@ -136,15 +178,21 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     scored = common.store(importance_scores(docs, labels, id_col, text_col, label_id, seed), "scores")
     mean = F.col("log_weight") / F.greatest("n_ngrams", F.lit(1))
-    known = scored.filter("not fit").select("good", mean.alias("mean")).groupBy("good", F.round("mean", 3).alias("mean")).agg(F.count(F.lit(1)).alias("n")).collect()  # of at most 2 * LABELLED documents
-    threshold = best_split([(r["mean"], r["n"], r["good"]) for r in known])
-    total, k = scored.agg(F.count(F.lit(1)), F.count_if(mean >= threshold)).first()
+    held = scored.filter("not fit").select("good", "poor", "toxic", F.round(mean, 3).alias("mean"), F.round(-F.col("toxic_weight"), 3).alias("clean"))
+
+    def split(of: str, by: str) -> float:
+        known = held.filter(f"good or {of}").groupBy("good", by).agg(F.count(F.lit(1)).alias("n")).collect()  # of at most 3 * LABELLED documents
+        return best_split([(r[by], r["n"], r["good"]) for r in known])
+
+    threshold, limit = split("poor", "mean"), split("toxic", "clean")
+    clean = -F.col("toxic_weight") >= limit
+    total, k = scored.agg(F.count_if(clean), F.count_if(clean & (mean >= threshold))).first()
     if k == total:
-        kept = F.lit(True)
+        kept = clean
     elif not k:
         kept = F.lit(False)
     else:
-        kept = F.col("sampling_key") >= _top(scored, k)  # equal keys, of repeated rows, stay together
+        kept = clean & (F.col("sampling_key") >= _top(scored.filter(clean), k))  # equal keys, of repeated rows, stay together
     return scored.select("doc_id", "n_ngrams", "log_weight", "sampling_key", kept.alias("kept"))
 
 

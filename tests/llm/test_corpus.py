@@ -227,6 +227,26 @@ def test_quality_classifier(spark, empty):
     assert quality_classifier.resample(docs, labels.limit(0)).filter(F.col("kept")).count() == 302
 
 
+def test_quality_classifier_rejects_toxic(spark):
+    """Few toxic words in otherwise good text; half of the toxic documents carry no label."""
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(400):
+        text = words(r, 80).split()
+        if i % 4 == 0:
+            for w in r.sample(["vile", "scorn", "spite", "venom"], 3):
+                text.insert(r.randrange(len(text)), w)
+        rows.append((i, " ".join(text) if i % 10 < 8 else " ".join(x.upper() + "!!" for x in text)))
+        if i < 200:
+            labels.append((i, int(i % 10 < 8) if i % 8 else None, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"]: x["kept"] for x in quality_classifier.resample(docs, labels).collect()}
+    toxic = [i for i in range(400) if i % 4 == 0 and i % 10 < 8]
+    clean = [i for i in range(400) if i % 4 and i % 10 < 8]
+    assert sum(kept[i] for i in toxic) <= 0.02 * len(toxic) and sum(kept[i] for i in clean) >= 0.9 * len(clean)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
