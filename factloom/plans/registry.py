@@ -258,7 +258,7 @@ def _widen(spark, sf):
     return s.select("k", F.when(out.isNotNull(), F.concat_ws(",", out.cast("array<string>"))).alias("vals"))
 
 
-USES = "SELECT DISTINCT l_suppkey AS owner, CAST(l_linenumber AS BIGINT) AS field, l_returnflag AS variant, l_partkey AS tag FROM lineitem WHERE l_quantity >= 40"
+USES = "SELECT DISTINCT l_suppkey AS owner, CAST(l_linenumber AS BIGINT) AS field, l_returnflag AS variant, l_partkey AS tag FROM lineitem"
 
 
 @query("fd_tag_discovery", f"""WITH u AS ({USES}), bad AS (SELECT DISTINCT owner, field FROM (SELECT owner, field, tag FROM u GROUP BY ALL HAVING count(DISTINCT variant) > 1) x),

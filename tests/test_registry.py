@@ -66,3 +66,11 @@ def test_graph_queries_use_all_lines(spark, lines):
     dom = {(d, v) for d in live for v in live if d == v or d == entry or v not in reach(edges, entry, d)}
     assert run("dominators") == sorted(dom)
     assert run("back_edges") == sorted((a, b) for a, b in edges if (b, a) in dom)
+
+
+def test_tags_use_all_lines(spark, tmp_path):
+    """Lines of any quantity count: without the small ones, owner 1 has no field of two variants, and owner 2 has a sound one."""
+    lines = [(1, 1, "A", 7, 3.0), (1, 1, "R", 8, 45.0), (2, 1, "A", 5, 50.0), (2, 1, "R", 6, 50.0), (2, 1, "N", 5, 1.0)]
+    columns = ["l_suppkey", "l_linenumber", "l_returnflag", "l_partkey", "l_quantity"]
+    pq.write_table(pa.Table.from_pylist([dict(zip(columns, x)) for x in lines]), tmp_path / "lineitem.parquet")
+    assert rows_of(registry.QUERIES["fd_tag_discovery"](spark, str(tmp_path))) == [(1, 1, 2)]
