@@ -69,17 +69,17 @@ def levels(dag: DataFrame, all_vertices: DataFrame) -> DataFrame:
     return found.groupBy("v").agg(F.max("level").alias("level"))
 
 
-def simple_paths(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """All simple paths of up to `most` edges from `seeds`: src, dst, path (as text), n (edges)."""
+def simple_paths(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """All simple paths from `seeds`, of up to `most` edges if that is given: src, dst, path (as text), n (edges)."""
     hop = settle(edges.select(F.col("src").alias("dst"), F.col("dst").alias("far")).distinct())
     level = settle(seeds.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.array("v").alias("path")))
-    parts = []
-    for _ in range(most):
+    out = level.limit(0)
+    n = 0
+    while most is None or n < most:
         level = settle(level.join(hop, "dst").filter(~F.array_contains("path", F.col("far"))).select("src", F.col("far").alias("dst"), F.array_append("path", F.col("far")).alias("path")))
-        parts.append(level)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        if level.isEmpty():
+            break
+        out, n = out.unionByName(level), n + 1
     return out.select("src", "dst", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), (F.size("path") - 1).alias("n"))
 
 

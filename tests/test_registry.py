@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from factloom.operators import graph
 from factloom.plans import registry
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -74,3 +75,16 @@ def test_tags_use_all_lines(spark, tmp_path):
     columns = ["l_suppkey", "l_linenumber", "l_returnflag", "l_partkey", "l_quantity"]
     pq.write_table(pa.Table.from_pylist([dict(zip(columns, x)) for x in lines]), tmp_path / "lineitem.parquet")
     assert rows_of(registry.QUERIES["fd_tag_discovery"](spark, str(tmp_path))) == [(1, 1, 2)]
+
+
+def test_simple_paths_of_any_length(spark):
+    edges = [(i, i + 1) for i in range(7)] + [(7, 0), (2, 5), (5, 3), (9, 1)]
+
+    def grown(path):
+        for b in (b for a, b in edges if a == path[-1] and b not in path):
+            yield [*path, b]
+            yield from grown([*path, b])
+
+    expected = sorted((p[0], p[-1], ">".join(map(str, p)), len(p) - 1) for v in sorted({v for e in edges for v in e}) for p in grown([v]))
+    e = spark.createDataFrame(edges, "src long, dst long")
+    assert max(p[3] for p in expected) > 4 and rows_of(graph.simple_paths(e, graph.vertices(e))) == expected
