@@ -17,12 +17,12 @@ from .words import mix, word_hashes
 BUCKETS, MANTISSA = 256, 10
 #: Bands and registers of each: a pair of similarity 0.75 shares none of 40 bands with probability 2e-5.
 BANDS, ROWS = 40, 5
-#: Buckets of a vertex, largest first, whose centres it is compared with at first.
+#: Centres of a vertex, those of its largest buckets first, that it is compared with at first.
 FIRST = 4
+#: Size classes of the prefix filter, to a doubling of the set size.
+CLASSES = 16
 #: Standard deviations by which an estimate may miss the similarity before its pair goes untested (one in 300,000).
 MARGIN = 4.5
-#: Members outside a bucket's largest component that become centres in the first round; each later round takes GROWTH times as many.
-CENTRES, GROWTH = 32, 4
 #: One bit of each register, in four longs: a coarse sketch that JVM-side joins compare.
 BITS = ["s0", "s1", "s2", "s3"]
 _random = np.random.default_rng(20240607)
@@ -95,10 +95,40 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(2).to_pylist():
             s = shingle_set(text)
             rows[0].append(len(s))
-            # sets are told apart by 128 bits, a vertex is named by 63 of them
-            rows[1].append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1 if len(s) else None)
+            rows[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)  # sets are told apart by 128 bits
             rows[2].append(sketch(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["doc_key", "text_key", "n", "v", "registers"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["doc_key", "text_key", "n", "set_name", "registers"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, text) -> v, n, shingle: the full set of each vertex, its size with every row."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            sets = [shingle_set(x) for x in part.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            all_ = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(all_)], ["v", "n", "shingle"])
+
+
+def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """v, n, shingle, low, high: the shingles by which pairs of sets (v, n, shingle) meet that can have a similarity of `percent` %.
+
+    Sets of a and b elements of that similarity share at least o = p / (100 + p) * (a + b). In one order of all shingles, the
+    rarest first, the first that both have is among the first a - o + 1 of the one and b - o + 1 of the other. Sizes fall into
+    classes of a few percent; a row is for partners of one class, and (shingle, low, high), the two classes, is its key.
+    Shingles of one set alone fill prefixes but meet nothing and give no rows.
+    """
+    t = percent / 100
+    seen = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    rarest = Window.partitionBy("v").orderBy("sets", "shingle")
+    n, place = F.col("n"), F.col("place")
+    ranked = tokens.join(seen, "shingle").withColumn("place", F.row_number().over(rarest)).filter((F.col("sets") > 1) & (place <= n - F.ceil(n * t - 1e-6) + 1))
+    size_class = lambda x: F.floor(F.log2(x) * CLASSES + 1e-9).cast("int")
+    rows = ranked.select("v", "n", "shingle", "place", size_class(n).alias("own"), F.explode(F.sequence(size_class(F.greatest(n * t, F.lit(1.0))), size_class(n / t))).alias("other"))
+    least = F.greatest(F.pow(F.lit(2.0), (F.col("other") - 1e-6) / CLASSES), n * t)  # of the partner's size
+    shared = F.ceil(t / (1 + t) * (n + least) - 1e-6)
+    return rows.filter(place <= n - shared + 1).select("v", "n", "shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,43 +217,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (its own smallest). Documents
     of equal shingle sets are one vertex. Each vertex has a HyperMinHash sketch; bands of its compressed registers deal
-    vertices into buckets. Every vertex is first compared with one member, the
-    centre, of each of its FIRST largest buckets, then with those of the others that are not in its component: pairs whose collision-corrected estimate is
-    not clearly too low are verified on their full shingle sets, and links are contracted to components. As long as
-    a bucket has members in several components, CENTRES of those outside its largest component (all, where there are no
-    more) become new centres, GROWTH times as many in each round, until all members but centres are in one component.
-    One bit of each register tells in the join itself which pairs are too far apart, and no pair is compared twice. So
-    nothing is capped, rounds grow with the logarithm of a bucket, and n members that belong together cost a multiple of n pairs, not n * n.
+    vertices into buckets. A bucket's centre is the member whose buckets hold most, which is the most typical one of a group of
+    copies. Every vertex is first compared with the centres of its largest buckets, then with its other centres: pairs whose
+    collision-corrected estimate is not clearly too low are verified on their full shingle sets, and links are contracted
+    to components. Members of buckets that still hold several components meet once more, not by bucket but by the rare
+    shingles that a pair of that similarity must share (see prefixes()); pairs of different components are estimated and verified alike.
+    So nothing is capped, and n members that belong together cost a multiple of n pairs. A member that is far from all
+    others has a prefix of shingles of its own and meets few. What remains quadratic is a bucket of sets that all consist
+    of few frequent shingles in different selections.
 
     A missing or empty text has no shingles: it is linked with nothing and kept. A missing id sorts before all others
     and comes back as missing. Rows that repeat an id are separate documents with the same component if they are
     linked; with equal ids, all rows of the smallest id are kept. An empty table gives an empty result. Other columns are not read.
     """
+    spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     rows = docs.select(common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    table = common.store(rows.mapInArrow(_sketches, "doc_key long, text_key long, n long, v long, registers binary"), "sketches")
+    table = common.store(rows.mapInArrow(_sketches, "doc_key long, text_key long, n long, set_name binary, registers binary"), "sketches")
     # one document of each set; copies meet before the shuffle
-    vertices = table.filter("v is not null").groupBy("v").agg(F.min(F.struct("doc_key", "text_key")).alias("d"), F.max("n").alias("n"), F.max("registers").alias("registers"))
-    vertices = common.store(vertices.select("v", "d.doc_key", "d.text_key", "n", "registers"), "vertices")
+    vertices = table.filter("set_name is not null").groupBy("set_name").agg(F.min(F.struct("doc_key", "text_key")).alias("d"), F.max("n").alias("n"), F.max("registers").alias("registers"))
+    vertices = common.store(vertices.select(F.monotonically_increasing_id().alias("v"), "set_name", "d.doc_key", "d.text_key", "n", "registers"), "vertices")
     bands = vertices.select("v", "registers").mapInArrow(_bands, "key long, v long")
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "v"), "v"))["v"].alias("centre")).filter("size > 1")
-    largest = Window.partitionBy("v").orderBy(F.desc("size"), "key")  # at most BANDS rows each
-    members = bands.join(buckets, "key").select("key", "v", "centre", F.row_number().over(largest).alias("place"))
-    members = common.store(members, "members")
-    common.release(docs.sparkSession)
-    involved = members.select("v").distinct()
-    known = vertices.join(involved, "v", "left_semi")
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = common.store(bands.join(sizes, "key"), "members")
+    common.release(spark)
+    weights = members.groupBy("v").agg(F.sum("size").alias("weight"))
+    centres = members.join(weights, "v").groupBy("key").agg(F.max(F.struct("weight", "v"))["v"].alias("centre"))
+    asked = members.join(centres, "key").filter("v <> centre").groupBy("v", "centre").agg(F.max("size").alias("size"))
+    largest = Window.partitionBy("v").orderBy(F.desc("size"), "centre")  # at most BANDS rows each
+    asked = common.store(asked.select("v", "centre", F.row_number().over(largest).alias("place")), "asked")
+    known = vertices.join(members.select("v").distinct(), "v", "left_semi")
     texts = rows.join(known.select("v", "doc_key", "text_key"), ["doc_key", "text_key"]).select("v", "text").dropDuplicates(["v"])
     texts = common.store(texts, "texts")
     known = known.select("v", "n", "registers").mapInArrow(_with_bits, "v long, n long, registers binary, s0 long, s1 long, s2 long, s3 long")
     known = common.store(known, "involved")
     coarse, full = known.drop("registers"), known.select("v", "n", "registers")
     minimum = percent / 100
-    common.release(docs.sparkSession)
+    common.release(spark)
     side = lambda df, x: df.toDF(*[x if c == "v" else f"{x}_{c}" for c in df.columns])
 
     def of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The rows of `df` that `pairs` need, so that later rounds with few pairs move few texts and sketches."""
+        """The rows of `df` that `pairs` need, so that steps with few pairs move few texts and sketches."""
         return df.join(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "v", "left_semi")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -246,41 +280,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         both = labels.union(merged.select("v", F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
         return common.store(both.join(merged.toDF("c", "root"), "c", "left").select("v", F.coalesce("root", "c").alias("c")), f"labels_{step}_all")
 
-    labels = docs.sparkSession.createDataFrame([], "v long, c long")
-    tested = docs.sparkSession.createDataFrame([], "a long, b long")
-    for most in (FIRST, BANDS):  # what the first buckets link needs no comparison in the others
-        pairs = members.filter((F.col("place") <= most) & (F.col("v") != F.col("centre"))).select(*ordered("v", "centre")).distinct()
-        pairs = apart(pairs, labels).select("a", "b").join(tested, ["a", "b"], "left_anti")
+    labels = spark.createDataFrame([], "v long, c long")
+    for step, chosen in (("first", F.col("place") <= FIRST), ("others", F.col("place") > FIRST)):  # what the first link needs no comparison with the others
+        pairs = apart(asked.filter(chosen).select(*ordered("v", "centre")).distinct(), labels).select("a", "b")
         pairs = pairs.join(side(coarse, "a"), "a").join(side(coarse, "b"), "b").filter(coarsely_alike("a_", "b_", minimum)).select("a", "b")
-        pairs = common.store(pairs, f"pairs_first_{most}")
-        tested = tested.union(pairs)
-        labels = unite(labels, links(pairs, f"first_{most}"), f"first_{most}")
-    open_ = members.select("key", "v")  # members that were no centres yet
-    step = 0
-    while True:
-        step += 1
-        budget = CENTRES * GROWTH ** (step - 1)
-        placed = open_.join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-        sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-        state = sizes.groupBy("key").agg(F.sum("size").alias("size"), F.max(F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
-        state = state.select("key", (F.col("size") - F.col("main.size")).alias("outside"), F.col("main.c").alias("main"))
-        drawn = (F.col("outside") <= budget) | (F.pmod(F.xxhash64("v", F.lit(step)), F.col("outside")) < budget)
-        placed = placed.join(state, "key").withColumn("is_centre", (F.col("c") != F.col("main")) & drawn).drop("outside", "main")
-        placed = common.store(placed.join(coarse, "v").select("key", "v", "c", "is_centre", "n", *BITS), f"open_{step}")
-        if placed.isEmpty():
-            break
-        centre = placed.filter("is_centre").drop("is_centre").toDF("key", "w", "d", "w_n", *(f"w_{x}" for x in BITS))
-        pairs = placed.join(centre, "key").filter((F.col("c") != F.col("d")) & coarsely_alike("", "w_", minimum)).select(*ordered("v", "w")).distinct()
-        pairs = common.store(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs_{step}")
-        tested = tested.union(pairs)
-        open_ = placed.filter("not is_centre").select("key", "v")
-        if pairs.isEmpty():
-            continue
-        found = links(pairs, str(step))
-        labels = unite(labels, found, str(step))
-        common.release(docs.sparkSession)
-    placed = table.select("doc_key", "n", "v").join(labels, "v", "left").select("doc_key", "n", F.coalesce("c", "v").alias("c"))
-    placed = common.store(placed, "placed")
+        pairs = common.store(pairs, f"pairs_{step}")
+        labels = unite(labels, links(pairs, step), step)
+    common.release(spark)
+    placed = members.select("key", "v").join(labels, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
+    open_ = common.store(placed.join(open_, "key", "left_semi").select("v", "c").distinct(), "open")
+    tokens = texts.join(open_, "v", "left_semi").mapInArrow(_shingles, "v long, n long, shingle long")
+    meeting = prefixes(common.store(tokens, "shingles"), percent).join(open_, "v").join(coarse.drop("n"), "v")
+    meeting = common.store(meeting, "prefixes")
+    common.release(spark)
+    # of a shingle's sets, those outside its largest component meet all
+    at = ["shingle", "low", "high"]
+    state = meeting.groupBy(*at, "c").agg(F.count(F.lit(1)).alias("size")).groupBy(*at)
+    state = state.agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "c"))["c"].alias("main")).filter("components > 1").drop("components")
+    outside = meeting.join(state, at).filter("c <> main").drop("main").toDF("w", "w_n", *at, "d", *(f"w_{x}" for x in BITS))
+    pairs = meeting.join(outside, at).filter((F.col("c") != F.col("d")) & coarsely_alike("", "w_", minimum)).select(*ordered("v", "w")).distinct()
+    pairs = common.store(pairs, "pairs_rare")
+    labels = unite(labels, links(pairs, "rare"), "rare")
+    common.release(spark)
+    grouped = vertices.select("set_name", "v").join(labels, "v", "left").select("set_name", F.coalesce("c", "v").alias("c"))
+    placed = common.store(table.select("doc_key", "n", "set_name").join(grouped, "set_name", "left").select("doc_key", "n", "c"), "placed")
     smallest = placed.filter("c is not null").groupBy("c").agg(F.min("doc_key").alias("least"))
     out = placed.join(smallest, "c", "left").withColumn("component", F.coalesce("least", "doc_key"))
     return out.select(common.id_of("doc_key").alias("doc_id"), F.col("n").alias("n_shingles"), common.id_of("component").alias("component_id"), (F.col("component") == F.col("doc_key")).alias("kept"))
