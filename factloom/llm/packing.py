@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,61 +16,82 @@ from . import common
 
 #: Tokens of one unit of length; lengths are rounded up to units for the linear program, so a sequence of 4,096 tokens has 256.
 UNIT = 16
-_SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]+)?")
-#: Pieces, and letter runs of pieces, that one worker keeps encoded.
-_CACHE_SIZE, _PARTS_SIZE = 300_000, 1_000_000
-_coders: dict[str, WordCoder] = {}
+#: Rests of fewer tokens than this are bundled with others of their length, so that little of a bundle's last unit is empty.
+SHORT = 128
+#: Full stops and the like: after a letter or digit they begin a pre-token of their own.
+_STOPS = b".,;:!?"
+#: Pieces that one worker keeps encoded, characters of the texts whose unknown pieces are encoded together, and pieces of one library call.
+_CACHE_SIZE, _GROUP, _CALL = 500_000, 30_000, 128
 
 
 class WordCoder:
-    """ids of whole texts, as little-endian unsigned 32-bit integers, by a tokenizer that drops white space and never joins
-    across it: texts are split at \\x20 and \\x09-\\x0D, and each distinct piece is encoded once while it is cached."""
+    """ids of whole texts, as little-endian unsigned 32-bit integers, by word_bpe_49k.json or another tokenizer that lower-cases,
+    drops white space and never joins across it: texts are split at \\x20 and \\x09-\\x0D, and each distinct piece is encoded once while it is cached."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def together(self, parts: list[str]) -> dict[str, bytes]:
-        """Parts without white space, encoded in one call with line ends between them."""
-        encoded = self.tokenizer.encode("\n".join(parts), add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4")
-        starts = np.cumsum([0, *(len(x) + 1 for x in parts)])
-        cuts = np.searchsorted(np.array([a for a, _ in encoded.offsets], np.int64), starts)
-        return {x: ids[a:b].tobytes() for x, a, b in zip(parts, cuts, cuts[1:])}
+    def together(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces without white space, encoded in one call with line ends between them."""
+        text = b"\n".join(pieces).decode()
+        encoded = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        starts = np.cumsum([0, *(len(x) + 1 for x in text.split("\n"))])
+        cuts = (4 * np.searchsorted(np.array([a for a, _ in encoded.offsets], np.int64), starts)).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Unknown pieces: letters and punctuation after them are pre-tokens of their own, and kept by themselves."""
-        split, unknown = {}, {}
+        """Unknown pieces. Stops after a letter or digit are cut off, plain letters lower-cased, so that forms of a word are encoded once."""
+        cache, known, split, unknown = self.cache, {}, [], set()
         for p in pieces:
-            text = p.decode()
-            simple = _SIMPLE.fullmatch(text)
-            parts = [x.lower() if x.isascii() else x for x in simple.groups() if x] if simple else [text]
-            split[p] = parts
-            unknown.update((x, None) for x in parts if x not in self.parts)
-        plain = [x for x in unknown if "<|" not in x]
-        new = self.together(plain) if plain else {}
-        new.update((x, self.raw(x)) for x in unknown if "<|" in x)
-        parts, cache = self.parts, self.cache
-        out = {p: b"".join(new[x] if x in new else parts[x] for x in own) for p, own in split.items()}
-        if len(parts) < _PARTS_SIZE:
-            parts.update(new)
-        if len(cache) < _CACHE_SIZE:
-            cache.update(out)
+            base = p.rstrip(_STOPS)
+            if base == p or not base[-1:].isalnum():
+                base, stops = p, b""
+            else:
+                stops = p[len(base) :]
+            if base.isalnum():
+                base = base.lower()
+            split.append((p, base, stops))
+            if base not in cache:
+                unknown.add(base)
+            if stops and stops not in cache:
+                unknown.add(stops)
+        plain = [x for x in unknown if b"<|" not in x]
+        for i in range(0, len(plain), _CALL):
+            part = plain[i : i + _CALL]
+            known.update(zip(part, self.together(part)))
+        known.update((x, self.raw(x.decode())) for x in unknown if b"<|" in x)
+        for p, base, stops in split:
+            ids = known[base] if base in known else cache[base]
+            known[p] = ids + (known[stops] if stops in known else cache[stops]) if stops else ids
+        return known
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        lists, cache = [x.encode().split() for x in texts], self.cache
+        new = self.learn(set().union(*lists).difference(cache))
+        room = _CACHE_SIZE - len(cache)
+        cache.update(new)
+        out = [b"".join(map(cache.__getitem__, x)) for x in lists]
+        for x in list(new)[max(room, 0) :]:  # what came first stays: frequent pieces come soon
+            del cache[x]
         return out
 
-    def ids(self, text: str) -> bytes:
-        pieces = text.encode().split()
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            new = self.learn({p for p in pieces if p not in cache})
-            return b"".join([cache[p] if p in cache else new[p] for p in pieces])
+
+def _grouped(texts: list[str], most: int = _GROUP) -> Iterator[list[str]]:
+    group, size = [], 0
+    for x in texts:
+        group.append(x)
+        size += len(x)
+        if size > most:
+            yield group
+            group, size = [], 0
+    yield group
 
 
 def _pieces(path: str, length: int, end: int):
@@ -79,18 +99,17 @@ def _pieces(path: str, length: int, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _coders:
-            _coders[path] = WordCoder(path)
-        coder, tail = _coders[path], np.array([end], "<u4").tobytes()
+        coder, tail = common.kept(("words", path), lambda: WordCoder(path)), np.array([end], "<u4").tobytes()
         for batch in batches:
-            rows = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = coder.ids(text) + tail
-                n = len(ids) // 4
-                for start in range(0, n, length):
-                    part = ids[4 * start : 4 * (start + length)]
-                    for column, x in zip(rows, (doc, start, len(part) // 4, zlib.crc32(part), n)):
-                        column.append(x)
+            rows, at = ([], [], [], [], []), iter(batch.column(0).to_pylist())
+            for group in _grouped(batch.column(1).to_pylist()):
+                for doc, ids in zip(at, coder.ids(group)) if group else ():
+                    ids += tail
+                    n = len(ids) // 4
+                    for start in range(0, n, length):
+                        part = ids[4 * start : 4 * (start + length)]
+                        for column, x in zip(rows, (doc, start, len(part) // 4, zlib.crc32(part), n)):
+                            column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], schema=schema)
 
     return run
@@ -198,16 +217,25 @@ def plan(demand: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return chosen
 
 
+def bundle(length: int, unit: int, most: int = 64) -> tuple[int, int]:
+    """How many rests of this length are taken together, and the units that they fill with least waste, of at most `most`."""
+    best = min(range(1, most + 1), key=lambda u: (1.0, u) if unit * u < length else (round(1 - unit * u // length * length / (unit * u), 3), u))
+    return (unit * best // length, best) if unit * best >= length else (1, -(-length // unit))
+
+
 def pack(
-    docs: DataFrame, length: int = 4096, end_id: int = 2, vocabulary: str = "word_bpe_49k.json", unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, length: int = 4096, end_id: int = 2, vocabulary: str = "word_bpe_49k.json", unit: int = UNIT, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pack the tokens of whole documents, each closed by `end_id`, into sequences of at most `length` tokens.
 
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document longer
-    than a sequence is cut into full sequences and a rest; the rests, and all shorter documents, stay whole. Their lengths
-    in units of `unit` tokens make a histogram (at most length / unit numbers, the only thing that the driver gathers); column generation over its
-    patterns solves the cutting-stock program, rounding down and filling up gives the patterns, and documents take the
-    places of their length in the order of their rank.
+    than a sequence is cut into full sequences and a rest; the rests, and all shorter documents, stay whole. Rests of less
+    than `short` tokens are bundled with others of their length to items of nearly whole units. The items' lengths
+    in units of `unit` tokens make a histogram (at most short + length / unit numbers, the only thing that the driver gathers); column generation over its
+    patterns solves the cutting-stock program (it may end within a thousandth of the optimum, or after 12,000 steps), rounding down and
+    filling up gives the patterns, and documents take the places of their length in the order of their rank.
+
+    vocabulary: word_bpe_49k.json, by name for public_tokenizers.path() or as a path, or one that splits and lower-cases alike.
 
     A missing text counts as empty: one token, the end. Ids may be missing or repeat: each row is packed by itself. An
     empty table gives an empty result. Other columns are not read. Texts are read once and never shuffled.
@@ -216,10 +244,19 @@ def pack(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     pieces = rows.mapInArrow(_pieces(path, length, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    units = F.when(F.col("length") == length, 0).otherwise(F.ceil(F.col("length") / unit)).cast("int")
-    pieces = common.store(common.with_bin(pieces.withColumn("units", units)), "pieces")
-    histogram = {r["units"]: r["n"] for r in pieces.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}
-    demand = np.array([histogram.get(i + 1, 0) for i in range(length // unit)], np.int64)
+    # the kind of a piece: 0 is a full sequence, a short one has its exact length, others their units beyond
+    kind = F.when(F.col("length") == length, 0).when(F.col("length") < short, F.col("length")).otherwise(short + F.ceil(F.col("length") / unit)).cast("int")
+    pieces = common.store(common.with_bin(pieces.withColumn("kind", kind)), "pieces")
+    histogram = {r["kind"]: r["n"] for r in pieces.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    demand, items = np.zeros(length // unit, np.int64), []
+    for k, n in sorted(histogram.items()):
+        each, units = bundle(k, unit, length // unit) if 0 < k < short else (1, k - short)
+        if not k:
+            continue
+        for lo, hi, each, units in ((0, n // each * each, each, units), (n // each * each, n, 1, -(-k // unit) if k < short else units)):
+            if hi > lo:
+                items.append((k, lo, hi, each, units, int(demand[units - 1])))
+                demand[units - 1] += (hi - lo) // each
     entries, taken, sequences = [], np.zeros(len(demand), np.int64), 0
     for n, counts in plan(demand):
         for place, i in enumerate(np.flatnonzero(counts)[::-1]):
@@ -227,15 +264,20 @@ def pack(
             entries.append((int(i) + 1, int(taken[i]), int(taken[i]) + n * a, a, sequences, place))
             taken[i] += n * a
         sequences += n
-    ranked = common.number_within(pieces, ["units"], ["doc_id", "start", "ids_crc32"], "rank")
-    full = ranked.filter("units = 0").select("*", (F.col("rank") + F.lit(sequences)).alias("sequence_id"), F.lit(0).alias("place"), F.lit(0).alias("within"))
-    # a few hundred patterns of at most length / unit entries: bounded by the histogram
-    places = docs.sparkSession.createDataFrame(entries, "units int, lo long, hi long, a long, base long, place int")
-    in_pattern = F.col("rank") - F.col("lo")
-    rest = ranked.filter("units > 0").join(F.broadcast(places), "units").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    rest = rest.withColumn("sequence_id", F.col("base") + F.floor(in_pattern / F.col("a"))).withColumn("within", F.pmod(in_pattern, F.col("a")).cast("int"))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place", "within"]
-    before = Window.partitionBy("sequence_id").orderBy("place", "within").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = common.number_within(pieces, ["kind"], ["doc_id", "start", "ids_crc32"], "rank")
+    spark, ahead = docs.sparkSession, [F.lit(0).alias(x) for x in ("place", "within", "inner")]
+    full = ranked.filter("kind = 0").select("*", (F.col("rank") + F.lit(sequences)).alias("sequence_id"), *ahead)
+    # a few hundred kinds, and patterns of at most length / unit entries: bounded by the histogram
+    made = F.broadcast(spark.createDataFrame(items, "kind int, first long, last long, each long, units int, base long"))
+    places = F.broadcast(spark.createDataFrame(entries, "units int, lo long, hi long, a long, start_id long, place int"))
+    rest = ranked.filter("kind > 0").join(made, "kind").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    in_kind = F.col("rank") - F.col("first")
+    rest = rest.withColumn("item", F.col("base") + F.floor(in_kind / F.col("each"))).withColumn("inner", F.pmod(in_kind, F.col("each")).cast("int"))
+    in_pattern = F.col("item") - F.col("lo")
+    rest = rest.join(places, "units").filter((F.col("item") >= F.col("lo")) & (F.col("item") < F.col("hi")))
+    rest = rest.withColumn("sequence_id", F.col("start_id") + F.floor(in_pattern / F.col("a"))).withColumn("within", F.pmod(in_pattern, F.col("a")).cast("int"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place", "within", "inner"]
+    before = Window.partitionBy("sequence_id").orderBy("place", "within", "inner").rowsBetween(Window.unboundedPreceding, -1)
     placed = rest.select(columns).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     out = full.select(columns).withColumn("offset", F.lit(0).cast("long")).unionByName(placed)
     return out.select(*columns[:5], F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))

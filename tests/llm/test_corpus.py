@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -109,27 +110,43 @@ def test_byte_bpe(docs, rows, empty):
     assert byte_bpe.encode_decode(empty).count() == 0
 
 
-def test_packing(docs, rows, empty):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    out = packing.pack(docs, length=256).collect()
-    assert packing.pack(empty).count() == 0
-    totals, wanted = Counter(), Counter()
-    for r in out:
-        totals[r["doc_id"]] += r["length"]
-    for i, x, *_ in rows:
-        wanted[i] += len(t.encode(x or "", add_special_tokens=False).ids) + 1
-    assert totals == wanted
+def held_in_sequences(out, length):
+    """Checks that each sequence is gapless; returns the share of padding."""
     sequences = {}
     for r in out:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for x in sequences.values():
         at = 0
-        for offset, length in sorted(x):
+        for offset, n in sorted(x):
             assert offset == at
-            at += length
-        assert at <= 256
+            at += n
+        assert at <= length
+    return 1 - sum(r["length"] for r in out) / (length * len(sequences))
+
+
+def test_packing(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["Don't STOP... 'S the <|endoftext|>. X's", "e\u0301a J\u030c. \u1e9eß İi 3rd,4th?! a\u00a0b c\u200bd", "<|ENDOFTEXT|> (a)!, b*. «x». \ufb01n\u2028y", "ends.\x1cthere\x85 now."]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(200 + i, x) for i, x in enumerate(odd)], "doc_id long, text string"))
+    out = packing.pack(more, length=256).collect()
+    assert packing.pack(empty).count() == 0
+    expected = Counter()
+    for i, x in [(i, x) for i, x, *_ in rows] + [(200 + i, x) for i, x in enumerate(odd)]:
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        for start in range(0, len(ids), 256):
+            part = ids[start : start + 256]
+            expected[i, start, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert Counter(tuple(r)[:5] for r in out) == expected
+    held_in_sequences(out, 256)
+
+
+def test_packing_of_short_texts(spark):
+    r = random.Random(6)
+    short = spark.createDataFrame([(i, None if i % 3 == 0 else words(r, r.choice([0, 1, 3, 17, 18]))) for i in range(6000)], "doc_id long, text string")
+    out = packing.pack(short, length=512).collect()
+    assert len(out) == 6000 and held_in_sequences(out, 512) < 0.03
 
 
 def test_plan_holds_demand():
