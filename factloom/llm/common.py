@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 #: Stands for a missing id wherever rows are matched by id.
 NO_ID = -(2**63)
 _written: list[str] = []
+_kept: dict = {}
+
+
+def kept(name, make):
+    """What a Python worker keeps between tasks under `name`, as make() gave it. A worker keeps one at a time: that of an
+    earlier operator goes, so stages that follow each other in reused workers don't add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/factloom-checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local mode does without: one machine, one folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/factloom-checkpoints"
+    return folder.rstrip("/")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -24,7 +24,6 @@ _STABLE = re.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e\u200b\ufeff])(?=[ \n])")
 _SIMPLE = re.compile(r"([ \n][^\W\d_]+)([.,;:!?]+)?")
 #: Pieces, and letter runs of pieces, that one worker keeps counted.
 _CACHE_SIZE, _PARTS_SIZE = 300_000, 1_000_000
-_tokenizers: dict[str, object] = {}
 
 
 class Counter:
@@ -85,9 +84,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    if path not in _tokenizers:
-        _tokenizers[path] = Counter(path)
-    return _tokenizers[path]
+    return common.kept(("counter", path), lambda: Counter(path))
 
 
 def chunk_boundaries(tokenizer, text: str, head: int, tail: int, most: int = 16) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
