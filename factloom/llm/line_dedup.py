@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 _WORD = r"[^\x20\x09-\x0D]"
-
-
-def _longer(x: Column, y: Column) -> Column:
-    """The name of a place, made of its own name and of that of the place where it ends or overlaps."""
-    return F.struct(x["lo"].alias("lo"), y["hi"].alias("hi"), F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(1), x["b"], y["b"]).alias("b"))
-
-
-def _doubled(step: int):
-    def names(x: Column) -> Column:
-        n = F.greatest(F.size(x) - step, F.lit(0))
-        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(1 + step), n), _longer)
-
-    return names
+_DOC = ["doc_key", "text_key"]
 
 
 def _bound(value: Column, body) -> Column:
@@ -28,35 +16,70 @@ def _bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def line_runs(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every stretch of `min_run` lines that an earlier place of the corpus also has: doc_key, text_key, lo, hi (line numbers).
-
-    A document is the sequence of its \\n-split lines that hold a word; a line's ID is a 128-bit hash. The suffix of each
-    place gets a name for its first 1, 2, 4, ... lines: the name of 2k lines is made of the names of k lines at the place
-    and k lines further. Suffixes don't cross documents, so a doubling step needs no shuffle; places of equal name form
-    one LCP interval of at least `min_run` lines, found by one grouping over the whole corpus. Unions of these stretches
-    are the maximal repeated runs. The first place, by (doc_id, text hash, line), is the copy that stays.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), F.split(text, "\n").alias("lines"))
-    ids = F.transform("lines", lambda x, i: F.when(x.rlike(_WORD), F.struct(i.alias("lo"), i.alias("hi"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
-    named, length = keyed.select("doc_key", "text_key", F.filter(ids, lambda x: x.isNotNull()).alias("names")), 1
-    while length < min_run:
-        step = min(length, min_run - length)  # names of k lines, k or fewer further: together k + step lines
-
-        named = named.withColumn("names", _bound(F.col("names"), _doubled(step)))
-        length += step
-    places = named.select("doc_key", "text_key", F.explode("names").alias("n")).select("doc_key", "text_key", "n.lo", "n.hi", "n.a", "n.b")
-    first = F.min(F.struct("doc_key", "text_key", "lo")).alias("first")
+def _repeated(places: DataFrame) -> DataFrame:
+    """Of stored `places` with names (a, b), those whose name stands at several places, and whether theirs is not the first."""
+    first = F.min(F.struct(*_DOC, "lo")).alias("first")
     intervals = places.groupBy("a", "b").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = F.struct("doc_key", "text_key", "lo") > F.col("first")
-    return places.join(intervals, ["a", "b"]).filter(later).select("doc_key", "text_key", "lo", "hi")
+    return places.join(intervals, ["a", "b"]).withColumn("later", F.struct(*_DOC, "lo") > F.col("first")).drop("first")
 
 
-def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Delete the later copies of every run of at least `min_run` lines; the first copy in (doc_id, text hash, line) order stays.
+def repeated_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
+    """For k = 0, 1, ...: the places whose first 2 ** k lines stand at another place too.
 
-    Returns all columns of `docs` with the cleaned text, and n_lines, n_removed_lines (long). Blank lines don't count as
+    A document is the sequence of its \\n-split lines that hold a word; a line's ID is a 128-bit hash. Rank k of a suffix is a
+    name for its first 2 ** k lines: rank k + 1 is made of the ranks k of the place and of the one 2 ** k lines further.
+    Names are hashes instead of sorted numbers: equal names stand for equal lines, which is what intervals of a common
+    prefix need. A suffix of which a rank is unique has a longer common prefix with no other and drops out; rounds end when all
+    have. Columns: doc_key, text_key, at (line of the sequence), lo, hi (first and last line of the text), chars (of the first line), a, b, later.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), F.split(text, "\n").alias("lines"))
+    one = lambda x, i: F.when(x.rlike(_WORD), F.struct(i.alias("lo"), i.alias("hi"), F.char_length(x).alias("chars"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    lines = keyed.select(*_DOC, F.posexplode(F.filter(F.transform("lines", one), lambda x: x.isNotNull())).alias("at", "line")).select(*_DOC, "at", "line.*")
+    places = common.store(lines, "lines")
+    # rows of one id and text are one document
+    ranks, length = [common.store(_repeated(places).dropDuplicates([*_DOC, "at"]), "ranks")], 1
+    common.discard(places)
+    while not ranks[-1].isEmpty():
+        further = ranks[-1].select(*_DOC, (F.col("at") - length).alias("at"), F.col("hi").alias("last"), F.col("a").alias("c"), F.col("b").alias("d"))
+        pairs = ranks[-1].join(further, [*_DOC, "at"])
+        pairs = pairs.select(*_DOC, "at", "lo", F.col("last").alias("hi"), "chars", F.xxhash64("a", "c").alias("a"), F.xxhash64(F.lit(1), "b", "d").alias("b"))
+        pairs = common.store(pairs, "pairs")
+        ranks.append(common.store(_repeated(pairs), "ranks"))
+        common.discard(pairs)
+        length *= 2
+    return ranks[:-1]
+
+
+def line_runs(docs: DataFrame, min_run: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Later copies of repeated runs: doc_key, text_key, lo, hi (lines of the text), without those that lie in another one of their text.
+
+    A maximal run of L lines is the union of its windows of 2 ** k lines, the largest power within L, and each window is a place
+    of a common prefix interval of rank k. Windows count from rank 0 on: a single line of at least `min_chars` characters, or
+    at least `min_run` lines. The first place, by (doc_id, text hash, line), is the copy that stays.
+    """
+    if min_run < 1 or min_run & (min_run - 1):
+        raise ValueError("min_run must be a power of two")
+    found = None
+    for k, places in enumerate(repeated_suffixes(docs, id_col, text_col)):
+        windows = places.filter("later")
+        if 2**k < min_run:
+            windows = windows.filter(F.col("chars") >= min_chars) if k == 0 else None
+        if windows is not None:
+            windows = windows.select(*_DOC, "lo", "hi")
+            found = windows if found is None else found.unionByName(windows)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_key long, text_key long, lo int, hi int")
+    longest = found.groupBy(*_DOC, "lo").agg(F.max("hi").alias("hi"))
+    before = Window.partitionBy(*_DOC).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # the lines of one text
+    return longest.withColumn("past", F.max("hi").over(before)).filter("past is null or hi > past").drop("past")
+
+
+def dedup_lines(docs: DataFrame, min_run: int = 2, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Delete the later copies of every repeated run of lines; the first copy in (doc_id, text hash, line) order stays.
+
+    A run is one line of at least `min_chars` characters, or any `min_run` lines and more (a power of two), so that short lines by themselves, such as
+    headings and rules, stay. Returns all columns of `docs` with the cleaned text, and n_lines, n_removed_lines (long). Blank lines don't count as
     lines of a run; those between two deleted lines of a run go with them, others stay. A run that repeats inside one
     document counts as well.
 
@@ -65,11 +88,11 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
     n_removed_lines are replaced; others, whatever their names, pass through. Places of a very common run are reduced to
     the first one before the shuffle, and Spark splits the join back to the places when it is skewed.
     """
-    hits = line_runs(docs, min_run, id_col, text_col).groupBy("doc_key", "text_key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("hits"))
+    hits = line_runs(docs, min_run, min_chars, id_col, text_col).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("hits"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"))
-    joined = whole.join(hits, ["doc_key", "text_key"], "left")
+    joined = whole.join(hits, _DOC, "left")
     own = F.col("row")[text_col].cast("string")
     # `hits` are sorted by both ends: what stays are the slices before the first, between neighbours and after the last
     def between(lines: Column) -> Column:
@@ -91,7 +114,7 @@ def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are deleted from all documents; the text comes back as its digest."""
+    """Later copies of long lines, and of runs of two or more lines, are deleted from all documents; the text comes back as its digest."""
     out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
@@ -104,7 +127,9 @@ w AS (
 p AS (
   SELECT doc_id, xs[j].pos AS lo, xs[j + 1].pos AS hi, xs[j].l AS l1, xs[j + 1].l AS l2
   FROM (SELECT doc_id, xs, unnest(range(1, len(xs))) AS j FROM w)),
-q AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, lo) AS n FROM p),
+q AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, lo) AS n FROM p
+  UNION ALL
+  SELECT doc_id, x.pos, x.pos, row_number() OVER (PARTITION BY x.l ORDER BY doc_id, x.pos) FROM (SELECT doc_id, unnest(xs) AS x FROM w) WHERE length(x.l) >= 40),
 gone AS (SELECT doc_id, list(DISTINCT i) AS out FROM (SELECT doc_id, unnest(range(lo, hi + 1)) AS i FROM q WHERE n > 1) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN none THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(len(out), 0)::BIGINT AS n_removed_lines,
        sha256(CASE WHEN out IS NULL THEN t ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(out, i)), lambda i: ls[i]), chr(10)), '') END) AS text_sha256

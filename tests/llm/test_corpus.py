@@ -166,6 +166,34 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(docs).filter("doc_id = 1").first()["text"] is None
 
 
+def test_line_dedup_by_brute_force(spark, docs, rows):
+    r = random.Random(8)
+    pool = [words(r, n) for n in (1, 1, 2, 3, 12, 14)] + ["", " \t"]
+    more = [(i if r.random() < 0.9 else None, "\n".join(r.choice(pool) if r.random() < 0.7 else words(r, 2) for _ in range(r.randint(0, 12))) if r.random() < 0.95 else None) for i in range(100, 180)]
+    more += more[:5]
+    all_ = [(i, t) for i, t, *_ in rows] + more
+    hashes = {x["text"]: x["h"] for x in spark.createDataFrame(more, "doc_id long, text string").union(docs.select("doc_id", "text")).selectExpr("text", "xxhash64(coalesce(text, '')) h").collect()}
+    first, gone = {}, {}
+    order = sorted({(-(2**63) if i is None else i, hashes[t], t or "") for i, t in all_})
+    for i, h, t in order:
+        lines = [(n, x) for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+        for m, (n, x) in enumerate(lines):
+            for run in ([(n, x)], lines[m : m + 2]):
+                key = tuple(x for _, x in run)
+                if len(key) > 1 or len(x) >= 40 and len(run) == 1:
+                    if first.setdefault(key, (i, h, n)) != (i, h, n):
+                        gone.setdefault((i, h), set()).update(range(run[0][0], run[-1][0] + 1))
+    expected = Counter()
+    for i, t in all_:
+        out = gone.get((-(2**63) if i is None else i, hashes[t]), set())
+        left = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in out)
+        expected[i, left, 0 if t is None else t.count("\n") + 1, len(out)] += 1
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    found = line_dedup.dedup_lines(both)
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed_lines"]) for r in found.collect()) == expected
+    assert max(len(x) for x in gone.values()) > 8
+
+
 def test_near_duplicates(docs, rows, empty):
     sets = {}
     for i, t, *_ in rows:
