@@ -243,15 +243,38 @@ def test_nearest(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((400, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (None, [1.0] * 16), (904, x[3].tolist())]
+    rows += [(1000 + i, x[20].tolist()) for i in range(1, 10)] + [(40, x[41].tolist()), (920, [1.0] * 15)]  # ties at the last rank, a query's id twice, another size
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=5).collect()
-    ids, all_ = [*range(400), 904], np.vstack([x, x[3]])
+    found = ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=5, block=90).collect()
+    known = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    asked = {}
+    for i, v in known:
+        if i % 20 == 0:
+            asked[i] = v if i not in asked else min(asked[i], v, key=list)
     hits = 0
-    for q in range(0, 400, 20):
-        order = sorted((-float(all_[n] @ x[q]), i) for n, i in enumerate(ids) if i != q)[:5]
-        hits += len({i for _, i in order} & {r["vec_id"] for r in found if r["query_id"] == q})
-    assert hits >= 0.9 * 100 and all(r["vec_id"] not in (900, 901, 902, 903) for r in found)
+    for q, v in asked.items():
+        order = sorted((-float((w * v).sum()), i) for i, w in known if i != q)[:5]
+        own = sorted((x["rank"], -x["score"], x["vec_id"]) for x in found if x["query_id"] == q)
+        assert [x[0] for x in own] == [1, 2, 3, 4, 5] and [x[1:] for x in own] == sorted(x[1:] for x in own)
+        hits += len(set(order) & {x[1:] for x in own})
+    assert len(asked) == 20 and hits >= 0.95 * 5 * 20 and len(found) == 100
+    assert [x["vec_id"] for x in sorted(found, key=lambda x: x["rank"]) if x["query_id"] == 20] == [1001, 1002, 1003, 1004, 1005]
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+    assert ann.nearest(vectors.filter("vec_id < 3"), vectors.filter("vec_id = 0"), k=5).count() == 2
+
+
+def test_nearest_walks_narrow_windows():
+    """Tight clusters: windows stay narrow, few vectors of other clusters are verified, and the nearest are found."""
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((200, 32))
+    x = (centres[:, None] + 0.02 * r.standard_normal((200, 30, 32))).reshape(-1, 32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lines = np.random.default_rng(11).standard_normal((128, 33))
+    spot = np.append(x[7], 0.0) @ lines.T
+    chosen = ann.ProjectionIndex(np.pad(x, ((0, 0), (0, 1))), lines).colliding(spot, ann.WIDTH * 0.04, 80)
+    assert set(chosen.tolist()) <= set(range(30)) and 7 in chosen
+    ids, _, scores = (np.concatenate(v) for v in ann.search_block(np.arange(6000), x, np.array([7]), x[7:8], np.array([np.inf]), 20, lines, 0.62, 1.0))
+    assert len(scores) == 20 and set(np.argsort(-(x @ x[7]))[1:21].tolist()) == set(ann.search_block(np.arange(6000), x, np.array([7]), x[7:8], np.array([np.inf]), 20, lines, 0.62, 1.0)[1][0].tolist())
 
 
 def test_quality_classifier(spark, empty):
