@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .words import word_hashes
+from .words import mix, word_hashes
 
 #: Words of an anchor: of the anchors in a window, the one of the smallest hash stands for it.
 ANCHOR = 5
-#: Distinct passages from which an anchor's windows are dealt one by one instead.
-HOT = 20_000
-#: Words of the passages that one automaton holds, at most (plus one anchor's).
-SHARD_WORDS = 200_000
+#: Words of the distinct passages that one automaton holds, at most; anchors with more are dealt by two anchors, and so on.
+SHARD_WORDS = 100_000
 #: Part of an anchor row whose anchor is known to be shared, dealt together with part 0.
 KNOWN = -1
 PLACES = "anchor long, passage binary, doc_key long, text_key long, start long"
@@ -116,7 +114,7 @@ def anchors(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _anchor_rows(width: int):
-    """(doc_key, text) -> anchor, doc_key, part.
+    """(doc_key, row_key, text) -> anchor, doc_key, row_key, part.
 
     Of an anchor that several documents of a batch share, one row goes to part KNOWN, which tells the other batches;
     the others are known to be shared and get parts of their own, above 0. The rest are in part 0.
@@ -124,19 +122,20 @@ def _anchor_rows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(word_hashes(x)[0], width)[0]) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [np.unique(anchors(word_hashes(x)[0], width)[0]) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             h = np.concatenate(found) if found else np.zeros(0, np.int64)
             if not len(h):
                 continue
-            docs = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             order = np.argsort(h, kind="stable")
-            h, docs = h[order], docs[order]
+            h, row = h[order], row[order]
+            docs = batch.column(0).to_numpy()[row]
             begins = np.ones(len(h), bool)
             begins[1:] = h[1:] != h[:-1]
             starts = np.flatnonzero(begins)
             known = (np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts))[np.cumsum(begins) - 1]
             part = np.where(known, np.where(begins, KNOWN, 1 + docs % 1024), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs), pa.array(part)], ["anchor", "doc_key", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(docs), batch.column(1).take(pa.array(row)), pa.array(part)], ["anchor", "doc_key", "row_key", "part"])
 
     return run
 
@@ -165,21 +164,26 @@ def _passage_rows(width: int):
     return run
 
 
-def _single_windows(width: int):
-    """Passages of a hot anchor -> their windows as passages of their own, each under an anchor of its own."""
-    import hashlib
+def _finer(width: int, level: int):
+    """Passages of an anchor with too many -> their windows under that anchor together with the window's `level`-th smallest one."""
+    k = min(ANCHOR, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: tuple = ([], [], [], [])
-            for i, (passage, start) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist())):
-                words = passage.split()
-                for j in range(len(words) - width + 1):
-                    window = b" ".join(words[j : j + width])
-                    rows[0].append(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True))
-                    rows[1].append(window)
+            for i, (anchor, passage, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)))):
+                ids, begin, end = word_hashes(passage)
+                grams = ids[: len(ids) - k + 1].copy()
+                for j in range(1, k):
+                    grams = mix(grams * _P + ids[j : len(grams) + j])
+                spans = np.sort(np.lib.stride_tricks.sliding_window_view(grams, width - k + 1), axis=1)
+                keys = mix((np.uint64(anchor % 2**64) * _P) ^ spans[:, min(level, spans.shape[1]) - 1]).view(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                for a, n in zip(first.tolist(), np.diff(first, append=len(keys)).tolist()):
+                    rows[0].append(keys[a])
+                    rows[1].append(passage[begin[a] : end[a + n + width - 2]])
                     rows[2].append(i)
-                    rows[3].append(start + j)
+                    rows[3].append(start + a)
             row = pa.array(rows[2], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), batch.column(2).take(row), batch.column(3).take(row), pa.array(rows[3], pa.int64())], batch.schema.names)
 
@@ -189,7 +193,7 @@ def _single_windows(width: int):
 def _matched(width: int):
     """Distinct passages in the order of their anchors -> the smallest document of each of their windows.
 
-    Anchors are taken together to shards of about SHARD_WORDS words; a shard's automaton is built, its passages are
+    Anchors are taken together to shards of at most SHARD_WORDS words (or one anchor); a shard's automaton is built, its passages are
     streamed through it, and it is dropped. A passage that is alone under its anchor needs none: it is its own match.
     """
 
@@ -217,17 +221,19 @@ def _matched(width: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size, last = [], 0, None
+        shard, size, own, n = [], 0, [], 0  # whole anchors, and the current one
         for batch in batches:
             for x in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size >= SHARD_WORDS and x[0] != last:
+                if own and x[0] != own[0][0]:
+                    shard.extend(own)
+                    size, own, n = size + n, [], 0
+                own.append(x)
+                n += x[1].count(b" ") + 1
+                if shard and size + n > SHARD_WORDS:
                     yield flush(shard)
                     shard, size = [], 0
-                shard.append(x)
-                size += x[1].count(b" ") + 1
-                last = x[0]
-        if shard:
-            yield flush(shard)
+        if shard or own:
+            yield flush(shard + own)
 
     return run
 
@@ -274,35 +280,42 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     A missing or empty text has no words. A missing id is smaller than any other; rows of one id are one document, so
     their windows don't cover each other. An empty table gives an empty result. Columns named n_words, n_removed or
     kept_words are replaced; others, whatever their names, pass through. An anchor that many documents share is reduced in
-    each task before the shuffle; one with more than HOT distinct passages is dealt by single windows.
+    each task before the shuffle. Where an anchor's distinct passages have more than SHARD_WORDS words, their windows are dealt anew by that
+    anchor and the next smallest in each window, until every anchor is within the bound or its windows have the same anchors throughout.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_words")]
     text = F.col(text_col).cast("string")
     keys = ["doc_key", "text_key"]
     rows = docs.filter(text.isNotNull()).select(common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = rows.select("doc_key", "text").mapInArrow(_anchor_rows(width), "anchor long, doc_key long, part int")
+    rows = rows.withColumn("row_key", F.hash(*keys))  # tells rows of one id, or of none, apart; others of its value do no harm
+    found = rows.select("doc_key", "row_key", "text").mapInArrow(_anchor_rows(width), "anchor long, doc_key long, row_key int, part int")
     alike = Window.partitionBy("anchor", F.greatest("part", F.lit(0)))
     shared = (F.col("part") > 0) | (F.min("part").over(alike) == KNOWN) | (F.min("doc_key").over(alike) < F.max("doc_key").over(alike))
-    wanted = found.withColumn("shared", shared).filter("shared").groupBy("doc_key").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = found.withColumn("shared", shared).filter("shared").groupBy("doc_key", "row_key").agg(F.collect_list("anchor").alias("anchors"))
     wanted = common.store(wanted, "wanted")
     common.release(spark)
-    places = rows.join(wanted, "doc_key").select(*keys, "text", "anchors").mapInArrow(_passage_rows(width), PLACES)
+    places = rows.join(wanted, ["doc_key", "row_key"]).select(*keys, "text", "anchors").mapInArrow(_passage_rows(width), PLACES)
     places = common.store(places.withColumn("passage_key", F.xxhash64("passage")), "places")
     common.discard(wanted)
     common.release(spark)
     passages = lambda df: df.groupBy("anchor", "passage_key", "passage").agg(F.min("doc_key").alias("least"))
     distinct = common.store(passages(places), "passages")
     common.release(spark)
-    hot = common.store(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
-    stored = [places, distinct]
-    if not hot.isEmpty():  # only the hot anchors' rows are written again
-        single = places.join(hot, "anchor", "left_semi").select("anchor", "passage", *keys, "start").mapInArrow(_single_windows(width), PLACES)
-        single = common.store(single.withColumn("passage_key", F.xxhash64("passage")), "single_places")
-        single_distinct = common.store(passages(single), "single_passages")
-        stored += [single, single_distinct]
-        places = places.join(hot, "anchor", "left_anti").unionByName(single)
-        distinct = distinct.join(hot, "anchor", "left_anti").unionByName(single_distinct)
+    stored, level = [places, distinct], 1
+    crowded = lambda df: common.store(df.groupBy("anchor").agg(F.sum(F.regexp_count(F.col("passage").cast("string"), F.lit(" ")) + 1).alias("n")).filter(F.col("n") > SHARD_WORDS).select("anchor"), "crowded")
+    hot, parts = crowded(distinct), []
+    while level < width - min(ANCHOR, width) + 1 and not hot.isEmpty():  # only these anchors' rows are written again
+        level += 1
+        finer = places.join(hot, "anchor", "left_semi").select("anchor", "passage", *keys, "start").mapInArrow(_finer(width, level), PLACES)
+        finer = common.store(finer.withColumn("passage_key", F.xxhash64("passage")), "finer_places")
+        parts.append((places.join(hot, "anchor", "left_anti"), distinct.join(hot, "anchor", "left_anti")))
+        places, distinct = finer, common.store(passages(finer), "finer_passages")
+        stored += [places, distinct]
+        hot = crowded(distinct)
+        common.release(spark)
+    for other, few in parts:
+        places, distinct = places.unionByName(other), distinct.unionByName(few)
     dealt = distinct.select("anchor", "passage", "least", "passage_key").repartition("anchor").sortWithinPartitions("anchor")
     matched = common.store(dealt.mapInArrow(_matched(width), "anchor long, passage_key long, least array<long>"), "matched")
     common.release(spark)

@@ -219,9 +219,9 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
-def test_substring_dedup(docs, rows, empty, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("most", [100_000, 300, 1])
+def test_substring_dedup(docs, rows, empty, most, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", most)
     least = {}
     key = lambda i: -1 if i is None else i
     for i, t, *_ in rows:
