@@ -18,7 +18,8 @@ BUCKETS = 1 << 16
 LABELLED = 20_000
 #: Pseudo-counts that pull the ratio of a rarely seen bucket towards 1.
 SHRINK = 5.0
-_cache: dict[bytes, tuple[int, int]] = {}
+#: Words that a worker keeps hashed.
+_CACHE_SIZE = 400_000
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"[\x80-\xff]+"), b"u")]
 
 
@@ -37,15 +38,16 @@ def _ids(text: str | None) -> np.ndarray:
     words = text.encode().split() if text else []
     if not words:
         return np.zeros((0, 2), np.uint64)
-    if len(_cache) > 400_000:
-        _cache.clear()
+    cache = common.kept("hashes", dict)
+    if len(cache) > _CACHE_SIZE:
+        cache.clear()
     try:
-        found = list(map(_cache.__getitem__, words))
+        found = list(map(cache.__getitem__, words))
     except KeyError:
         for w in words:
-            if w not in _cache:
-                _cache[w] = _hashes(w)
-        found = list(map(_cache.__getitem__, words))
+            if w not in cache:
+                cache[w] = _hashes(w)
+        found = list(map(cache.__getitem__, words))
     return np.array(found, np.uint64)
 
 
@@ -59,20 +61,31 @@ def _rows(kind: int, names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "name", "n"])
 
 
+def _tally(totals: np.ndarray, waiting: tuple[list, list]) -> None:
+    """Adds the buckets of texts outside and inside the target to the totals of all and of the target."""
+    for inside, found in enumerate(waiting):
+        if found:
+            n = np.bincount(np.concatenate(found), minlength=BUCKETS)
+            totals[0] += n
+            totals[1] += n * inside
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind, name, n: how often a bucket occurs in all text (0) and in good labelled text (1); how many good (2) and toxic (3)
     labelled documents hold a word, named by its whole hash; the number of such documents (4, 5; named 0)."""
     totals = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        held = ([], [])
+        held, waiting, size = ([], []), ([], []), 0
         for text, good, toxic, fit in zip(*(batch.column(i).to_pylist() for i in range(4))):
             ids = _ids(text)
-            found = np.bincount(ngram_buckets(ids), minlength=BUCKETS)
-            totals[0] += found
-            if fit and good:
-                totals[1] += found
+            waiting[bool(fit and good)].append(ngram_buckets(ids))
+            size += len(ids)
+            if size > 500_000:
+                _tally(totals, waiting)
+                waiting, size = ([], []), 0
             if fit and (good or toxic):
                 held[bool(toxic)].append(np.unique(ids[:, 0]))
+        _tally(totals, waiting)
         for kind, words in enumerate(held):
             if words:
                 names, n = np.unique(np.concatenate(words), return_counts=True)
