@@ -6,7 +6,9 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +23,21 @@ def kept(name, make):
     """What a Python worker keeps between tasks under `name`, as make() gave it. A worker keeps one at a time: that of an
     earlier operator goes, so stages that follow each other in reused workers don't add up."""
     if name not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _kept[name] = make()
     return _kept[name]
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, so that a worker holds Python objects of few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

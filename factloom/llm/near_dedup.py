@@ -90,7 +90,8 @@ def corrected_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    common.kept("near_dedup", dict)
+    for batch in common.few(batches):
         rows = ([], [], [])
         for text in batch.column(2).to_pylist():
             s = shingle_set(text)

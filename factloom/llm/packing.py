@@ -100,10 +100,10 @@ def _pieces(path: str, length: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tail = common.kept(("words", path), lambda: WordCoder(path)), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in common.few(batches):
             rows, at = ([], [], [], [], []), iter(batch.column(0).to_pylist())
             for group in _grouped(batch.column(1).to_pylist()):
-                for doc, ids in zip(at, coder.ids(group)) if group else ():
+                for ids, doc in zip(coder.ids(group), at):  # ids first, so that no document is taken without them
                     ids += tail
                     n = len(ids) // 4
                     for start in range(0, n, length):

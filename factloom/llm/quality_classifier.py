@@ -23,14 +23,14 @@ _CACHE_SIZE = 400_000
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"[\x80-\xff]+"), b"u")]
 
 
-def _hashes(word: bytes) -> tuple[int, int]:
-    """Of a word and of its shape: runs of capitals, small letters, digits and other letters, and all punctuation."""
+def _hashes(word: bytes) -> bytes:
+    """Two 64-bit hashes, of a word and of its shape: runs of capitals, small letters, digits and other letters, and all punctuation."""
     import xxhash
 
     shape = word
     for pattern, mark in _SHAPES:
         shape = pattern.sub(mark, shape)
-    return xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape[:16], 1)
+    return xxhash.xxh64_digest(word) + xxhash.xxh64_digest(shape[:16], 1)
 
 
 def _ids(text: str | None) -> np.ndarray:
@@ -42,13 +42,13 @@ def _ids(text: str | None) -> np.ndarray:
     if len(cache) > _CACHE_SIZE:
         cache.clear()
     try:
-        found = list(map(cache.__getitem__, words))
+        found = b"".join(map(cache.__getitem__, words))
     except KeyError:
         for w in words:
             if w not in cache:
                 cache[w] = _hashes(w)
-        found = list(map(cache.__getitem__, words))
-    return np.array(found, np.uint64)
+        found = b"".join(map(cache.__getitem__, words))
+    return np.frombuffer(found, ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def ngram_buckets(ids: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -74,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind, name, n: how often a bucket occurs in all text (0) and in good labelled text (1); how many good (2) and toxic (3)
     labelled documents hold a word, named by its whole hash; the number of such documents (4, 5; named 0)."""
     totals = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
+    for batch in common.few(batches, 5000):
         held, waiting, size = ([], []), ([], []), 0
         for text, good, toxic, fit in zip(*(batch.column(i).to_pylist() for i in range(4))):
             ids = _ids(text)
@@ -160,13 +160,16 @@ def importance_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
         weight, strong = ratio.value
         maybe, low = np.zeros(1 << 16, bool), np.uint64((1 << 16) - 1)
         maybe[[w & 0xFFFF for w in strong]] = True
-        for batch in batches:
-            ids = [_ids(x) for x in batch.column(1).to_pylist()]
-            found = [ngram_buckets(x) for x in ids]
-            sums = pa.array([float(weight[x].sum()) for x in found], pa.float64())
-            words = (set(x[maybe[x[:, 0] & low], 0].tolist()) for x in ids)
-            bad = pa.array([float(sum(strong.get(w, 0.0) for w in sorted(x))) for x in words], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 6)), pa.array([len(x) for x in found], pa.int64()), sums, bad], ["doc_id", "good", "poor", "toxic", "fit", "n_ngrams", "log_weight", "toxic_weight"])
+        for batch in common.few(batches):
+            rows = ([], [], [])
+            for text in batch.column(1).to_pylist():
+                ids = _ids(text)
+                found = ngram_buckets(ids)
+                words = set(ids[maybe[ids[:, 0] & low], 0].tolist())
+                for column, x in zip(rows, (len(found), float(weight[found].sum()), float(sum(strong.get(w, 0.0) for w in sorted(words))))):
+                    column.append(x)
+            sums = (pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.float64(), pa.float64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 6)), *sums], ["doc_id", "good", "poor", "toxic", "fit", "n_ngrams", "log_weight", "toxic_weight"])
 
     scored = marked.mapInArrow(score, "doc_id long, good boolean, poor boolean, toxic boolean, fit boolean, n_ngrams long, log_weight double, toxic_weight double")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)

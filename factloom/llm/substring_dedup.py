@@ -121,6 +121,7 @@ def _anchor_rows(width: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept("substring_dedup", dict)
         for batch in batches:
             found = [np.unique(anchors(word_hashes(x)[0], width)[0]) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             h = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -144,7 +145,7 @@ def _passage_rows(width: int):
     """(doc_key, text_key, text, shared anchors) -> the passages of the shared anchors: the words of all their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.few(batches):
             columns: tuple = ([], [], [], [], [])
             for i, (text, wanted) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3))):
                 ids, begin, end = word_hashes(text)
@@ -242,7 +243,7 @@ def _without(width: int, columns: list[str], text_col: str):
     """Whole rows and the first words of their covered windows -> rows with what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.few(batches):
             texts, totals, removed, kept = [], [], [], []
             for text, runs in zip(batch.column(columns.index(text_col)).to_pylist(), batch.column(len(columns)).to_pylist()):
                 words = text.encode().split() if text else []
