@@ -5,20 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import reachable, transitive_closure
+from .fixpoint import fixpoint, settle
+from .graph import reachable, reaching
+
+
+def split_calls(ops: DataFrame, fns: DataFrame, named_unions: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """kinds(fn, kind) and calls(src, dst) of unsafe operations ops(fn, kind, callee, union_id).
+
+    A call of a function in fns(fn) is an edge, any other one an unsafe kind; a union access counts as `union` only if its
+    union is one of `named_unions`, where those are given, and as `access` otherwise."""
+    local = fns.select(F.col("fn").alias("callee"))
+    calls = ops.filter("kind = 'call'").join(local, "callee", "left_semi").select(F.col("fn").alias("src"), F.col("callee").alias("dst")).distinct()
+    foreign = ops.filter("kind = 'call'").join(local, "callee", "left_anti").select("fn", "kind")
+    kind = F.col("kind") if named_unions is None else F.when((F.col("kind") == "union") & ~F.coalesce(F.col("union_id").isin(named_unions), F.lit(False)), "access").otherwise(F.col("kind"))
+    return ops.filter("kind <> 'call'").select("fn", kind.alias("kind")).union(foreign).distinct(), calls
 
 
 def unsafety(fns: DataFrame, kinds: DataFrame, calls: DataFrame) -> DataFrame:
     """One row: functions, unsafe ones (own kinds, or through calls), those with union accesses among them, and their ratio.
 
     fns(fn); kinds(fn, kind); calls(src, dst). The ratio is null without unsafe functions."""
-    own = kinds.groupBy("fn").agg(F.lit(True).alias("unsafe"), F.bool_or(F.col("kind") == "union").alias("union"))
-    reach = transitive_closure(calls).union(fns.select("fn", "fn")).distinct().toDF("fn", "dst")
-    rolled = reach.join(own.withColumnRenamed("fn", "dst"), "dst").groupBy("fn").agg(F.lit(True).alias("unsafe"), F.bool_or("union").alias("union"))
+    own = kinds.select(F.col("fn").alias("v"), (F.col("kind") == "union").alias("fact")).distinct()
+    rolled = reaching(calls, own).groupBy(F.col("v").alias("fn")).agg(F.lit(True).alias("unsafe"), F.bool_or("fact").alias("union"))
     out = fns.join(rolled, "fn", "left").agg(F.count(F.lit(1)).alias("total"), F.count_if("unsafe").alias("n_unsafe"), F.count_if("union").alias("n_union"))
     return out.withColumn("ratio", F.try_divide("n_union", "n_unsafe"))
 
 
+def returned_calls(copies: DataFrame, taken: DataFrame, results: DataFrame) -> DataFrame:
+    """fn, callee: calls whose result a function may return. copies(fn, dst, src) of whole locals, results(fn, dst, callee) of calls;
+    what is set through an address, taken(fn, local), does not count. Local 0 is the returned value."""
+    address = taken.select("fn", F.col("local").alias("dst"))
+    copies = settle(copies.join(address, ["fn", "dst"], "left_anti").select("fn", F.col("dst").alias("local"), "src"))
+    results = settle(results.join(address, ["fn", "dst"], "left_anti").select("fn", F.col("dst").alias("local"), "callee"))
+    starts = copies.select("fn").union(results.select("fn")).distinct().withColumn("local", F.lit(0))
+    flows = fixpoint(starts, lambda new: new.join(copies, ["fn", "local"]).select("fn", F.col("src").alias("local")))
+    return flows.join(results, ["fn", "local"]).select("fn", "callee").distinct()
+
+
 def allocators(candidates: DataFrame, direct: DataFrame, calls: DataFrame) -> DataFrame:
     """fn: candidates that return what an allocator gave them, directly or by calling such a function."""
     kept = calls.join(candidates.toDF("src"), "src", "left_semi").join(candidates.toDF("dst"), "dst", "left_semi")
@@ -39,6 +62,12 @@ def layout(fields: DataFrame) -> DataFrame:
     return fields.withColumn("offset", F.coalesce(F.sum("len").over(before), F.lit(0)))
 
 
+def field_ranges(placed: DataFrame) -> DataFrame:
+    """layout() with `until`, where the next field begins or the type ends: the slots that one field of a union may write."""
+    by = Window.partitionBy("ty").orderBy("field")
+    return placed.withColumn("until", F.coalesce(F.lead("offset").over(by), F.col("offset") + F.col("len")))
+
+
 def int_set(values: Column, most: int = 10) -> Column:
     """A sorted set of integers, or null for `any` beyond `most` values."""
     found = F.array_sort(F.collect_set(values))
@@ -82,11 +111,152 @@ def islands(rows: DataFrame) -> DataFrame:
     return marked.groupBy("key", "target", "run").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("run")
 
 
+def snippets(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans(path, lo, hi), half-open in bytes of UTF-8, with their text."""
+    text = F.substring(F.col("content").cast("binary"), F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int")).cast("string")
+    return spans.join(files, "path").withColumn("text", text).drop("content")
+
+
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """path, content of files after edits(path, lo, hi, text) at 0-based, half-open, disjoint character spans."""
-    ordered = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "text"))).alias("edits"))
-    step = lambda acc, e: F.struct(F.concat(acc["out"], F.substr(acc["src"], acc["at"] + 1, e["lo"] - acc["at"]), e["text"]).alias("out"), e["hi"].cast("long").alias("at"), acc["src"].alias("src"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"), F.col("content").alias("src"))
-    done = lambda acc: F.concat(acc["out"], F.substr(acc["src"], acc["at"] + 1, F.char_length(acc["src"])))
+    """path, content of files after edits(path, lo, hi, text) at 0-based, half-open, disjoint spans in bytes of UTF-8."""
+    ordered = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", F.col("text").cast("binary").alias("text")))).alias("edits"))
+    cut = lambda acc, n: F.substring(acc["src"], acc["at"] + 1, n)
+    step = lambda acc, e: F.struct(F.concat(acc["out"], cut(acc, e["lo"].cast("int") - acc["at"]), e["text"]).alias("out"), e["hi"].cast("int").alias("at"), acc["src"].alias("src"))
+    start = F.struct(F.lit("").cast("binary").alias("out"), F.lit(0).alias("at"), F.col("content").cast("binary").alias("src"))
+    done = lambda acc: F.concat(acc["out"], cut(acc, F.octet_length(acc["src"]))).cast("string")
     joined = files.join(ordered, "path", "left")
-    return joined.select("path", F.when(F.col("edits").isNull(), F.col("content")).otherwise(F.aggregate("edits", start, step, done)).alias("content"))
+    return joined.select("path", F.when(F.col("edits").isNull(), F.col("content").cast("string")).otherwise(F.aggregate("edits", start, step, done)).alias("content"))
+
+
+def arithmetic(op: str, x: Column, y: Column, bits: int, signed: bool = True) -> Column:
+    """A binary operation on integers of up to 32 bits, wrapped to their width; null where it is not defined (division by 0).
+
+    Operands are values of that type; shifts take the amount modulo the width, and comparisons give 0 or 1."""
+    x, y = x.cast("long"), y.cast("long")
+    quotient = F.when(y != 0, F.try_divide(F.abs(x) - F.pmod(F.abs(x), F.when(y != 0, F.abs(y))), F.abs(y)).cast("long") * F.signum(x).cast("long") * F.signum(y).cast("long"))
+    amount = F.pmod(y, F.lit(bits)).cast("int")
+    raw = {
+        "Add": x + y, "Sub": x - y, "Mul": (x.cast("decimal(20,0)") * y.cast("decimal(18,0)")).cast("decimal(38,0)"), "Div": quotient, "Rem": x - quotient * y,
+        "BitXor": x.bitwiseXOR(y), "BitAnd": x.bitwiseAND(y), "BitOr": x.bitwiseOR(y), "Shl": F.call_function("shiftleft", x, amount), "Shr": F.call_function("shiftright", x, amount),
+        "Eq": (x == y).cast("int"), "Ne": (x != y).cast("int"), "Lt": (x < y).cast("int"), "Le": (x <= y).cast("int"), "Gt": (x > y).cast("int"), "Ge": (x >= y).cast("int"),
+    }[op]
+    return raw.cast("long") if op in ("Eq", "Ne", "Lt", "Le", "Gt", "Ge") else (wrap(raw, bits) if signed else F.pmod(raw, F.lit(1 << bits))).cast("long")
+
+
+def join_index(x: Column, y: Column) -> Column:
+    """Array index struct(num, sym) of both branches: the same number, or the locals that both name, else no local."""
+    same = x["num"].isNotNull() & x["num"].eqNullSafe(y["num"])
+    none = F.array().cast("array<int>")
+    both = F.when(x["num"].isNull() & y["num"].isNull(), F.array_sort(F.array_intersect(x["sym"], y["sym"]))).otherwise(none)
+    return F.when(same, F.struct(x["num"].alias("num"), F.lit(None).cast("array<int>").alias("sym"))).otherwise(F.struct(F.lit(None).cast("long").alias("num"), both.alias("sym")))
+
+
+def without_values(values: Column, removed: Column) -> Column:
+    """An integer set on the branch that none of `removed` takes; `any`, null, stays so."""
+    return F.array_except(values, removed)
+
+
+def is_prefix(shorter: Column, longer: Column) -> Column:
+    return (F.size(shorter) <= F.size(longer)) & (F.slice(longer, F.lit(1), F.size(shorter)) == shorter)
+
+
+def aliases(pointers: DataFrame) -> DataFrame:
+    """state, a, b: locals of one state, pointers(state, local, target), that point to the same place. Each is named with the
+    smallest local of its target, so a target of n locals gives n rows."""
+    return pointers.join(pointers.groupBy("state", "target").agg(F.min("local").alias("a")), ["state", "target"]).select("state", "a", F.col("local").alias("b"))
+
+
+def join_states(left: DataFrame, right: DataFrame) -> DataFrame:
+    """state, local, vals of two branches (integer sets, null for any): locals that both know, with the union of their values."""
+    both = left.toDF("state", "local", "x").join(right.toDF("state", "local", "y"), ["state", "local"])
+    union = F.array_sort(F.array_union("x", "y"))
+    return both.select("state", "local", F.when(F.size(union) <= 10, union).alias("vals"))
+
+
+def last_condition(stmts: DataFrame, switches: DataFrame) -> DataFrame:
+    """fn, block, op, x, y: the last assignment in the block of a switch(fn, block, local) to its local, where that is Eq or Ne of two locals; stmts(fn, block, stmt, dst, op, x, y)."""
+    last = Window.partitionBy("fn", "block").orderBy(F.desc("stmt"))
+    own = stmts.join(switches.withColumnRenamed("local", "dst"), ["fn", "block", "dst"]).withColumn("r", F.row_number().over(last)).filter("r = 1")
+    return own.filter(F.col("op").isin("Eq", "Ne") & F.col("x").isNotNull() & F.col("y").isNotNull()).select("fn", "block", "op", "x", "y")
+
+
+def candidates(structs: DataFrame, fields: DataFrame, foreign: DataFrame, changed: DataFrame) -> DataFrame:
+    """ty, field, union: unnamed union fields of structs that are not foreign and have an integer or boolean field that is
+    neither changed in place nor has its address taken; fields(ty, field, name, kind, type), changed(ty, field)."""
+    tags = fields.filter(F.col("kind").isin("int", "bool")).join(changed, ["ty", "field"], "left_anti").select("ty").distinct()
+    own = structs.join(foreign, "ty", "left_anti").join(tags, "ty", "left_semi")
+    return fields.filter((F.col("kind") == "union") & F.col("name").startswith("C2RustUnnamed")).join(own, "ty", "left_semi").select("ty", "field", F.col("type").alias("union"))
+
+
+def containment(fields: DataFrame) -> DataFrame:
+    """src, dst, step: from a union or struct to each type that has it as a field, with the field taken; paths of these edges lead to all holders."""
+    return fields.filter(F.col("kind").isin("struct", "union")).select(F.col("type").alias("src"), F.col("ty").alias("dst"), F.concat(F.col("ty").cast("string"), F.lit("."), F.col("name")).alias("step")).distinct()
+
+
+def arm_accesses(accesses: DataFrame, arms: DataFrame, width: int = 64) -> DataFrame:
+    """key, access, arm: accesses(key, id, lo, hi, tags) in the first arm(key, id, lo, hi, ord, tags) whose span overlaps theirs, where the tags
+    known at the access are those of the arm, or any for an arm without tags."""
+    met = overlaps(accesses, arms, width)
+    full = met.join(arms.select("key", F.col("id").alias("r_id"), "ord", F.array_sort("tags").alias("arm_tags")), ["key", "r_id"])
+    first = full.groupBy("key", "l_id").agg(F.min_by(F.struct("r_id", "arm_tags"), F.struct("ord", "r_id")).alias("arm"))
+    own = first.join(accesses.select("key", F.col("id").alias("l_id"), F.array_sort("tags").alias("own_tags")), ["key", "l_id"])
+    right = F.when(F.col("arm.arm_tags").isNull(), F.size("own_tags") > 0).otherwise(F.col("own_tags") == F.col("arm.arm_tags"))
+    return own.filter(right).select("key", F.col("l_id").alias("access"), F.col("arm.r_id").alias("arm"))
+
+
+def tagged_by_branch(at_access: DataFrame, at_entry: DataFrame, before: DataFrame) -> DataFrame:
+    """path, tagset known at the access and where the branch begins, but not before the branch: the branch tells the tag."""
+    keys = ["path", "tagset"]
+    return at_access.select(keys).distinct().join(at_entry, keys, "left_semi").join(before, keys, "left_anti")
+
+
+def variant_tags(seen: DataFrame) -> DataFrame:
+    """owner, field, variant, tag of seen rows whose tag is an unsigned 32-bit number."""
+    return seen.filter("tag >= 0 and tag < 4294967296").select("owner", "field", "variant", "tag").distinct()
+
+
+def extend_tags(claimed: DataFrame, more: DataFrame) -> DataFrame:
+    """claimed tags and those of `more` (both owner, field, variant, tag) that no access has claimed; none of an owner's field if the new ones conflict."""
+    keys = ["owner", "field"]
+    new = more.join(claimed, [*keys, "tag"], "left_anti").distinct()
+    clash = new.groupBy(*keys, "tag").agg(F.count_distinct("variant").alias("n")).filter("n > 1").select(keys).distinct()
+    return claimed.union(new.select(claimed.columns)).join(clash, keys, "left_anti").select(claimed.columns).distinct()
+
+
+def remaining_tags(seen: DataFrame, claimed: DataFrame, variants: DataFrame) -> DataFrame:
+    """owner, tag, variant of seen(owner, tag) that no variant has claimed(owner, variant, tag): they go to the one variant(owner, variant) without a tag, or to none."""
+    free = seen.join(claimed, ["owner", "tag"], "left_anti").distinct()
+    bare = variants.join(claimed, ["owner", "variant"], "left_anti").groupBy("owner").agg(F.when(F.count(F.lit(1)) == 1, F.min("variant")).alias("variant"))
+    return free.join(bare, "owner", "left").select("owner", "tag", "variant")
+
+
+def tagged_structs(unions: DataFrame) -> DataFrame:
+    """struct, field, unions: structs whose unions(struct, union, field) all have the same tag field."""
+    out = unions.groupBy("struct").agg(F.count_distinct("field").alias("n"), F.min("field").alias("field"), F.array_sort(F.collect_set("union")).alias("unions"))
+    return out.filter("n = 1").drop("n")
+
+
+def patterns(tags: DataFrame) -> DataFrame:
+    """key, pattern, variant: the sorted tags of each key joined by ' | ', and their variant if they have but one."""
+    out = tags.groupBy("key").agg(F.array_sort(F.collect_set("tag")).alias("t"), F.count_distinct("variant").alias("n"), F.min("variant").alias("variant"))
+    return out.select("key", F.array_join("t", " | ").alias("pattern"), F.when(F.col("n") == 1, F.col("variant")).alias("variant"))
+
+
+def tag_text(tag: Column, kind: Column) -> Column:
+    """A tag as it is written: booleans by name, C integers as signed 32-bit numbers, others as they are."""
+    return F.when(kind == "bool", F.when(tag == 0, "false").otherwise("true")).when(kind == "c_int", wrap(tag, 32).cast("string")).otherwise(tag.cast("string"))
+
+
+def normalize(text: Column) -> Column:
+    """Text without white space and parentheses."""
+    return F.regexp_replace(text, r"[\s()]", "")
+
+
+def line_counts(code: DataFrame) -> DataFrame:
+    """key, n_lines of code(key, text)."""
+    return code.select("key", F.size(F.split("text", "\n")).alias("n_lines"))
+
+
+def statistics(counters: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of all other columns by `keys`."""
+    return counters.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counters.columns if c not in keys])

@@ -2,33 +2,76 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
+
+_written: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local mode does without: one machine, one folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/factloom-checkpoints"
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the folder that driver and executors share and read it again: plans stay short, and a lost executor
-    costs no recomputation of earlier rounds."""
+    """Write `df` to the shared folder and read it again: plans stay short, and a lost executor costs no recomputation of
+    earlier rounds. Files go by forget(), or when the application ends."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/factloom-checkpoints").rstrip("/")
-    path = f"{folder}/factloom-rounds-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factloom-rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_in = path
+    return out
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete tables of settle() that nothing reads any more."""
+    context = SparkContext._active_spark_context
+    for path in {df._settled_in for df in settled} & _written:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _written.discard(path)
+
+
+def _forget_all() -> None:
+    context = SparkContext._active_spark_context
+    if context is None or context._jsc is None or context._gateway is None:
+        return
+    try:
+        for path in list(_written):
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM is already gone at exit
+        pass
+    _written.clear()
+
+
+atexit.register(_forget_all)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
-    """The least set of rows that holds `seed` and step() of its rows: each round steps only from the rows that are new."""
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The least set of rows that holds `seed` and step() of its rows: each round steps only from the rows that are new.
+    It ends when a round finds none, after as many rounds as the longest derivation has steps."""
     known = delta = settle(seed.distinct())
     parts = [known]
-    for _ in range(most):
+    while True:
         delta = settle(step(delta).distinct().join(known, seed.columns, "left_anti").select(seed.columns))
         if delta.isEmpty():
             return known
         parts.append(delta)
         known = known.unionByName(delta)
-        if len(parts) % 8 == 0:  # keep the union short
+        if len(parts) == 8:  # keep the union short; the newest rows are still read
             known = settle(known)
-    raise RuntimeError(f"no fixpoint after {most} rounds")
+            forget(*parts[:-1])
+            parts = [known]

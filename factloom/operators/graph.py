@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import fixpoint, settle
+from .fixpoint import fixpoint, forget, settle
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,21 @@ def symmetric_closure(edges: DataFrame) -> DataFrame:
     return edges.union(inverse(edges)).distinct()
 
 
-def transitive_closure(edges: DataFrame) -> DataFrame:
-    """Pairs joined by a path of one edge or more; a vertex reaches itself only on a cycle."""
+def transitive_closure(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Pairs joined by a path of one edge or more; a vertex reaches itself only on a cycle.
+
+    Strongly connected components are contracted first, so that rounds run over the condensation alone; at the end each
+    pair of components stands for all pairs of their members, which are the rows of the result."""
     edges = settle(edges.select("src", "dst").distinct())
-    hop = edges.toDF("dst", "far")
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few pairs can make many: small rounds are dealt out as well
-    return fixpoint(edges, lambda new: new.repartition(tasks, "src").join(hop, "dst").select("src", F.col("far").alias("dst")))
+    labels = settle(scc(edges) if labels is None else labels)
+    both = edges.join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst")
+    hops = settle(both.select("a", "b").distinct())
+    steps = hops.filter("a <> b").toDF("mid", "b")
+    pairs = fixpoint(hops, lambda new: new.toDF("a", "mid").join(steps, "mid").select("a", "b"))
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # members of one large component go to many tasks
+    left = labels.toDF("src", "a").withColumn("deal", F.pmod(F.xxhash64("src"), F.lit(tasks)))
+    reached = pairs.join(labels.toDF("dst", "b"), "b").select("a", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("deal"))
+    return left.join(reached, ["a", "deal"]).select("src", "dst")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -47,11 +56,50 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that lead from a vertex that none reaches, or to one that reaches none, again and again: they are on no cycle."""
+    n = edges.count()
+    while n:
+        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        inner = settle(inner.select("src", "dst"))
+        left = inner.count()
+        if left == n:
+            break
+        forget(edges)
+        edges, n = inner, left
+    return edges
+
+
 def scc(edges: DataFrame) -> DataFrame:
-    """v, component: the smallest vertex of each strongly connected component, from mutual reachability."""
-    closure = transitive_closure(edges)
-    mutual = closure.join(inverse(closure), ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("least"))
-    return vertices(edges).join(mutual, F.col("v") == F.col("src"), "left").select("v", F.least("v", F.coalesce("least", "v")).alias("component"))
+    """v, component: the smallest vertex of each strongly connected component.
+
+    Every round gives each vertex the smallest one that reaches it; those of that colour that reach that one back are
+    its component, and go. A round moves rows for edges only; what lies on no cycle is trimmed before."""
+    all_ = settle(vertices(edges))
+    left, found = settle(edges.filter("src <> dst").select("src", "dst").distinct()), None
+    while True:
+        left = _trimmed(left)
+        if left.isEmpty():
+            break
+        colour = settle(vertices(left).withColumn("c", F.col("v")))
+        while True:  # only colours that have just become smaller move on
+            moved = (colour if "new" not in colour.columns else colour.filter("new")).join(left, F.col("v") == F.col("src")).groupBy("dst").agg(F.min("c").alias("m"))
+            after = colour.select("v", "c").join(moved, F.col("v") == F.col("dst"), "left")
+            after = settle(after.select("v", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("new")))
+            forget(colour)
+            colour = after
+            if colour.filter("new").isEmpty():
+                break
+        colour = colour.select("v", "c")
+        inside = left.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").filter("c = d").select(F.col("dst").alias("v"), F.col("src").alias("u"), "c")
+        inside = settle(inside)
+        back = fixpoint(colour.filter("v = c"), lambda new: new.join(inside.select("v", "u"), "v").select(F.col("u").alias("v"), "c"))
+        found = settle(back if found is None else found.union(back))
+        out = back.select("v")
+        left = settle(left.join(out.toDF("src"), "src", "left_anti").join(out.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return all_.withColumn("component", F.col("v"))
+    return all_.join(found, "v", "left").select("v", F.coalesce("c", "v").alias("component"))
 
 
 def condensation(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -62,11 +110,34 @@ def condensation(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame
 
 
 def levels(dag: DataFrame, all_vertices: DataFrame) -> DataFrame:
-    """v, level: longest path to a sink of an acyclic graph; ascending levels are a bottom-up order."""
-    dag = settle(dag)
-    hop = dag.select(F.col("dst").alias("v"), F.col("src").alias("u"))
-    found = fixpoint(all_vertices.select("v", F.lit(0).alias("level")), lambda new: new.join(hop, "v").select(F.col("u").alias("v"), (F.col("level") + 1).alias("level")))
-    return found.groupBy("v").agg(F.max("level").alias("level"))
+    """v, level: longest path to a sink of an acyclic graph; ascending levels are a bottom-up order. Each round takes the sinks off."""
+    left, open_, out, level = settle(dag.select("src", "dst").distinct()), settle(all_vertices.select("v").distinct()), None, 0
+    while not open_.isEmpty():
+        inner = settle(left.select(F.col("src").alias("v")).distinct())
+        sinks = open_.join(inner, "v", "left_anti").select("v", F.lit(level).alias("level"))
+        out = settle(sinks if out is None else out.union(sinks))
+        if inner.isEmpty():
+            break
+        left = settle(left.join(inner.toDF("dst"), "dst", "left_semi").select("src", "dst"))
+        open_, level = inner, level + 1
+    return all_vertices.select("v", F.lit(0).alias("level")).limit(0) if out is None else out
+
+
+def merge_weighted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """src, dst, weight: weighted edges between components, each weight once; labels(v, component), others stand for themselves."""
+    a, b = labels.toDF("src", "a"), labels.toDF("dst", "b")
+    both = edges.join(a, "src", "left").join(b, "dst", "left")
+    return both.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"), "weight").distinct()
+
+
+def reaching(edges: DataFrame, facts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """v, fact: every fact(v, fact) of a vertex and of all that it reaches. Facts climb the condensation from round to round, so pairs of vertices are never made."""
+    labels = settle(scc(edges) if labels is None else labels)
+    up = settle(condensation(edges, labels).select(F.col("dst").alias("c"), F.col("src").alias("up")))
+    own = facts.join(labels, "v", "left").select(F.coalesce("component", "v").alias("c"), "fact")
+    found = fixpoint(own, lambda new: new.join(up, "c").select(F.col("up").alias("c"), "fact"))
+    members = labels.union(facts.select("v", F.col("v").alias("component")).join(labels, "v", "left_anti")).distinct()
+    return members.toDF("v", "c").join(found, "c").select("v", "fact").distinct()
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -87,13 +158,16 @@ def dominators(edges: DataFrame, entry: DataFrame) -> DataFrame:
     """d, v: d lies on every path from the one `entry` vertex to v (v dominates itself); only reachable vertices.
 
     A vertex d does not dominate v if v can be reached without d: reachability of all (d, v) at once."""
+    if entry.select("v").distinct().limit(2).count() != 1:
+        raise ValueError("dominators need exactly one entry")
     edges = settle(edges.select("src", "dst").distinct())
     live = settle(reachable(edges, entry))
     hop = edges.toDF("v", "w")
     avoid = live.toDF("d").join(F.broadcast(entry.limit(1))).filter("d <> v")  # the entry is one row
     around = fixpoint(avoid, lambda new: new.join(hop, "v").filter("w <> d").select("d", F.col("w").alias("v")))
-    # everything that d reaches is a candidate; what is also reached around d is none
-    within = transitive_closure(edges).join(live, F.col("src") == F.col("v"), "left_semi").toDF("d", "v")
+    # everything that a live d reaches is a candidate; what is also reached around d is none
+    inner = edges.join(live.toDF("src"), "src", "left_semi").select("src", "dst")
+    within = transitive_closure(inner).toDF("d", "v")
     pairs = within.union(live.select(F.col("v").alias("d"), "v")).distinct()
     return pairs.join(around, ["d", "v"], "left_anti")
 
@@ -103,6 +177,23 @@ def back_edges(edges: DataFrame, entry: DataFrame) -> DataFrame:
     return edges.join(dominators(edges, entry).toDF("dst", "src"), ["src", "dst"], "left_semi").distinct()
 
 
+def loop_bodies(edges: DataFrame, entry: DataFrame) -> DataFrame:
+    """head, v: the vertices of each natural loop, its head included: those that reach a back edge's source without passing the head."""
+    back = settle(back_edges(edges, entry).select(F.col("dst").alias("head"), F.col("src").alias("v")))
+    before = settle(edges.select(F.col("dst").alias("v"), F.col("src").alias("u")).distinct())
+    found = fixpoint(back.union(back.select("head", F.col("head"))), lambda new: new.filter("v <> head").join(before, "v").select("head", F.col("u").alias("v")))
+    return found
+
+
+def live_out(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
+    """block, name: what may be read after a block before it is set anew. uses(block, name): read before any setting in the block; defs(block, name)."""
+    before = settle(edges.select(F.col("dst").alias("block"), F.col("src").alias("up")).distinct())
+    defs = settle(defs.select("block", "name").distinct())
+    grow = lambda new: new.join(before, "block").select(F.col("up").alias("block"), "name").join(defs, ["block", "name"], "left_anti")
+    live_in = fixpoint(uses.select("block", "name"), grow)
+    return live_in.join(before, "block").select(F.col("up").alias("block"), "name").distinct()
+
+
 def join_points(edges: DataFrame) -> DataFrame:
     """v, n_preds: vertices with more than one predecessor."""
     return edges.groupBy(F.col("dst").alias("v")).agg(F.count_distinct("src").alias("n_preds")).filter("n_preds > 1")

@@ -1,7 +1,7 @@
 """Every registered query of the fact-analysis operators over the driver tables, and its SQL oracle.
 
-The driver tables stand in for program facts: consecutive suppliers of an order are edges, other keys give constraints
-by modulo. A shared SQL text defines these facts for both sides; the operators themselves are DataFrame code.
+The driver tables stand in for program facts, whole and by their own keys: consecutive suppliers of an order are edges, orders
+point to customers, regions hold nations. A shared SQL text defines these facts for both sides; the operators themselves are DataFrame code.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, graph, pointsto
+from factloom.operators import facts, graph, layout, pointsto
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -33,8 +33,9 @@ WHERE b IS NOT NULL AND a <> b{more}"""
 
 
 E = edges_sql()
-#: Only for simple_paths: the paths of the whole graph, which is dense, are too many to list.
-E49 = edges_sql(" AND n = 1 AND f = 'R' AND q >= 49")
+#: Holders of each thing, an acyclic graph of four levels: region, nation, customer, order, each with ids of its own.
+HELD = """SELECT 1000000 + CAST(n_regionkey AS BIGINT) AS src, 2000000 + CAST(n_nationkey AS BIGINT) AS dst FROM nation
+UNION ALL SELECT 2000000 + CAST(c_nationkey AS BIGINT), 3000000 + c_custkey FROM customer UNION ALL SELECT 3000000 + o_custkey, 1000000000 + o_orderkey FROM orders"""
 CLOSURE = "tc(src, dst) AS (SELECT src, dst FROM e UNION SELECT tc.src, e.dst FROM tc JOIN e ON e.src = tc.dst)"
 VERTS = "vs AS (SELECT src AS v FROM e UNION SELECT dst FROM e)"
 SCC = "s AS (SELECT v, least(v, coalesce((SELECT min(x.dst) FROM tc x JOIN tc y ON x.src = y.dst AND x.dst = y.src WHERE x.src = v), v)) AS component FROM vs)"
@@ -58,11 +59,6 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def plain(name: str, text: str, oracle: str | None = None) -> None:
-    """A query that is one SQL statement in both dialects."""
-    QUERIES[name], ORACLES[name] = (lambda spark, sf, t=text: sql(spark, sf, t)), oracle or text
-
-
 def with_e(edges: str, rest: str) -> str:
     return f"WITH RECURSIVE e AS ({edges}), {rest}"
 
@@ -110,10 +106,10 @@ def _levels(spark, sf):
     return graph.levels(graph.condensation(e, labels), labels.select(F.col("component").alias("v")).distinct())
 
 
-@query("simple_paths", with_e(E49, f"{VERTS}, p(src, dst, path, n) AS (SELECT v, v, [v], 0 FROM vs UNION ALL SELECT p.src, e.dst, list_append(p.path, e.dst), n + 1 FROM p JOIN e ON e.src = p.dst WHERE n < 4 AND NOT list_contains(p.path, e.dst)) SELECT src, dst, array_to_string(path, '>') AS path, n FROM p WHERE n > 0"))
+@query("simple_paths", with_e(HELD, f"{VERTS}, p(src, dst, path, n) AS (SELECT v, v, [v], 0 FROM vs UNION ALL SELECT p.src, e.dst, list_append(p.path, e.dst), n + 1 FROM p JOIN e ON e.src = p.dst WHERE NOT list_contains(p.path, e.dst)) SELECT src, dst, array_to_string(path, '>') AS path, n FROM p WHERE n > 0"))
 def _paths(spark, sf):
-    e = sql(spark, sf, E49)
-    return graph.simple_paths(e, graph.vertices(e), 4)
+    e = sql(spark, sf, HELD)
+    return graph.simple_paths(e, graph.vertices(e))
 
 
 @query("dominators", with_e(E, f"{DOM} SELECT d, v FROM dom"))
@@ -133,13 +129,15 @@ def _joins(spark, sf):
     return graph.join_points(sql(spark, sf, E))
 
 
+#: Slots over whole tables: suppliers from 10 million on, nations from 20, parts from 30, customers (four slots each) from 40 million,
+#: orders from 1 billion, what is read through an order from 2 billion.
 CONSTRAINTS = {
-    "addr": "SELECT DISTINCT o_orderkey % 60 AS l, 60 + o_custkey % 40 AS o FROM orders WHERE o_totalprice > 400000",
-    "cp": "SELECT DISTINCT l_partkey % 100 AS r, l_suppkey % 60 AS l FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_linenumber = 1",
-    "gep": "SELECT DISTINCT l_orderkey % 60 AS r, l_partkey % 60 AS l, 1 + l_suppkey % 3 AS w FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0 AND l_linenumber = 2",
-    "st": "SELECT DISTINCT l_orderkey % 60 AS v, l_suppkey % 2 AS proj, l_partkey % 60 AS r FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0 AND l_linenumber = 3",
-    "ld": "SELECT DISTINCT l_partkey % 60 AS l, l_orderkey % 60 AS v, l_suppkey % 2 AS proj FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0.08 AND l_linenumber = 4",
-    "ends": "SELECT p_partkey - 1 AS i, CASE WHEN p_partkey - 1 < 60 THEN p_partkey - 1 ELSE p_partkey - 1 + 3 - (p_partkey - 1) % 4 END AS e FROM part WHERE p_partkey <= 100",
+    "addr": "SELECT 1000000000 + o_orderkey AS l, 40000000 + 4 * o_custkey AS o FROM orders UNION SELECT 10000000 + s_suppkey, 20000000 + CAST(s_nationkey AS BIGINT) FROM supplier",
+    "cp": "SELECT DISTINCT 1000000000 + l_orderkey AS r, 30000000 + l_partkey AS l FROM lineitem",
+    "gep": "SELECT DISTINCT 1000000000 + l_orderkey AS r, 30000000 + l_partkey AS l, CAST(l_linenumber AS BIGINT) AS w FROM lineitem WHERE l_returnflag = 'R'",
+    "st": "SELECT DISTINCT 1000000000 + l_orderkey AS v, CAST(l_linenumber AS BIGINT) AS proj, 10000000 + l_suppkey AS r FROM lineitem",
+    "ld": "SELECT DISTINCT 2000000000 + l_orderkey AS l, 1000000000 + l_orderkey AS v, CAST(l_linenumber AS BIGINT) AS proj FROM lineitem WHERE l_linestatus = 'O'",
+    "ends": "SELECT 40000000 + 4 * c_custkey + j AS i, 40000000 + 4 * c_custkey + CASE WHEN j = 0 THEN 3 ELSE j END AS e FROM customer, (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) x UNION ALL SELECT 20000000 + CAST(n_nationkey AS BIGINT), 20000000 + CAST(n_nationkey AS BIGINT) FROM nation",
 }
 PTS = "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in CONSTRAINTS.items()) + """,
 f(k, x, y, one) USING KEY (k, x, y) AS (
@@ -153,8 +151,9 @@ f(k, x, y, one) USING KEY (k, x, y) AS (
   WHERE EXISTS (SELECT 1 FROM f) AND NOT EXISTS (SELECT 1 FROM recurring.f o WHERE o.k = n.k AND o.x = n.x AND o.y = n.y)),
 pts AS (SELECT x AS loc, y AS obj FROM f WHERE k = 'p')"""
 TAKEN = "taken AS (SELECT DISTINCT unnest(range(obj, e + 1)) AS slot FROM pts JOIN ends ON i = obj)"
-WRITES = "SELECT DISTINCT l_orderkey % 30 AS fn, l_partkey % 60 AS loc, l_returnflag = 'R' AS deref, l_suppkey % 2 AS proj, 1 + l_linenumber % 2 AS len FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0.05"
-CALLS = "SELECT DISTINCT l_orderkey % 30 AS src, l_partkey % 30 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0.07 AND l_tax = 0.02"
+WRITES = "SELECT DISTINCT l_suppkey AS fn, CASE WHEN l_returnflag = 'R' THEN 1000000000 + l_orderkey ELSE 40000000 + 4 * l_suppkey END AS loc, l_returnflag = 'R' AS deref, CAST(l_linenumber AS BIGINT) - 1 AS proj, 1 + CAST(l_linenumber AS BIGINT) AS len FROM lineitem"
+#: Regions call their nations, nations their suppliers.
+CALLS = "SELECT 2000000 + CAST(n_regionkey AS BIGINT) AS src, 1000000 + CAST(n_nationkey AS BIGINT) AS dst FROM nation UNION ALL SELECT 1000000 + CAST(s_nationkey AS BIGINT), s_suppkey FROM supplier"
 WSETS = f"""wr AS ({WRITES}), ws AS (
   SELECT DISTINCT fn, slot FROM (
     SELECT fn, unnest(range(loc + proj, loc + proj + len)) AS slot FROM wr WHERE NOT deref
@@ -193,41 +192,48 @@ def _writes(spark, sf):
 
 @query("call_writes", f"{PTS}, {TAKEN}, {WSETS}, e AS ({CALLS}), {CLOSURE}, fs AS (SELECT DISTINCT src AS fn, dst AS g FROM tc UNION SELECT fn, fn FROM ws) SELECT DISTINCT fs.fn, ws.slot FROM fs JOIN ws ON ws.fn = fs.g")
 def _call_writes(spark, sf):
-    own = _write_sets(spark, sf)
-    reach = graph.transitive_closure(sql(spark, sf, CALLS)).toDF("f", "fn").union(own.select("fn", "fn")).distinct()
-    return reach.join(own, "fn").select(F.col("f").alias("fn"), "slot").distinct()
+    return pointsto.call_writes(_write_sets(spark, sf), sql(spark, sf, CALLS))
+
 
+SITES = "SELECT DISTINCT l_suppkey AS fn, l_orderkey AS block, 30000000 + l_partkey AS slot FROM lineitem"
+ENTRIES = "SELECT c_custkey AS callee, 40000000 + 4 * c_custkey AS obj FROM customer WHERE c_acctbal < 0"
 
-@query("indirect_calls", f"{PTS} SELECT DISTINCT loc AS site, obj AS callee FROM pts WHERE loc % 5 = 0 AND obj % 4 = 0")
+
+@query("indirect_calls", f"{PTS} SELECT DISTINCT s.fn, s.block, x.callee FROM ({SITES}) s JOIN pts ON pts.loc = s.slot JOIN ({ENTRIES}) x ON x.obj = pts.obj")
 def _indirect(spark, sf):
     pts, _ = _pts(spark, sf)
-    return pts.filter("loc % 5 = 0 and obj % 4 = 0").select(F.col("loc").alias("site"), F.col("obj").alias("callee")).distinct()
+    return pointsto.resolve_indirect(sql(spark, sf, SITES), pts, sql(spark, sf, ENTRIES))
 
 
-KINDS = "SELECT DISTINCT l_orderkey % 30 AS fn, CASE WHEN l_linestatus = 'O' THEN 'union' ELSE 'deref' END AS kind FROM lineitem WHERE l_quantity >= 50 AND l_tax = 0.01 AND l_discount = 0.09 AND l_linenumber = 1"
-FNS = "SELECT DISTINCT o_orderkey % 30 AS fn FROM orders"
+OPS = """SELECT o_custkey AS fn, CASE o_orderstatus WHEN 'F' THEN 'deref' WHEN 'P' THEN 'union' ELSE 'call' END AS kind, CASE WHEN o_orderstatus = 'O' THEN o_orderkey END AS callee, CAST(NULL AS BIGINT) AS union_id FROM orders
+UNION ALL SELECT 10000000 + CAST(c_nationkey AS BIGINT), 'call', c_custkey, CAST(NULL AS BIGINT) FROM customer"""
+FNS = "SELECT c_custkey AS fn FROM customer UNION ALL SELECT 10000000 + CAST(n_nationkey AS BIGINT) FROM nation UNION ALL SELECT 20000000 + o_orderkey FROM orders"
 
 
-@query("unsafety_report", f"""WITH RECURSIVE e AS ({CALLS}), {CLOSURE}, k AS ({KINDS}), fns AS ({FNS}),
-r AS (SELECT src AS fn, dst FROM tc UNION SELECT fn, fn FROM fns),
+@query("unsafety_report", f"""WITH RECURSIVE ops AS ({OPS}), fns AS ({FNS}), e AS (SELECT DISTINCT fn AS src, callee AS dst FROM ops WHERE kind = 'call' AND callee IN (SELECT fn FROM fns)),
+{CLOSURE}, k AS (SELECT fn, kind FROM ops WHERE kind <> 'call' OR callee NOT IN (SELECT fn FROM fns)), r AS (SELECT src AS fn, dst FROM tc UNION SELECT fn, fn FROM fns),
 u AS (SELECT r.fn, bool_or(kind = 'union') AS un FROM r JOIN k ON k.fn = r.dst GROUP BY r.fn)
 SELECT count(*) AS total, count(u.fn) AS n_unsafe, count(*) FILTER (WHERE un) AS n_union, (count(*) FILTER (WHERE un))::DOUBLE / nullif(count(u.fn), 0) AS ratio FROM fns LEFT JOIN u ON u.fn = fns.fn""")
 def _unsafety(spark, sf):
-    return facts.unsafety(sql(spark, sf, FNS), sql(spark, sf, KINDS), sql(spark, sf, CALLS))
+    fns = sql(spark, sf, FNS)
+    kinds, calls = facts.split_calls(sql(spark, sf, OPS), fns)
+    return facts.unsafety(fns, kinds, calls)
+
 
+SOLVENT, DIRECT = "SELECT s_suppkey AS fn FROM supplier WHERE s_acctbal > 0", "SELECT s_suppkey AS fn FROM supplier WHERE s_acctbal > 9000"
 
-@query("alloc_wrappers", f"""WITH RECURSIVE c AS ({CALLS}), cand AS (SELECT fn FROM ({FNS}) x WHERE fn % 3 <> 0),
-a(fn) AS (SELECT fn FROM cand WHERE fn % 7 = 1 UNION SELECT c.src FROM a JOIN c ON c.dst = a.fn WHERE c.src IN (SELECT fn FROM cand)) SELECT fn FROM a""")
+
+@query("alloc_wrappers", f"""WITH RECURSIVE c AS ({E}), cand AS ({SOLVENT}),
+a(fn) AS (SELECT fn FROM ({DIRECT}) d UNION SELECT c.src FROM a JOIN c ON c.dst = a.fn WHERE c.src IN (SELECT fn FROM cand)) SELECT fn FROM a""")
 def _alloc(spark, sf):
-    candidates = sql(spark, sf, FNS).filter("fn % 3 <> 0")
-    return facts.allocators(candidates, candidates.filter("fn % 7 = 1"), sql(spark, sf, CALLS))
+    return facts.allocators(sql(spark, sf, SOLVENT), sql(spark, sf, DIRECT), sql(spark, sf, E))
 
 
-@query("foreign_types", f"""WITH RECURSIVE c AS ({CALLS}), r(t) AS (SELECT DISTINCT src FROM c WHERE src % 10 = 3 UNION SELECT c.dst FROM r JOIN c ON c.src = r.t),
+@query("foreign_types", f"""WITH RECURSIVE c AS ({HELD}), r(t) AS (SELECT DISTINCT src FROM c WHERE src = 1000003 UNION SELECT c.dst FROM r JOIN c ON c.src = r.t),
 m AS (SELECT src AS t FROM c UNION SELECT dst FROM c) SELECT t AS type, t IN (SELECT t FROM r) AS is_foreign FROM m""")
 def _foreign(spark, sf):
-    refs = sql(spark, sf, CALLS)
-    return facts.partition_types(refs, refs.filter("src % 10 = 3").select(F.col("src").alias("v")).distinct())
+    refs = sql(spark, sf, HELD)
+    return facts.partition_types(refs, refs.filter("src = 1000003").select(F.col("src").alias("v")).distinct())
 
 
 FIELDS = "SELECT l_orderkey AS ty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS field, 1 + l_partkey % 4 AS len FROM lineitem"
@@ -238,7 +244,9 @@ def _layout(spark, sf):
     return facts.layout(sql(spark, sf, FIELDS).withColumn("field", F.col("field").cast("long")))
 
 
-plain("union_offset_ranges", f"SELECT ty, field, len, lead(field) OVER (PARTITION BY ty ORDER BY field) AS next_field FROM (SELECT ty, CAST(field AS BIGINT) AS field, len FROM ({FIELDS}) f) t WHERE len > 1")
+@query("union_offset_ranges", f"SELECT ty, field, len, CAST(\"offset\" AS BIGINT) AS \"offset\", CAST(coalesce(lead(\"offset\") OVER (PARTITION BY ty ORDER BY field), total) AS BIGINT) AS until FROM (SELECT *, coalesce(sum(len) OVER (PARTITION BY ty ORDER BY field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\", sum(len) OVER (PARTITION BY ty) AS total FROM ({FIELDS}) f) t")
+def _ranges(spark, sf):
+    return facts.field_ranges(facts.layout(sql(spark, sf, FIELDS).withColumn("field", F.col("field").cast("long"))))
 
 
 @query("absint_join", "SELECT l_suppkey AS k, CASE WHEN count(DISTINCT l_linenumber) <= 10 THEN array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') END AS vals, CASE WHEN count(DISTINCT l_partkey) <= 10 THEN array_to_string(list_sort(list(DISTINCT l_partkey)), ',') END AS parts FROM lineitem GROUP BY 1")
@@ -277,9 +285,56 @@ def _overlap(spark, sf):
     return facts.overlaps(t.filter("s = 'F'"), t.filter("s = 'O'"), 100)
 
 
-plain("branch_tag_filter", """SELECT DISTINCT o_custkey AS path, o_orderpriority AS tagset FROM orders a WHERE o_orderstatus = 'F'
+@query("branch_tag_filter", """SELECT DISTINCT o_custkey AS path, o_orderpriority AS tagset FROM orders a WHERE o_orderstatus = 'F'
 AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderstatus = 'O')
 AND NOT EXISTS (SELECT 1 FROM orders c WHERE c.o_custkey = a.o_custkey AND c.o_orderpriority = a.o_orderpriority AND c.o_totalprice > 450000)""")
+def _branches(spark, sf):
+    states = sql(spark, sf, "SELECT o_custkey AS path, o_orderpriority AS tagset, o_orderstatus, o_totalprice FROM orders")
+    return facts.tagged_by_branch(states.filter("o_orderstatus = 'F'"), states.filter("o_orderstatus = 'O'"), states.filter("o_totalprice > 450000"))
+
+
+ARMS = "SELECT l_suppkey AS key, l_partkey AS id, l_partkey AS lo, l_partkey + 3 AS hi, l_orderkey AS ord, l_returnflag AS flag FROM lineitem WHERE l_linestatus = 'F'"
+READS = "SELECT l_suppkey AS key, l_orderkey AS id, min(l_partkey) AS lo, min(l_partkey) + 2 AS hi, max(l_returnflag) AS flag FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2"
+
+
+@query("arm_access", f"""WITH a AS ({READS}), m AS (SELECT key, min(id) AS id, lo, hi, min(ord) AS ord, min(flag) AS flag FROM ({ARMS}) x GROUP BY key, lo, hi),
+j AS (SELECT a.key, a.id AS access, m.id AS arm, a.flag AS f, m.flag AS g, row_number() OVER (PARTITION BY a.key, a.id ORDER BY m.ord, m.id) AS r FROM a JOIN m ON a.key = m.key AND a.lo < m.hi AND m.lo < a.hi)
+SELECT key, access, arm FROM j WHERE r = 1 AND (f = g OR g = 'N')""")
+def _arms(spark, sf):
+    arms = sql(spark, sf, ARMS).groupBy("key", "lo", "hi").agg(F.min("id").alias("id"), F.min("ord").alias("ord"), F.min("flag").alias("flag"))
+    reads = sql(spark, sf, READS).withColumn("tags", F.array("flag"))
+    return facts.arm_accesses(reads, arms.withColumn("tags", F.when(F.col("flag") != "N", F.array("flag"))), 16)
+
+
+@query("merged_weights", f"""WITH e AS ({E}), n AS (SELECT s_suppkey AS v, s_nationkey AS c FROM supplier) SELECT DISTINCT CAST(a.c AS BIGINT) AS src, CAST(b.c AS BIGINT) AS dst, CAST(a.v - b.v AS BIGINT) AS weight FROM e JOIN n a ON a.v = e.src JOIN n b ON b.v = e.dst""")
+def _weights(spark, sf):
+    labels = sql(spark, sf, "SELECT s_suppkey AS v, CAST(s_nationkey AS BIGINT) AS component FROM supplier")
+    return graph.merge_weighted(sql(spark, sf, E).withColumn("weight", F.col("src") - F.col("dst")), labels)
+
+
+#: Orders as functions whose locals are their lines, parts as types of 1 to 50 slots by size.
+LOCALS = "SELECT l_orderkey AS fn, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) - 1 AS local, l_partkey AS ty FROM lineitem"
+TYPES = "SELECT p_partkey AS ty, CAST(p_size AS BIGINT) AS len FROM part"
+
+
+@query("slot_numbers", f"""WITH l AS ({LOCALS}), t AS ({TYPES}), x AS (SELECT l.*, t.len, n_args, CASE WHEN local = 0 THEN n_args WHEN local <= n_args THEN local - 1 ELSE local END AS place
+FROM l JOIN t ON t.ty = l.ty JOIN (SELECT fn, CAST(floor((count(*) - 1) / 2) AS INT) AS n_args FROM l GROUP BY fn) f ON f.fn = l.fn)
+SELECT fn, local, CAST(coalesce(sum(len) OVER (ORDER BY fn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS root FROM x""")
+def _slots(spark, sf):
+    rows = sql(spark, sf, LOCALS)
+    fns = rows.groupBy("fn").agg(F.floor((F.count(F.lit(1)) - 1) / 2).cast("int").alias("n_args")).withColumn("item", F.col("fn"))
+    return layout.slots(fns, rows, sql(spark, sf, TYPES)).select("fn", "local", F.col("root").cast("long").alias("root"))
+
+
+@query("taken_results", """WITH RECURSIVE c AS (SELECT o_custkey AS fn, CAST(extract(month FROM o_orderdate) AS INT) - 1 AS dst, CAST(extract(day FROM o_orderdate) AS INT) AS src, o_orderkey, o_orderstatus FROM orders),
+t AS (SELECT DISTINCT fn, dst FROM c WHERE o_orderstatus = 'P'), k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.fn = c.fn AND t.dst = c.dst)),
+r(fn, local) AS (SELECT DISTINCT fn, 0 FROM k UNION SELECT r.fn, k.src FROM r JOIN k ON k.fn = r.fn AND k.dst = r.local AND k.o_orderstatus = 'F')
+SELECT DISTINCT r.fn, k.o_orderkey AS callee FROM r JOIN k ON k.fn = r.fn AND k.dst = r.local AND k.o_orderstatus = 'O'""")
+def _returned(spark, sf):
+    steps = sql(spark, sf, "SELECT o_custkey AS fn, CAST(month(o_orderdate) AS INT) - 1 AS dst, CAST(day(o_orderdate) AS INT) AS src, o_orderkey AS callee, o_orderstatus AS s FROM orders")
+    taken = steps.filter("s = 'P'").select("fn", F.col("dst").alias("local")).distinct()
+    return facts.returned_calls(steps.filter("s = 'F'").select("fn", "dst", "src"), taken, steps.filter("s = 'O'").select("fn", "dst", "callee"))
+
 
 ASSIGNS = "SELECT user_id AS key, event_id AS pos, event_type AS target FROM events"
 
@@ -291,7 +346,14 @@ def _islands(spark, sf):
     return facts.islands(sql(spark, sf, ASSIGNS))
 
 
-plain("candidate_filter", "SELECT p_partkey, p_name FROM part WHERE p_size > 10 AND p_type LIKE 'S%' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 50)")
+@query("candidate_filter", """SELECT l_suppkey AS ty, CAST(l_linenumber AS BIGINT) AS field, l_orderkey AS union FROM lineitem l WHERE l_linestatus = 'F' AND l_returnflag = 'R'
+AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+AND EXISTS (SELECT 1 FROM lineitem x WHERE x.l_suppkey = l.l_suppkey AND x.l_linestatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey = x.l_suppkey AND y.l_linenumber = x.l_linenumber AND y.l_tax > 0.07))""")
+def _candidates(spark, sf):
+    fields = sql(spark, sf, """SELECT l_suppkey AS ty, CAST(l_linenumber AS BIGINT) AS field, CASE WHEN l_returnflag = 'R' THEN 'C2RustUnnamed' ELSE 'named' END AS name, CASE l_linestatus WHEN 'F' THEN 'union' ELSE 'int' END AS kind, l_orderkey AS type FROM lineitem""")
+    changed = sql(spark, sf, "SELECT DISTINCT l_suppkey AS ty, CAST(l_linenumber AS BIGINT) AS field FROM lineitem WHERE l_tax > 0.07")
+    structs = sql(spark, sf, "SELECT s_suppkey AS ty, s_acctbal FROM supplier")
+    return facts.candidates(structs.select("ty"), fields, structs.filter("s_acctbal < 0").select("ty"), changed)
 
 
 @query("wrap_arith", "SELECT o_orderkey, ((o_orderkey * 37 + 128) % 256 + 256) % 256 - 128 AS i8, ((o_orderkey * 104729 + 32768) % 65536 + 65536) % 65536 - 32768 AS i16 FROM orders")
@@ -302,16 +364,18 @@ def _wrap(spark, sf):
 
 @query("normalize_text", r"SELECT p_partkey, regexp_replace('(' || p_name || ' )', '[\s()]', '', 'g') AS norm FROM part")
 def _normalize(spark, sf):
-    return sql(spark, sf, "SELECT * FROM part").select("p_partkey", F.regexp_replace(F.concat(F.lit("("), "p_name", F.lit(" )")), r"[\s()]", "").alias("norm"))
+    return sql(spark, sf, "SELECT * FROM part").select("p_partkey", facts.normalize(F.concat(F.lit("("), "p_name", F.lit(" )"))).alias("norm"))
 
 
-@query("codegen_listagg", "SELECT p_brand, string_agg(DISTINCT p_type, ' | ' ORDER BY p_type) AS pattern, count(DISTINCT p_type) = 1 AS single FROM part GROUP BY p_brand")
+@query("codegen_listagg", "SELECT p_brand AS key, string_agg(DISTINCT p_type, ' | ' ORDER BY p_type) AS pattern, count(DISTINCT p_size) = 1 AS single FROM part GROUP BY p_brand")
 def _listagg(spark, sf):
-    out = sql(spark, sf, "SELECT * FROM part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("t"))
-    return out.select("p_brand", F.array_join("t", " | ").alias("pattern"), (F.size("t") == 1).alias("single"))
+    out = facts.patterns(sql(spark, sf, "SELECT p_brand AS key, p_type AS tag, p_size AS variant FROM part"))
+    return out.select("key", "pattern", F.col("variant").isNotNull().alias("single"))
 
 
-plain("statistics_sum", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS n_supp, CAST(sum(l_linenumber) AS BIGINT) AS lines, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem GROUP BY l_returnflag")
+@query("statistics_sum", "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS lines, count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS keys FROM lineitem GROUP BY l_returnflag")
+def _statistics(spark, sf):
+    return facts.statistics(sql(spark, sf, "SELECT l_returnflag, l_linenumber AS lines, 1 AS n, l_suppkey AS keys FROM lineitem"), ["l_returnflag"])
 
 
 @query("apply_edits", "SELECT CAST(c_custkey AS VARCHAR) AS path, '<' || substr(c_name, 3, 3) || '[' || c_mktsegment || ']' || substr(c_name, 9) AS content FROM customer")

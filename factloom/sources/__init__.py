@@ -1 +1 @@
-"""Reserved for the operators of this kind; see README."""
+"""Readers and writers of fact tables."""
