@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. A
 document's id may be missing; rows that repeat an id are kept or dropped together by the two stages that judge ids.
+A missing or empty text that the first stage keeps stays, since nothing is removed from it, and takes one token in the last; a text
+of which a stage removes all words goes. An empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are cut out; a document of which nothing is left goes."""
+    """Later copies of long lines and of runs of two or more lines are cut out; a document of which nothing is left goes."""
     return _with_text(docs, line_dedup.dedup_lines(docs), "n_removed_lines")
 
 
