@@ -313,10 +313,3 @@ def test_quality_classifier_rejects_toxic(spark):
     toxic = [i for i in range(400) if i % 4 == 0 and i % 10 < 8]
     clean = [i for i in range(400) if i % 4 and i % 10 < 8]
     assert sum(kept[i] for i in toxic) <= 0.02 * len(toxic) and sum(kept[i] for i in clean) >= 0.9 * len(clean)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 100 and "sequence_id" in out.columns
