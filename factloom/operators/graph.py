@@ -154,22 +154,38 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, most: int | None = None) ->
     return out.select("src", "dst", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), (F.size("path") - 1).alias("n"))
 
 
+def _search_tree(hop: DataFrame, entry: DataFrame) -> DataFrame:
+    """v, above: the vertices that a breadth-first search from `entry` passes on its way to v, v included; of equally short ways the one of the smallest predecessor."""
+    known = level = settle(entry.select("v").distinct().select("v", F.array("v").alias("above")))
+    parts = [known]
+    while True:
+        found = level.join(hop, "v").groupBy("w").agg(F.min_by("above", "v").alias("above"))
+        found = found.select(F.col("w").alias("v"), F.array_append("above", F.col("w")).alias("above"))
+        level = settle(found.join(known, "v", "left_anti"))
+        if level.isEmpty():
+            return known
+        known, parts = known.union(level), [*parts, level]
+        if len(parts) == 8:  # the newest level is read once more
+            known = settle(known)
+            forget(*parts[:-1])
+            parts = [known]
+
+
 def dominators(edges: DataFrame, entry: DataFrame) -> DataFrame:
     """d, v: d lies on every path from the one `entry` vertex to v (v dominates itself); only reachable vertices.
 
-    A vertex d does not dominate v if v can be reached without d: reachability of all (d, v) at once."""
+    What lies on every path lies on the shortest one, so the candidates of v are the vertices above it in a search tree. A candidate goes when
+    a predecessor of v has it as none, until all predecessors agree: rows grow with edges times depth, not with pairs of vertices."""
     if entry.select("v").distinct().limit(2).count() != 1:
         raise ValueError("dominators need exactly one entry")
-    edges = settle(edges.select("src", "dst").distinct())
-    live = settle(reachable(edges, entry))
-    hop = edges.toDF("v", "w")
-    avoid = live.toDF("d").join(F.broadcast(entry.limit(1))).filter("d <> v")  # the entry is one row
-    around = fixpoint(avoid, lambda new: new.join(hop, "v").filter("w <> d").select("d", F.col("w").alias("v")))
-    # everything that a live d reaches is a candidate; what is also reached around d is none
-    inner = edges.join(live.toDF("src"), "src", "left_semi").select("src", "dst")
-    within = transitive_closure(inner).toDF("d", "v")
-    pairs = within.union(live.select(F.col("v").alias("d"), "v")).distinct()
-    return pairs.join(around, ["d", "v"], "left_anti")
+    hop = settle(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")).distinct())
+    tree = settle(_search_tree(hop, entry))
+    candidates = settle(tree.select(F.explode("above").alias("d"), "v"))
+    into = settle(hop.join(tree, "v", "left_semi").select(F.col("v").alias("p"), F.col("w").alias("v")))
+    asked = candidates.filter("d <> v").join(into, "v")
+    refused = asked.join(candidates.toDF("d", "p"), ["d", "p"], "left_anti").select("d", "v")
+    step = lambda new: new.toDF("d", "p").join(into, "p").filter("d <> v").select("d", "v").join(candidates, ["d", "v"], "left_semi")
+    return candidates.join(fixpoint(refused, step), ["d", "v"], "left_anti")
 
 
 def back_edges(edges: DataFrame, entry: DataFrame) -> DataFrame:
