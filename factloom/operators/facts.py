@@ -95,12 +95,36 @@ def discover_tags(uses: DataFrame) -> DataFrame:
     return sound.withColumn("r", F.row_number().over(best)).filter("r = 1").select("owner", "field", "n_variants")
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Pairs of half-open spans (key, id, lo, hi) of one key that overlap: spans meet in cells of `width`, and a pair counts in
-    the first cell that both have, so there is an equi-join and no pair twice."""
-    cells = lambda df, x: df.select("key", F.col("id").alias(f"{x}_id"), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
-    met = cells(left, "l").join(cells(right, "r"), ["key", "cell"])
-    return met.filter((F.col("l_lo") < F.col("r_hi")) & (F.col("r_lo") < F.col("l_hi")) & (F.col("cell") == F.floor(F.greatest("l_lo", "r_lo") / width))).select("key", "l_id", "r_id")
+def _level(lo: str, hi: str) -> Column:
+    """The smallest level whose cells, of 2 ** level, are as long as the span: it lies in two of them at most."""
+    length = F.col(hi) - F.col(lo)
+    return F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
+
+
+def _cells(spans: DataFrame, side: str, levels: Column) -> DataFrame:
+    """A row for each cell of each of the span's `levels`."""
+    rows = spans.withColumn("level", F.explode(levels))
+    size = F.pow(F.lit(2.0), F.col("level")).cast("long")
+    last = F.greatest(F.col(f"{side}_hi") - 1, F.col(f"{side}_lo"))
+    return rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col(f"{side}_lo") / size), F.floor(last / size))))
+
+
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key, l_id, r_id: pairs of half-open spans (key, id, lo, hi) of one key that overlap, of any lengths.
+
+    A span has a level by its length and lies in at most two cells of it. Two spans meet at the level of the longer one: the longer in its own cells,
+    the shorter in those around it, of which it has two for each longer level that the other side has, 63 levels at most. So a span takes rows by the
+    logarithm of the lengths, not by its length; a pair counts in the first cell that both have. Bounds must lie within 2 ** 53."""
+    named = lambda df, x: df.select("key", F.col("id").alias(f"{x}_id"), F.col("lo").cast("long").alias(f"{x}_lo"), F.col("hi").cast("long").alias(f"{x}_hi")).withColumn("own", _level(f"{x}_lo", f"{x}_hi"))
+    l, r = named(left, "l"), named(right, "r")  # noqa: E741
+    longer = lambda df: sorted(x["own"] for x in df.select("own").distinct().collect())  # noqa: E731 - at most 64 levels
+    above = lambda df, x, levels: _cells(df, x, F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n > F.col("own")))
+    own = lambda df, x: _cells(df, x, F.array("own"))
+    l_levels, r_levels = longer(l), longer(r)
+    size = F.pow(F.lit(2.0), F.col("level")).cast("long")
+    hit = (F.col("l_lo") < F.col("r_hi")) & (F.col("r_lo") < F.col("l_hi")) & (F.col("cell") == F.floor(F.greatest("l_lo", "r_lo") / size))
+    met = lambda a, b: a.drop("own").join(b.drop("own"), ["key", "level", "cell"]).filter(hit).select("key", "l_id", "r_id")
+    return met(own(l, "l"), own(r, "r")).union(met(own(l, "l"), above(r, "r", l_levels))).union(met(above(l, "l", r_levels), own(r, "r")))
 
 
 def islands(rows: DataFrame) -> DataFrame:
@@ -117,15 +141,26 @@ def snippets(files: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(files, "path").withColumn("text", text).drop("content")
 
 
+def edit_conflicts(edits: DataFrame) -> DataFrame:
+    """path, lo, hi, next_lo: edits(path, lo, hi) that reach into the one that follows them."""
+    by = Window.partitionBy("path").orderBy("lo", "hi")
+    return edits.withColumn("next_lo", F.lead("lo").over(by)).filter("hi > next_lo").select("path", "lo", "hi", "next_lo")
+
+
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """path, content of files after edits(path, lo, hi, text) at 0-based, half-open, disjoint spans in bytes of UTF-8."""
-    ordered = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", F.col("text").cast("binary").alias("text")))).alias("edits"))
-    cut = lambda acc, n: F.substring(acc["src"], acc["at"] + 1, n)
-    step = lambda acc, e: F.struct(F.concat(acc["out"], cut(acc, e["lo"].cast("int") - acc["at"]), e["text"]).alias("out"), e["hi"].cast("int").alias("at"), acc["src"].alias("src"))
-    start = F.struct(F.lit("").cast("binary").alias("out"), F.lit(0).alias("at"), F.col("content").cast("binary").alias("src"))
-    done = lambda acc: F.concat(acc["out"], cut(acc, F.octet_length(acc["src"]))).cast("string")
-    joined = files.join(ordered, "path", "left")
-    return joined.select("path", F.when(F.col("edits").isNull(), F.col("content").cast("string")).otherwise(F.aggregate("edits", start, step, done)).alias("content"))
+    """path, content of files after edits(path, lo, hi, text) at 0-based, half-open spans in bytes of UTF-8, which begin and end between characters.
+
+    Spans of a file must not overlap, or the job fails with the file's path; edit_conflicts() finds those that do. Each edit is the piece of text
+    since the one before it and its own text, and the pieces are joined once. An edit of a file that is not there does nothing."""
+    ordered = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "text"))).alias("edits"))
+    joined = files.join(ordered, "path", "left").withColumn("_src", F.col("content").cast("binary"))
+    since = lambda i: F.when(i > 0, F.get(F.col("edits"), i - 1)["hi"]).otherwise(0)
+    pieces = F.transform("edits", lambda e, i: F.concat(F.substring(F.col("_src"), since(i) + 1, F.greatest(e["lo"] - since(i), F.lit(0))).cast("string"), e["text"]))
+    clash = F.exists(F.transform("edits", lambda e, i: e["lo"] < since(i)), lambda x: x)
+    end = F.element_at("edits", -1)["hi"]
+    rest = F.substring(F.col("_src"), end + 1, F.greatest(F.octet_length("_src") - end, F.lit(0))).cast("string")
+    edited = F.when(clash, F.raise_error(F.concat(F.lit("overlapping edits of "), "path"))).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return joined.select("path", F.when(F.col("edits").isNull(), F.col("content").cast("string")).otherwise(edited).alias("content"))
 
 
 def arithmetic(op: str, x: Column, y: Column, bits: int, signed: bool = True) -> Column:
@@ -180,12 +215,17 @@ def last_condition(stmts: DataFrame, switches: DataFrame) -> DataFrame:
     return own.filter(F.col("op").isin("Eq", "Ne") & F.col("x").isNotNull() & F.col("y").isNotNull()).select("fn", "block", "op", "x", "y")
 
 
-def candidates(structs: DataFrame, fields: DataFrame, foreign: DataFrame, changed: DataFrame) -> DataFrame:
-    """ty, field, union: unnamed union fields of structs that are not foreign and have an integer or boolean field that is
-    neither changed in place nor has its address taken; fields(ty, field, name, kind, type), changed(ty, field)."""
-    tags = fields.filter(F.col("kind").isin("int", "bool")).join(changed, ["ty", "field"], "left_anti").select("ty").distinct()
+def candidates(structs: DataFrame, fields: DataFrame, foreign: DataFrame, changed: DataFrame, bits: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """ty, field, union: fields of unnamed union types in structs that are not foreign and have a field that may be a tag.
+
+    fields(ty, field, kind, type, type_name): a union type is unnamed if type_name, its own name, begins with C2RustUnnamed, whatever the field is called. A tag may
+    be an integer or boolean field that is neither changed in place nor has its address taken, changed(ty, field), or any bit field, bits(ty, field) of
+    layout.bitfields(). only(union) keeps these unions alone."""
+    tags = fields.filter(F.col("kind").isin("int", "bool")).join(changed, ["ty", "field"], "left_anti").select("ty")
+    tags = (tags if bits is None else tags.union(bits.select("ty"))).distinct()
     own = structs.join(foreign, "ty", "left_anti").join(tags, "ty", "left_semi")
-    return fields.filter((F.col("kind") == "union") & F.col("name").startswith("C2RustUnnamed")).join(own, "ty", "left_semi").select("ty", "field", F.col("type").alias("union"))
+    out = fields.filter((F.col("kind") == "union") & F.col("type_name").startswith("C2RustUnnamed")).join(own, "ty", "left_semi").select("ty", "field", F.col("type").alias("union"))
+    return out if only is None else out.join(only.select("union").distinct(), "union", "left_semi").select("ty", "field", "union")
 
 
 def containment(fields: DataFrame) -> DataFrame:
@@ -193,10 +233,10 @@ def containment(fields: DataFrame) -> DataFrame:
     return fields.filter(F.col("kind").isin("struct", "union")).select(F.col("type").alias("src"), F.col("ty").alias("dst"), F.concat(F.col("ty").cast("string"), F.lit("."), F.col("name")).alias("step")).distinct()
 
 
-def arm_accesses(accesses: DataFrame, arms: DataFrame, width: int = 64) -> DataFrame:
+def arm_accesses(accesses: DataFrame, arms: DataFrame) -> DataFrame:
     """key, access, arm: accesses(key, id, lo, hi, tags) in the first arm(key, id, lo, hi, ord, tags) whose span overlaps theirs, where the tags
     known at the access are those of the arm, or any for an arm without tags."""
-    met = overlaps(accesses, arms, width)
+    met = overlaps(accesses, arms)
     full = met.join(arms.select("key", F.col("id").alias("r_id"), "ord", F.array_sort("tags").alias("arm_tags")), ["key", "r_id"])
     first = full.groupBy("key", "l_id").agg(F.min_by(F.struct("r_id", "arm_tags"), F.struct("ord", "r_id")).alias("arm"))
     own = first.join(accesses.select("key", F.col("id").alias("l_id"), F.array_sort("tags").alias("own_tags")), ["key", "l_id"])
@@ -204,10 +244,32 @@ def arm_accesses(accesses: DataFrame, arms: DataFrame, width: int = 64) -> DataF
     return own.filter(right).select("key", F.col("l_id").alias("access"), F.col("arm.r_id").alias("arm"))
 
 
-def tagged_by_branch(at_access: DataFrame, at_entry: DataFrame, before: DataFrame) -> DataFrame:
-    """path, tagset known at the access and where the branch begins, but not before the branch: the branch tells the tag."""
-    keys = ["path", "tagset"]
-    return at_access.select(keys).distinct().join(at_entry, keys, "left_semi").join(before, keys, "left_anti")
+def if_accesses(accesses: DataFrame, ifs: DataFrame, switches: DataFrame) -> DataFrame:
+    """key, access, if_id, is_true, switch, before, entry: every branch around an access, with every switch that tests the branch's condition.
+
+    accesses(key, id, lo, hi); ifs(key, id, cond_lo, cond_hi, true_lo, true_hi, false_lo, false_hi) with spans in the source, no else: null; switches(key, id, lo, hi, at,
+    on_true, on_false) with the span of the tested condition, the place of the test and those where its branches begin. An access that overlaps both branches counts in the true one."""
+    branch = lambda side, flag: ifs.filter(f"{side}_lo is not null").select("key", F.struct(F.col("id").alias("if_id"), F.lit(flag).alias("is_true")).alias("id"), F.col(f"{side}_lo").alias("lo"), F.col(f"{side}_hi").alias("hi"))
+    around = overlaps(accesses, branch("true", True).union(branch("false", False))).select("key", F.col("l_id").alias("access"), "r_id.if_id", "r_id.is_true")
+    around = around.groupBy("key", "access", "if_id").agg(F.bool_or("is_true").alias("is_true"))
+    tested = overlaps(ifs.select("key", "id", F.col("cond_lo").alias("lo"), F.col("cond_hi").alias("hi")), switches).select("key", F.col("l_id").alias("if_id"), F.col("r_id").alias("switch"))
+    to = switches.select("key", F.col("id").alias("switch"), F.col("at").alias("before"), "on_true", "on_false")
+    out = around.join(tested, ["key", "if_id"]).join(to, ["key", "switch"])
+    return out.select("key", "access", "if_id", "is_true", "switch", "before", F.when(F.col("is_true"), F.col("on_true")).otherwise(F.col("on_false")).alias("entry"))
+
+
+def tagged_by_branch(asked: DataFrame, paths: DataFrame, tags: DataFrame, known: DataFrame) -> DataFrame:
+    """access, branch, field, tagset, path: by which of its paths a branch tells an access the tags of a field.
+
+    asked(access, branch, field, tagset, here, entry, before) has the places of the access, where its branch begins, and before the branch; paths(access, path)
+    those that lead to the accessed union; tags(place, path, field, tagset) what is known of them. A path tells if the tags are known at the access and at
+    the entry, and not before the branch, of which there must be a state, known(place): where nothing was analysed, nothing is told. Each access is held against its own branches only."""
+    rows = asked.join(paths, "access")
+    at = lambda place: tags.select(F.col("place").alias(place), "path", "field", "tagset").distinct()
+    for place in ("here", "entry"):
+        rows = rows.join(at(place), [place, "path", "field", "tagset"], "left_semi")
+    rows = rows.join(known.select(F.col("place").alias("before")).distinct(), "before", "left_semi").join(at("before"), ["before", "path", "field", "tagset"], "left_anti")
+    return rows.select("access", "branch", "field", "tagset", "path").distinct()
 
 
 def variant_tags(seen: DataFrame) -> DataFrame:

@@ -282,15 +282,23 @@ SPANS = "SELECT o_custkey AS key, o_orderkey AS id, o_orderkey % 1000 AS lo, o_o
 @query("interval_overlap_join", f"WITH t AS ({SPANS}) SELECT a.key, a.id AS l_id, b.id AS r_id FROM t a JOIN t b ON a.key = b.key AND a.s = 'F' AND b.s = 'O' AND a.lo < b.hi AND b.lo < a.hi")
 def _overlap(spark, sf):
     t = sql(spark, sf, SPANS)
-    return facts.overlaps(t.filter("s = 'F'"), t.filter("s = 'O'"), 100)
+    return facts.overlaps(t.filter("s = 'F'"), t.filter("s = 'O'"))
 
 
-@query("branch_tag_filter", """SELECT DISTINCT o_custkey AS path, o_orderpriority AS tagset FROM orders a WHERE o_orderstatus = 'F'
-AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderstatus = 'O')
-AND NOT EXISTS (SELECT 1 FROM orders c WHERE c.o_custkey = a.o_custkey AND c.o_orderpriority = a.o_orderpriority AND c.o_totalprice > 450000)""")
+#: A customer's done orders are accesses, its open orders their branches: what is known where the access is and where the branch begins are the nations of the
+#: suppliers of their lines; before the branch lies the order of the number before, of which something is known if it has lines.
+NATIONS = "SELECT DISTINCT l_orderkey AS place, CAST(l_linenumber AS BIGINT) AS path, CAST(s_nationkey AS BIGINT) AS tagset FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"
+ASKED = f"""SELECT DISTINCT a.o_orderkey AS access, b.o_orderkey AS branch, n.tagset, a.o_orderkey AS here, b.o_orderkey AS entry, b.o_orderkey - 1 AS before FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'
+JOIN ({NATIONS}) n ON n.place = a.o_orderkey"""
+
+
+@query("branch_tag_filter", f"""WITH n AS ({NATIONS}), q AS ({ASKED}) SELECT q.access, q.branch, q.tagset, h.path FROM q JOIN n h ON h.place = q.here AND h.tagset = q.tagset
+WHERE EXISTS (SELECT 1 FROM n WHERE n.place = q.entry AND n.path = h.path AND n.tagset = q.tagset) AND EXISTS (SELECT 1 FROM n WHERE n.place = q.before)
+AND NOT EXISTS (SELECT 1 FROM n WHERE n.place = q.before AND n.path = h.path AND n.tagset = q.tagset)""")
 def _branches(spark, sf):
-    states = sql(spark, sf, "SELECT o_custkey AS path, o_orderpriority AS tagset, o_orderstatus, o_totalprice FROM orders")
-    return facts.tagged_by_branch(states.filter("o_orderstatus = 'F'"), states.filter("o_orderstatus = 'O'"), states.filter("o_totalprice > 450000"))
+    tags = sql(spark, sf, NATIONS).withColumn("field", F.lit(0))
+    paths = tags.select(F.col("place").alias("access"), "path").distinct()
+    return facts.tagged_by_branch(sql(spark, sf, ASKED).withColumn("field", F.lit(0)), paths, tags, tags.select("place")).select("access", "branch", "tagset", "path")
 
 
 ARMS = "SELECT l_suppkey AS key, l_partkey AS id, l_partkey AS lo, l_partkey + 3 AS hi, l_orderkey AS ord, l_returnflag AS flag FROM lineitem WHERE l_linestatus = 'F'"
@@ -303,7 +311,7 @@ SELECT key, access, arm FROM j WHERE r = 1 AND (f = g OR g = 'N')""")
 def _arms(spark, sf):
     arms = sql(spark, sf, ARMS).groupBy("key", "lo", "hi").agg(F.min("id").alias("id"), F.min("ord").alias("ord"), F.min("flag").alias("flag"))
     reads = sql(spark, sf, READS).withColumn("tags", F.array("flag"))
-    return facts.arm_accesses(reads, arms.withColumn("tags", F.when(F.col("flag") != "N", F.array("flag"))), 16)
+    return facts.arm_accesses(reads, arms.withColumn("tags", F.when(F.col("flag") != "N", F.array("flag"))))
 
 
 @query("merged_weights", f"""WITH e AS ({E}), n AS (SELECT s_suppkey AS v, s_nationkey AS c FROM supplier) SELECT DISTINCT CAST(a.c AS BIGINT) AS src, CAST(b.c AS BIGINT) AS dst, CAST(a.v - b.v AS BIGINT) AS weight FROM e JOIN n a ON a.v = e.src JOIN n b ON b.v = e.dst""")
@@ -347,13 +355,14 @@ def _islands(spark, sf):
 
 
 @query("candidate_filter", """SELECT l_suppkey AS ty, CAST(l_linenumber AS BIGINT) AS field, l_orderkey AS union FROM lineitem l WHERE l_linestatus = 'F' AND l_returnflag = 'R'
-AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
-AND EXISTS (SELECT 1 FROM lineitem x WHERE x.l_suppkey = l.l_suppkey AND x.l_linestatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey = x.l_suppkey AND y.l_linenumber = x.l_linenumber AND y.l_tax > 0.07))""")
+AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+AND (l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 0) OR EXISTS (SELECT 1 FROM lineitem x WHERE x.l_suppkey = l.l_suppkey AND x.l_linestatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey = x.l_suppkey AND y.l_linenumber = x.l_linenumber AND y.l_tax > 0.07)))""")
 def _candidates(spark, sf):
-    fields = sql(spark, sf, """SELECT l_suppkey AS ty, CAST(l_linenumber AS BIGINT) AS field, CASE WHEN l_returnflag = 'R' THEN 'C2RustUnnamed' ELSE 'named' END AS name, CASE l_linestatus WHEN 'F' THEN 'union' ELSE 'int' END AS kind, l_orderkey AS type FROM lineitem""")
+    fields = sql(spark, sf, """SELECT l_suppkey AS ty, CAST(l_linenumber AS BIGINT) AS field, CASE WHEN l_returnflag = 'R' THEN 'C2RustUnnamed_0' ELSE 'named' END AS type_name, CASE l_linestatus WHEN 'F' THEN 'union' ELSE 'int' END AS kind, l_orderkey AS type FROM lineitem""")
     changed = sql(spark, sf, "SELECT DISTINCT l_suppkey AS ty, CAST(l_linenumber AS BIGINT) AS field FROM lineitem WHERE l_tax > 0.07")
-    structs = sql(spark, sf, "SELECT s_suppkey AS ty, s_acctbal FROM supplier")
-    return facts.candidates(structs.select("ty"), fields, structs.filter("s_acctbal < 0").select("ty"), changed)
+    structs = sql(spark, sf, "SELECT s_suppkey AS ty, s_acctbal, s_nationkey FROM supplier")
+    only = fields.select(F.col("type").alias("union")).distinct().join(sql(spark, sf, "SELECT o_orderkey AS union FROM orders WHERE o_orderstatus = 'P'"), "union", "left_anti")
+    return facts.candidates(structs.select("ty"), fields, structs.filter("s_acctbal < 0").select("ty"), changed, structs.filter("s_nationkey = 0").select("ty", F.lit(99).alias("field")), only)
 
 
 @query("wrap_arith", "SELECT o_orderkey, ((o_orderkey * 37 + 128) % 256 + 256) % 256 - 128 AS i8, ((o_orderkey * 104729 + 32768) % 65536 + 65536) % 65536 - 32768 AS i16 FROM orders")
