@@ -31,9 +31,10 @@ def transitive_closure(edges: DataFrame, labels: DataFrame | None = None) -> Dat
     hops = settle(both.select("a", "b").distinct())
     steps = hops.filter("a <> b").toDF("mid", "b")
     pairs = fixpoint(hops, lambda new: new.toDF("a", "mid").join(steps, "mid").select("a", "b"))
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # members of one large component go to many tasks
-    left = labels.toDF("src", "a").withColumn("deal", F.pmod(F.xxhash64("src"), F.lit(tasks)))
-    reached = pairs.join(labels.toDF("dst", "b"), "b").select("a", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("deal"))
+    # members of a large component go to a task for each 10,000, and what it reaches to all of these; small ones are not copied
+    sizes = labels.groupBy(F.col("component").alias("a")).agg(F.ceil(F.count(F.lit(1)) / 10_000).cast("int").alias("parts"))
+    left = labels.toDF("src", "a").join(sizes, "a").withColumn("deal", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"))
+    reached = pairs.join(labels.toDF("dst", "b"), "b").join(sizes, "a").select("a", "dst", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"))
     return left.join(reached, ["a", "deal"]).select("src", "dst")
 
 
@@ -56,50 +57,78 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges without those that lead from a vertex that none reaches, or to one that reaches none, again and again: they are on no cycle."""
+def _dead_ends(edges: DataFrame) -> DataFrame:
+    """src: vertices from which single edges lead, one after the other, to a vertex without any. Pointers double from round to round."""
+    at = settle(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("p")).filter("n = 1").select("src", "p"))
+    for _ in range(at.count().bit_length()):  # a way of single edges is no longer than that, unless it is a cycle
+        far = at.toDF("p", "far")
+        after = settle(at.join(far, "p", "left").select("src", F.coalesce("far", "p").alias("p"), F.col("far").isNotNull().alias("moved")))
+        forget(at)
+        at = after.select("src", "p")
+        at._settled_in = after._settled_in
+        if after.filter("moved").isEmpty():
+            break
+    return at.join(edges.select(F.col("src").alias("p")).distinct(), "p", "left_anti").select("src")
+
+
+def _trimmed(edges: DataFrame, passes: int = 2) -> DataFrame:
+    """Edges without many that are on no cycle: those from a vertex that none reaches, or to one that reaches none, some times over, and then those on chains that end so."""
     n = edges.count()
-    while n:
+    for _ in range(passes):
         inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         inner = settle(inner.select("src", "dst"))
         left = inner.count()
-        if left == n:
-            break
         forget(edges)
-        edges, n = inner, left
-    return edges
+        edges = inner
+        if left == n or not left:
+            return edges
+        n = left
+    edges = settle(edges.join(_dead_ends(edges), "src", "left_anti").select("src", "dst"))
+    return settle(edges.join(_dead_ends(inverse(edges)).toDF("dst"), "dst", "left_anti").select("src", "dst"))
+
+
+def _least_reaching(edges: DataFrame, ranked: DataFrame) -> DataFrame:
+    """v, c: the smallest c of all vertices of ranked(v, c) that reach v, c being struct(rank, v).
+
+    What reaches c's vertex reaches v as well, so a vertex takes over the c of its c: chains and cycles halve from round to round."""
+    held = settle(ranked.withColumn("new", F.lit(True)))
+    while True:
+        pushed = held.filter("new").join(edges, F.col("v") == F.col("src")).groupBy("dst").agg(F.min("c").alias("m"))
+        after = held.join(pushed, F.col("v") == F.col("dst"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        far = held.select(F.col("v").alias("at"), F.col("c").alias("far"))
+        after = after.join(far, F.col("c.v") == F.col("at"), "left").select("v", F.least("c", F.coalesce("far", "c")).alias("c"), "old")
+        after = settle(after.select("v", "c", (F.col("c") < F.col("old")).alias("new")))
+        forget(held)
+        held = after
+        if held.filter("new").isEmpty():
+            return held.select("v", "c")
 
 
 def scc(edges: DataFrame) -> DataFrame:
     """v, component: the smallest vertex of each strongly connected component.
 
-    Every round gives each vertex the smallest one that reaches it; those of that colour that reach that one back are
-    its component, and go. A round moves rows for edges only; what lies on no cycle is trimmed before."""
+    Vertices get ranks by a hash. Each learns the first-ranked vertex that reaches it and the first-ranked one that it reaches: where they
+    are the same, that vertex's component is found; edges whose ends learn differently join no component, and go; the rest is ranked anew.
+    Both are found in rounds by the logarithm of the longest way, and so many rankings split a graph, chains too, whatever its ids."""
     all_ = settle(vertices(edges))
-    left, found = settle(edges.filter("src <> dst").select("src", "dst").distinct()), None
+    left, found, turn = settle(edges.filter("src <> dst").select("src", "dst").distinct()), None, 0
     while True:
         left = _trimmed(left)
         if left.isEmpty():
             break
-        colour = settle(vertices(left).withColumn("c", F.col("v")))
-        while True:  # only colours that have just become smaller move on
-            moved = (colour if "new" not in colour.columns else colour.filter("new")).join(left, F.col("v") == F.col("src")).groupBy("dst").agg(F.min("c").alias("m"))
-            after = colour.select("v", "c").join(moved, F.col("v") == F.col("dst"), "left")
-            after = settle(after.select("v", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("new")))
-            forget(colour)
-            colour = after
-            if colour.filter("new").isEmpty():
-                break
-        colour = colour.select("v", "c")
-        inside = left.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").filter("c = d").select(F.col("dst").alias("v"), F.col("src").alias("u"), "c")
-        inside = settle(inside)
-        back = fixpoint(colour.filter("v = c"), lambda new: new.join(inside.select("v", "u"), "v").select(F.col("u").alias("v"), "c"))
-        found = settle(back if found is None else found.union(back))
-        out = back.select("v")
-        left = settle(left.join(out.toDF("src"), "src", "left_anti").join(out.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+        ranked = settle(vertices(left).select("v", F.struct(F.xxhash64(F.col("v"), F.lit(turn)).alias("rank"), "v").alias("c")))
+        above, below = _least_reaching(left, ranked), _least_reaching(inverse(left), ranked)
+        known = settle(above.join(below.toDF("v", "d"), "v"))
+        here = known.filter("c = d").select("v", F.col("c.v").alias("c"))
+        found = settle(here if found is None else found.union(here))
+        open_ = known.filter("c <> d")
+        left = left.join(open_.toDF("src", "c", "d"), "src").join(open_.toDF("dst", "e", "f"), "dst").filter("c = e and d = f")
+        left, turn = settle(left.select("src", "dst")), turn + 1
+        forget(ranked, known)
     if found is None:
         return all_.withColumn("component", F.col("v"))
-    return all_.join(found, "v", "left").select("v", F.coalesce("c", "v").alias("component"))
+    least = found.groupBy("c").agg(F.min("v").alias("component"))
+    return all_.join(found.join(least, "c").select("v", "component"), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
 def condensation(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
