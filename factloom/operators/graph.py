@@ -230,13 +230,22 @@ def loop_bodies(edges: DataFrame, entry: DataFrame) -> DataFrame:
     return found
 
 
-def live_out(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
-    """block, name: what may be read after a block before it is set anew. uses(block, name): read before any setting in the block; defs(block, name)."""
+def live_in(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
+    """block, name: what may be read from a block's start on before it is set anew. uses(block, name): read before any setting in the block; defs(block, name)."""
     before = settle(edges.select(F.col("dst").alias("block"), F.col("src").alias("up")).distinct())
     defs = settle(defs.select("block", "name").distinct())
-    grow = lambda new: new.join(before, "block").select(F.col("up").alias("block"), "name").join(defs, ["block", "name"], "left_anti")
-    live_in = fixpoint(uses.select("block", "name"), grow)
-    return live_in.join(before, "block").select(F.col("up").alias("block"), "name").distinct()
+    return fixpoint(uses.select("block", "name"), lambda new: new.join(before, "block").select(F.col("up").alias("block"), "name").join(defs, ["block", "name"], "left_anti"))
+
+
+def live_out(edges: DataFrame, uses: DataFrame, defs: DataFrame) -> DataFrame:
+    """block, name: what may be read after a block before it is set anew, that is at the start of a block that follows."""
+    before = edges.select(F.col("dst").alias("block"), F.col("src").alias("up")).distinct()
+    return live_in(edges, uses, defs).join(before, "block").select(F.col("up").alias("block"), "name").distinct()
+
+
+def dead_names(blocks: DataFrame, names: DataFrame, live: DataFrame, kept: DataFrame) -> DataFrame:
+    """block, name: names(fn, name) of each of blocks(fn, block) that live(block, name), from live_in(), does not have, nor kept(fn, name): what is borrowed, or returned."""
+    return blocks.join(names.join(kept, ["fn", "name"], "left_anti"), "fn").select("block", "name").join(live, ["block", "name"], "left_anti")
 
 
 def join_points(edges: DataFrame) -> DataFrame:
