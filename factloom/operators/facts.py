@@ -68,12 +68,6 @@ def field_ranges(placed: DataFrame) -> DataFrame:
     return placed.withColumn("until", F.coalesce(F.lead("offset").over(by), F.col("offset") + F.col("len")))
 
 
-def int_set(values: Column, most: int = 10) -> Column:
-    """A sorted set of integers, or null for `any` beyond `most` values."""
-    found = F.array_sort(F.collect_set(values))
-    return F.when(F.size(found) <= most, found)
-
-
 def widen(old: Column, new: Column) -> Column:
     """Keep `old` if it holds `new`, take `new` if `old` is empty, else null for `any`."""
     return F.when(F.size(old) == 0, new).when(F.size(F.array_except(new, old)) == 0, old)

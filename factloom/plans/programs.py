@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import constraints, facts, graph, layout, pointsto
+from factloom.operators import constraints, facts, graph, lattice, layout, pointsto
 
 from .registry import DOM, E, HELD, query, sql, with_e
 
@@ -142,7 +142,7 @@ def _live(spark, sf):
 SELECT a.state, a.local, CASE WHEN len(list_distinct(a.v || b.v)) <= 10 THEN array_to_string(list_sort(list_distinct(a.v || b.v)), ',') END AS vals FROM g a JOIN g b ON a.state = b.state AND a.local = b.local AND a.s = 'F' AND b.s = 'O'""")
 def _joined(spark, sf):
     rows = sql(spark, sf, "SELECT o_custkey AS state, o_orderpriority AS local, o_orderstatus AS s, month(o_orderdate) AS v FROM orders")
-    side = lambda s: rows.filter(F.col("s") == s).groupBy("state", "local").agg(facts.int_set(F.col("v")).alias("vals"))
+    side = lambda s: lattice.bounded_sets(rows.filter(F.col("s") == s), ["state", "local"], "v").withColumnRenamed("v", "vals")
     out = facts.join_states(side("F"), side("O"))
     return out.select("state", "local", F.when(F.col("vals").isNotNull(), F.concat_ws(",", F.col("vals").cast("array<string>"))).alias("vals"))
 

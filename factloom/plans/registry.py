@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, graph, layout, pointsto
+from factloom.operators import facts, graph, lattice, layout, pointsto
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -253,7 +253,8 @@ def _ranges(spark, sf):
 def _absint(spark, sf):
     rows = sql(spark, sf, "SELECT * FROM lineitem")
     text = lambda c: F.concat_ws(",", c.cast("array<string>"))
-    out = rows.groupBy(F.col("l_suppkey").alias("k")).agg(facts.int_set(F.col("l_linenumber")).alias("a"), facts.int_set(F.col("l_partkey")).alias("b"))
+    sets = lambda column, name: lattice.bounded_sets(rows.select(F.col("l_suppkey").alias("k"), F.col(column).alias(name)), ["k"], name)
+    out = sets("l_linenumber", "a").join(sets("l_partkey", "b"), "k")
     return out.select("k", F.when(F.col("a").isNotNull(), text(F.col("a"))).alias("vals"), F.when(F.col("b").isNotNull(), text(F.col("b"))).alias("parts"))
 
 
