@@ -48,7 +48,7 @@ class ProjectionIndex:
             return np.flatnonzero(np.bincount(inside, minlength=n) >= least)
         np.subtract(self.ranks, low.astype(np.uint16)[:, None], out=self.shifted)
         np.less(self.shifted, np.minimum(width, 65_535).astype(np.uint16)[:, None], out=self.inside)
-        return np.flatnonzero(np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8) >= least)
+        return np.flatnonzero(np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8 if m < 256 else np.uint16) >= least)
 
 
 def search_block(ids, points, query_ids, queries, radii, k, projections, threshold, top_norm):

@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     back to all its places, and covered windows form the maximal spans that go.
 
     A missing or empty text has no words. A missing id is smaller than any other; rows of one id are one document, so
-    their windows don't cover each other. An empty table gives an empty result. Columns named n_words, n_removed or
+    their windows don't cover each other; rows that repeat an id and a text are gathered as one. An empty table gives an empty result. Columns named n_words, n_removed or
     kept_words are replaced; others, whatever their names, pass through. An anchor that many documents share is reduced in
     each task before the shuffle. Where an anchor's distinct passages have more than SHARD_WORDS words, their windows are dealt anew by that
     anchor and the next smallest in each window, until every anchor is within the bound or its windows have the same anchors throughout.
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     found = rows.select("doc_key", "row_key", "text").mapInArrow(_anchor_rows(width), "anchor long, doc_key long, row_key int, part int")
     alike = Window.partitionBy("anchor", F.greatest("part", F.lit(0)))
     shared = (F.col("part") > 0) | (F.min("part").over(alike) == KNOWN) | (F.min("doc_key").over(alike) < F.max("doc_key").over(alike))
-    wanted = found.withColumn("shared", shared).filter("shared").groupBy("doc_key", "row_key").agg(F.collect_list("anchor").alias("anchors"))
+    wanted = found.withColumn("shared", shared).filter("shared").groupBy("doc_key", "row_key").agg(F.collect_set("anchor").alias("anchors"))
     wanted = common.store(wanted, "wanted")
     common.release(spark)
     places = rows.join(wanted, ["doc_key", "row_key"]).select(*keys, "text", "anchors").mapInArrow(_passage_rows(width), PLACES)
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     placed = places.select("anchor", "passage_key", *keys, "start").join(matched, ["anchor", "passage_key"])
     covered = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_key"), F.col("start") + i)), lambda x: x.isNotNull())
     placed = placed.select(*keys, covered.alias("covered")).filter(F.size("covered") > 0)
-    runs = common.store(placed.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered")), "covered")
+    runs = common.store(placed.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered")), "covered")
     common.discard(*stored, matched)
     common.release(spark)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), common.key_of(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"))

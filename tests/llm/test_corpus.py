@@ -58,6 +58,21 @@ def test_sharding(docs, rows, empty):
     for r in out:
         by_text.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
     assert all(len(x) == 1 for x in by_text.values())
+    size = lambda t: len((t or "").encode()) + 16
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    # no shard is larger than the smallest capacity that any cut of the ordered groups allows
+    groups = Counter()
+    for _, t, *_ in rows:
+        groups[hashlib.md5((t or "").encode()).hexdigest()] += size(t)
+    ordered = [groups[g] for g in sorted(groups)]
+    best = {(0, 0): 0}  # (groups, shards) -> the least that the largest shard can hold
+    for n in range(1, 5):
+        for i in range(len(ordered) + 1):
+            best[i, n] = min(max(best[j, n - 1], sum(ordered[j:i])) for j in range(i + 1) if (j, n - 1) in best)
+    filled = Counter()
+    for r in out:
+        filled[r["shard"]] += r["size"]
+    assert set(filled) <= set(range(4)) and max(filled.values()) == best[len(ordered), 4]
 
 
 def test_minimax_is_smallest(spark):
@@ -239,6 +254,16 @@ def test_substring_dedup(docs, rows, empty, most, monkeypatch):
     assert substring_dedup.remove_repeats(empty).count() == 0 and "doc_key" in out.columns
 
 
+def test_substring_dedup_of_repeated_rows(spark):
+    """Rows that repeat an id (or have none) and a text are gathered once, however many there are."""
+    r = random.Random(9)
+    passage, own = words(r, 40), words(r, 200)
+    rows = [(1, f"{words(r, 20)} {passage}")] + [(7, f"{own[:600]} {passage}")] * 1_500 + [(None, f"{words(r, 20)} other words")] * 1_500
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    expected = Counter((i, len(split(t)), 40 if i == 7 else 0) for i, t in rows)
+    assert {(x["doc_id"], x["n_words"], x["n_removed"]): x["count"] for x in out} == dict(expected)
+
+
 def test_nearest(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((400, 16))
@@ -277,6 +302,13 @@ def test_nearest_walks_narrow_windows():
     assert len(scores) == 20 and set(np.argsort(-(x @ x[7]))[1:21].tolist()) == set(ann.search_block(np.arange(6000), x, np.array([7]), x[7:8], np.array([np.inf]), 20, lines, 0.62, 1.0)[1][0].tolist())
 
 
+@pytest.mark.parametrize("m", [128, 255, 256, 400])
+def test_collisions_are_counted_on_any_number_of_lines(m):
+    r = np.random.default_rng(6)
+    index = ann.ProjectionIndex(r.standard_normal((500, 8)), r.standard_normal((m, 8)))
+    assert len(index.colliding(np.zeros(m), 1e6, m)) == 500
+
+
 def test_quality_classifier(spark, empty):
     r = random.Random(9)
     rows, labels = [], []
