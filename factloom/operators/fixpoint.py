@@ -23,13 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder. What is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/factloom-rounds-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it again: plans stay short, and a lost executor costs no recomputation of
     earlier rounds. Files go by forget(), or when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom-rounds-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_in = path
     return out

@@ -1,0 +1,97 @@
+"""The byte stream of solutions: against a byte-by-byte loop, in splits of any size, and as a folder of parts."""
+
+import random
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from factloom.sources import dump
+
+
+def stream(sets):
+    """The stream of sets, written byte by byte."""
+    out = []
+    for n, objs in enumerate(sets):
+        if n:
+            out.append(255)
+        for x in objs:
+            while x:
+                out.append(x & 127)
+                x >>= 7
+            out.append(254)
+    return bytes(out)
+
+
+def make(seed, n):
+    r = random.Random(seed)
+    return [sorted({r.choice([0, 1, 127, 128, 16_383, 16_384, 1 << 40, (1 << 63) - 1, r.randrange(10**6)]) for _ in range(r.choice([0, 0, 1, 3, 40]))}) for _ in range(n)]
+
+
+def expected(sets):
+    return sorted(((i, x) for i, s in enumerate(sets) for x in s or [-1]))
+
+
+def found(df):
+    return sorted((r["loc"], -1 if r["obj"] is None else r["obj"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("sets", [[[]], [[], []], [[0]], [[0], [], [127, 128]], [[], [5], []], make(1, 200)])
+def test_codec(sets):
+    flat = np.array([x for s in sets for x in s], np.int64)
+    data = dump.encode(flat, np.cumsum([len(s) for s in sets]))
+    assert data == stream(sets)
+    objs, before = dump.decode(np.frombuffer(data, np.uint8))
+    assert objs.tolist() == flat.tolist() and before.tolist() == [i for i, s in enumerate(sets) for _ in s]
+
+
+def test_reads_any_splits(tmp_path, monkeypatch):
+    """A split's sets are those whose separator it holds, whatever the sizes of splits and reads."""
+    sets = make(2, 120) + [[]]
+    path = tmp_path / "one"
+    path.write_bytes(stream(sets))
+    for size, chunk in ((1, 3), (7, 1), (13, 50), (64, 7), (10**6, 11), (10**6, 10**6)):
+        monkeypatch.setattr(dump, "CHUNK", chunk)
+        reader, rows, first = dump.SolutionReader(str(path), size), set(), 0
+        for split in reader.partitions():
+            own = [r for b in reader.read(split) for r in b.to_pylist()]
+            rows |= {(first + r["nth"], r["obj"]) for r in own}
+            first += len({r["nth"] for r in own})
+        assert first == len(sets)
+        assert rows == {(i, None) for i in range(len(sets))} | {(i, x) for i, s in enumerate(sets) for x in s}
+
+
+def test_round_trip(spark, tmp_path):
+    sets = make(3, 300) + [[], []]
+    rows = [(i, x) for i, s in enumerate(sets) for x in s]
+    pts = spark.createDataFrame(rows + rows[:50] + [(None, 1), (3, None), (len(sets), 7), (-1, 7)], "loc long, obj long").repartition(5)
+    path = str(tmp_path / "dump")
+    for _ in range(2):  # the second replaces the first
+        dump.write_dump(pts, len(sets), path, parts=6)
+        parts = sorted(p for p in Path(path).iterdir())
+        assert len(parts) > 1 and all(p.name.startswith("part-") for p in parts)
+        assert bytes([255]).join(p.read_bytes() for p in parts) == stream(sets)
+    assert found(dump.read_dump(spark, path)) == expected(sets)
+    assert found(dump.read_dump(spark, "file:" + path, split_bytes=40)) == expected(sets)
+
+
+def test_foreign_and_empty_streams(spark, tmp_path):
+    sets = [[3, 4], [], [1 << 20], []]
+    (tmp_path / "one").write_bytes(stream(sets))
+    assert found(dump.read_dump(spark, str(tmp_path / "one"), split_bytes=3)) == expected(sets)
+    (tmp_path / "none").write_bytes(b"")
+    assert found(dump.read_dump(spark, str(tmp_path / "none"))) == [(0, -1)]
+    dump.write_dump(spark.createDataFrame([], "loc long, obj long"), 3, str(tmp_path / "bare"))
+    assert found(dump.read_dump(spark, str(tmp_path / "bare"))) == expected([[], [], []])
+
+
+def test_refuses_gaps_and_existing_dumps(spark, tmp_path):
+    spark.dataSource.register(dump.SolutionSource)
+    rows = spark.createDataFrame([(0, [1]), (2, [1])], "loc long, objs array<long>").coalesce(1)
+    with pytest.raises(Exception, match="gaps"):
+        rows.write.format("solution").mode("append").save(str(tmp_path / "gaps"))
+    assert not list(tmp_path.glob("gaps/*"))
+    dump.write_dump(spark.createDataFrame([(0, 5)], "loc long, obj long"), 1, str(tmp_path / "full"))
+    with pytest.raises(Exception, match="full"):
+        rows.filter("loc = 0").write.format("solution").mode("append").save(str(tmp_path / "full"))
+    assert found(dump.read_dump(spark, str(tmp_path / "full"))) == [(0, 5)]

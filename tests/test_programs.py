@@ -1,4 +1,4 @@
-"""The queries of program facts against their SQL at the smallest scale."""
+"""The queries of program facts, and of what comes before and after the analysis, against their SQL at the smallest scale."""
 
 import re
 from pathlib import Path
@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from factloom.plans import programs, registry
+from factloom.plans import outputs, programs, registry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = re.findall(r'@query\("(\w+)"', Path(programs.__file__).read_text())
+NAMES = [name for module in (programs, outputs) for name in re.findall(r'@query\("(\w+)"', Path(module.__file__).read_text())]
 
 
 @pytest.fixture(scope="module")
