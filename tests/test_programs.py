@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from factloom.plans import outputs, programs, registry
+from factloom.plans import inference, outputs, programs, registry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = [name for module in (programs, outputs) for name in re.findall(r'@query\("(\w+)"', Path(module.__file__).read_text())]
+NAMES = [name for module in (programs, outputs, inference) for name in re.findall(r'@query\("(\w+)"', Path(module.__file__).read_text())]
 
 
 @pytest.fixture(scope="module")
