@@ -1,112 +1,142 @@
 """Integers of up to 128 bits in two's complement, as struct(hi, lo) of two longs; no decimal type holds them all.
 
-A value of a narrower type is kept extended to 128 bits, by its sign or, if unsigned, by zeros. Inside, a value is an array of eight numbers
-of 16 bits, least first, so that sums and products of parts fit a long; all functions are column expressions.
+A value of a narrower type is kept extended to 128 bits, by its sign or, if unsigned, by zeros. All functions give column expressions; the operations
+themselves run on whole Arrow batches, a value being two numpy arrays of unsigned words, so that a row costs some vector steps and no step for each bit.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LIMBS, WIDTH, MASK = 8, 16, 0xFFFF
 COMPARISONS = ("Eq", "Ne", "Lt", "Le", "Gt", "Ge")
 BINARY = ("Add", "Sub", "Mul", "Div", "Rem", "BitXor", "BitAnd", "BitOr", "Shl", "Shr", *COMPARISONS)
-_long = lambda n: F.lit(n).cast("long")
+WORD, HALF = 64, np.uint64(0xFFFFFFFF)
+_u = np.uint64
+_ONES = _u(2**64 - 1)
+Words = tuple[np.ndarray, np.ndarray]
 
 
-def _let(body, *values: Column) -> Column:
-    """body() of values that are computed once, however often it names them."""
-    names = [f"v{i}" for i in range(len(values))]
-    held = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
-    return F.get(F.transform(held, lambda s: body(*[s[n] for n in names])), F.lit(0))
+def _add(a: Words, b: Words) -> Words:
+    lo = a[1] + b[1]
+    return a[0] + b[0] + (lo < a[1]).astype(_u), lo
 
 
-def _split(x: Column) -> Column:
-    part = lambda word, i: F.shiftrightunsigned(word, WIDTH * i).bitwiseAND(_long(MASK))
-    return F.array(*[part(x["lo"], i) for i in range(4)], *[part(x["hi"], i) for i in range(4)])
+def _sub(a: Words, b: Words) -> Words:
+    return a[0] - b[0] - (a[1] < b[1]).astype(_u), a[1] - b[1]
 
 
-def _whole(limbs: Column) -> Column:
-    word = lambda at: F.reduce(F.slice(limbs, at, 4), F.struct(_long(0).alias("w"), F.lit(0).alias("i")), lambda acc, n: F.struct(acc["w"].bitwiseOR(F.call_function("shiftleft", n, acc["i"] * WIDTH)).alias("w"), (acc["i"] + 1).alias("i")), lambda acc: acc["w"])
-    return F.struct(word(5).alias("hi"), word(1).alias("lo"))
+def _not(a: Words) -> Words:
+    return ~a[0], ~a[1]
 
 
-def _carried(sums: Column, first: int = 0) -> Column:
-    """Limbs of sums that may be larger than a limb (or below 0), what is beyond the last one dropped."""
-    start = F.struct(_long(first).alias("c"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, n: F.struct(F.shiftright(acc["c"] + n, WIDTH).alias("c"), F.array_append(acc["out"], (acc["c"] + n).bitwiseAND(_long(MASK))).alias("out"))
-    return F.reduce(sums, start, step, lambda acc: acc["out"])
+def _neg(a: Words) -> Words:
+    return _sub((np.zeros_like(a[0]), np.zeros_like(a[1])), a)
 
 
-def _add(a: Column, b: Column) -> Column:
-    return _carried(F.zip_with(a, b, lambda x, y: x + y))
+def _mul(a: Words, b: Words) -> Words:
+    half = _u(WORD // 2)
+    (x1, x0), (y1, y0) = (a[1] >> half, a[1] & HALF), (b[1] >> half, b[1] & HALF)
+    low, one, other = x0 * y0, x0 * y1, x1 * y0
+    middle = (low >> half) + (one & HALF) + (other & HALF)
+    over = x1 * y1 + (one >> half) + (other >> half) + (middle >> half)
+    return over + a[0] * b[1] + a[1] * b[0], (low & HALF) | (middle << half)
 
 
-def _sub(a: Column, b: Column) -> Column:
-    return _carried(F.zip_with(a, b, lambda x, y: x - y))
+def _choose(where: np.ndarray, a: Words, b: Words) -> Words:
+    return np.where(where, a[0], b[0]), np.where(where, a[1], b[1])
 
 
-def _neg(a: Column) -> Column:
-    return _carried(F.transform(a, lambda x: MASK - x), 1)
+def _negative(a: Words) -> np.ndarray:
+    return a[0] >> _u(WORD - 1) != 0
 
 
-def _mul(a: Column, b: Column) -> Column:
-    at = lambda k: F.reduce(F.sequence(F.lit(0), k), _long(0), lambda acc, i: acc + F.get(a, i) * F.get(b, k - i))
-    return _carried(F.transform(F.sequence(F.lit(0), F.lit(LIMBS - 1)), at))
+def _divided(a: Words, b: Words) -> tuple[Words, Words]:
+    """Quotient and remainder of numbers without sign; those that no word holds are divided as Python's integers."""
+    q, r = np.divmod(a[1], np.maximum(b[1], _u(1)))
+    (q1, q0), (r1, r0) = (np.zeros_like(q), q), (np.zeros_like(r), r)
+    large = np.flatnonzero((a[0] | b[0]) != 0)
+    if len(large):
+        whole = lambda x: (x[0][large].astype(object) << WORD) | x[1][large].astype(object)
+        n, d = whole(a), whole(b)
+        d[d == 0] = 1  # such a row is null in the end
+        for out, value in (((q1, q0), n // d), ((r1, r0), n % d)):
+            out[0][large], out[1][large] = (value >> WORD).astype(_u), (value & (2**WORD - 1)).astype(_u)
+    return (q1, q0), (r1, r0)
 
 
-def _moved(a: Column, by: Column, left: bool, fill: Column) -> Column:
-    """All bits moved by 0 to 127 places; `fill` (0 or MASK) comes in from above."""
-    limbs, bits = F.floor(by / WIDTH).cast("int"), F.pmod(by, F.lit(WIDTH)).cast("int")
-    at = lambda i: F.when(i < 0, _long(0)).when(i >= LIMBS, fill).otherwise(F.get(a, i))
-    up = lambda i: F.call_function("shiftleft", at(i - limbs), bits).bitwiseOR(F.call_function("shiftright", at(i - limbs - 1), WIDTH - bits))
-    down = lambda i: F.call_function("shiftright", at(i + limbs), bits).bitwiseOR(F.call_function("shiftleft", at(i + limbs + 1), WIDTH - bits))
-    return F.transform(F.sequence(F.lit(0), F.lit(LIMBS - 1)), lambda i: (up if left else down)(i).bitwiseAND(_long(MASK)))
+def _quotient(op: str, a: Words, b: Words, signed: bool) -> Words:
+    if not signed:
+        return _divided(a, b)[op == "Rem"]
+    out = _divided(_choose(_negative(a), _neg(a), a), _choose(_negative(b), _neg(b), b))[op == "Rem"]
+    minus = _negative(a) != _negative(b) if op == "Div" else _negative(a)
+    return _choose(minus, _neg(out), out)
 
 
-def _negative(a: Column) -> Column:
-    return F.get(a, F.lit(LIMBS - 1)) >= 1 << (WIDTH - 1)
+def _moved(a: Words, by: np.ndarray, left: bool, signed: bool) -> Words:
+    """All bits moved by 0 to 127 places; from above comes the sign, or zeros."""
+    bits, one, last = by & _u(WORD - 1), _u(1), _u(WORD - 1)
+    near = by < WORD
+    if left:
+        high = a[1] << bits
+        return _choose(near, ((a[0] << bits) | ((a[1] >> one) >> (last - bits)), high), (high, np.zeros_like(high)))
+    fill = np.where(_negative(a), _ONES, _u(0)) if signed else np.zeros_like(a[0])
+    low = (a[0] >> bits) | ((fill << one) << (last - bits))
+    return _choose(near, (low, (a[1] >> bits) | ((a[0] << one) << (last - bits))), (fill, low))
 
 
-def _magnitude(a: Column, signed: bool) -> Column:
-    return F.when(_negative(a), _neg(a)).otherwise(a) if signed else a
-
-
-def _divided(a: Column, b: Column, bits: int) -> Column:
-    """struct(q, r) of limbs without sign, bit by bit from above; the remainder has a limb more, since it is doubled before it is compared."""
-    none = F.array(*[_long(0)] * LIMBS)
-    bit = lambda i: F.call_function("shiftright", F.get(a, F.floor(i / WIDTH).cast("int")), F.pmod(i, F.lit(WIDTH))).bitwiseAND(_long(1))
-    doubled = lambda limbs, more: F.transform(limbs, lambda n, k: (n * 2 + F.when(k == 0, more).otherwise(F.shiftright(F.get(limbs, F.greatest(k - 1, F.lit(0))), WIDTH - 1))).bitwiseAND(_long(MASK)))
-
-    def divide(longer: Column, upward: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            after = lambda rest, fits: F.struct(doubled(acc["q"], F.when(fits, _long(1)).otherwise(_long(0))).alias("q"), F.when(fits, _sub(rest, longer)).otherwise(rest).alias("r"))
-            return _let(lambda rest: _let(lambda fits: after(rest, fits), F.reverse(rest) >= upward), doubled(acc["r"], bit(i)))
-
-        return F.reduce(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), F.struct(none.alias("q"), F.concat(none, F.array(_long(0))).alias("r")), step)
-
-    return _let(divide, F.concat(b, F.array(_long(0))), F.concat(F.array(_long(0)), F.reverse(b)))
+def _fitted(a: Words, bits: int, signed: bool) -> Words:
+    """The low `bits`, extended to all of them."""
+    if bits == 2 * WORD:
+        return a
+    top = 0 if bits > WORD else 1
+    kept = _u(2 ** (bits - WORD if bits > WORD else bits) - 1)
+    minus = (a[top] & (kept ^ (kept >> _u(1)))) != 0 if signed else np.zeros(len(a[top]), bool)
+    word = np.where(minus, a[top] | ~kept, a[top] & kept)
+    return (word, a[1]) if bits > WORD else (np.where(minus, _ONES, _u(0)), word)
 
 
-def _fitted(a: Column, bits: int, signed: bool) -> Column:
-    """The low `bits` of the limbs, extended to all of them."""
-    whole, part = divmod(bits, WIDTH)
-    if bits == LIMBS * WIDTH:
-        return a
-    top = whole if part else whole - 1
-    sign = F.get(a, F.lit(top)).bitwiseAND(_long(1 << ((part or WIDTH) - 1))) != 0
-    fill = F.when(sign, _long(MASK)).otherwise(_long(0)) if signed else _long(0)
-    kept = (1 << part) - 1 if part else MASK
-    cut = F.get(a, F.lit(top)).bitwiseAND(_long(kept)).bitwiseOR(fill.bitwiseAND(_long(MASK ^ kept)))
-    return F.concat(F.slice(a, 1, top), F.array(cut), F.array_repeat(fill, LIMBS - top - 1))
+def _compared(op: str, a: Words, b: Words, signed: bool) -> Words:
+    high = (lambda x: x[0].view(np.int64)) if signed else (lambda x: x[0])
+    same = (a[0] == b[0]) & (a[1] == b[1])
+    less = (high(a) < high(b)) | ((a[0] == b[0]) & (a[1] < b[1]))
+    test = {"Eq": same, "Ne": ~same, "Lt": less, "Le": less | same, "Gt": ~(less | same), "Ge": ~less}[op]
+    return np.zeros_like(a[0]), test.astype(_u)
 
 
-def _ordered(a: Column, signed: bool) -> Column:
-    """An array in whose order the values are."""
-    top = F.get(a, F.lit(LIMBS - 1))
-    first = top.bitwiseXOR(_long(1 << (WIDTH - 1))) if signed else top
-    return F.concat(F.array(first), F.reverse(F.slice(a, 1, LIMBS - 1)))
+def _computed(op: str, bits: int, signed: bool, a: Words, b: Words | None) -> Words:
+    if op in COMPARISONS:
+        return _compared(op, a, b, signed)
+    if op in ("Div", "Rem"):
+        out = _quotient(op, a, b, signed)
+    elif op in ("Shl", "Shr"):
+        out = _moved(a, b[1] % _u(bits), op == "Shl", signed)
+    elif op in ("BitXor", "BitAnd", "BitOr"):
+        word = {"BitXor": np.bitwise_xor, "BitAnd": np.bitwise_and, "BitOr": np.bitwise_or}[op]
+        out = word(a[0], b[0]), word(a[1], b[1])
+    else:
+        out = {"Add": _add, "Sub": _sub, "Mul": _mul}[op](a, b) if b is not None else {"Not": _not, "Neg": _neg}.get(op, lambda x: x)(a)
+    return _fitted(out, bits, signed)
+
+
+def _on_batches(op: str, bits: int, signed: bool, *values: Column) -> Column:
+    def run(*columns: pa.Array) -> pa.Array:
+        words = [pc.struct_field(c, part) for c in columns for part in ("hi", "lo")]
+        missing = np.logical_or.reduce([w.is_null().to_numpy(zero_copy_only=False) for w in words])
+        plain = [pc.fill_null(w, 0).to_numpy(zero_copy_only=False).view(_u) for w in words]
+        if op in ("Div", "Rem"):
+            missing = missing | ((plain[2] | plain[3]) == 0)
+        with np.errstate(over="ignore"):
+            out = _computed(op, bits, signed, (plain[0], plain[1]), (plain[2], plain[3]) if len(plain) > 2 else None)
+        parts = [pa.array(w.astype(_u, copy=False).view(np.int64)) for w in out]
+        return pa.StructArray.from_arrays(parts, ["hi", "lo"], mask=pa.array(missing))
+
+    one = lambda x: run(x)
+    two = lambda x, y: run(x, y)
+    return F.arrow_udf(one if len(values) == 1 else two, "hi long, lo long")(*values)
 
 
 def of_long(x: Column) -> Column:
@@ -114,47 +144,19 @@ def of_long(x: Column) -> Column:
     return F.struct(F.shiftright(x.cast("long"), 63).alias("hi"), x.cast("long").alias("lo"))
 
 
-def _result(limbs: Column, bits: int, signed: bool) -> Column:
-    return _let(_whole, _let(lambda a: _fitted(a, bits, signed), limbs))
-
-
 def wrap_wide(x: Column, bits: int, signed: bool = True) -> Column:
     """A value converted to a type of 8 to 128 bits: its low bits, extended."""
-    return F.when(x.isNotNull(), _result(_split(x), bits, signed))
+    return _on_batches("Wrap", bits, signed, x)
 
 
 def wide_unary(op: str, x: Column, bits: int, signed: bool = True) -> Column:
     """Not (of all bits) or Neg of a value, wrapped to its type; null of null."""
-    out = _neg(_split(x)) if op == "Neg" else F.transform(_split(x), lambda n: MASK - n)
-    return F.when(x.isNotNull(), _result(out, bits, signed))
+    return _on_batches(op, bits, signed, x)
 
 
 def wide_arithmetic(op: str, x: Column, y: Column, bits: int, signed: bool = True) -> Column:
     """A BINARY operation on two values of one type of 8 to 128 bits, wrapped to it; null where an operand is null or the divisor 0.
 
     Quotients go towards 0 and remainders have the dividend's sign; shifts take the low bits of the amount, modulo the width, and shift in the
-    sign; comparisons give 0 or 1. A quotient takes a step for each bit, all others one for each limb."""
-
-    def quotient(a: Column, b: Column) -> Column:
-        minus = (_negative(a) != _negative(b)) if op == "Div" else _negative(a)
-        both = _let(lambda p, q: _divided(p, q, bits), _magnitude(a, signed), _magnitude(b, signed))
-        part = both["q"] if op == "Div" else F.slice(both["r"], 1, LIMBS)
-        return _let(lambda n: F.when(minus, _neg(n)).otherwise(n), part) if signed else part
-
-    def moved(a: Column, b: Column) -> Column:
-        by = F.pmod(F.get(b, F.lit(0)), F.lit(bits))  # widths are powers of two, so the low limb tells
-        fill = F.when(_negative(a), _long(MASK)).otherwise(_long(0)) if signed else _long(0)
-        return _let(lambda n, f: _moved(a, n, op == "Shl", f), by, fill)
-
-    defined = x.isNotNull() & y.isNotNull()
-    if op in COMPARISONS:
-        test = {"Eq": lambda p, q: p == q, "Ne": lambda p, q: p != q, "Lt": lambda p, q: p < q, "Le": lambda p, q: p <= q, "Gt": lambda p, q: p > q, "Ge": lambda p, q: p >= q}[op]
-        ordered = lambda a, b: test(_ordered(a, signed), _ordered(b, signed)).cast("long")
-        return F.when(defined, of_long(_let(ordered, _split(x), _split(y))))
-    body = {
-        "Add": _add, "Sub": _sub, "Mul": _mul, "Div": quotient, "Rem": quotient, "Shl": moved, "Shr": moved, "BitXor": lambda a, b: F.zip_with(a, b, lambda m, n: m.bitwiseXOR(n)),
-        "BitAnd": lambda a, b: F.zip_with(a, b, lambda m, n: m.bitwiseAND(n)), "BitOr": lambda a, b: F.zip_with(a, b, lambda m, n: m.bitwiseOR(n)),
-    }[op]
-    if op in ("Div", "Rem"):
-        defined = defined & ((y["hi"] != 0) | (y["lo"] != 0))
-    return F.when(defined, _result(_let(body, _split(x), _split(y)), bits, signed))
+    sign; comparisons give 0 or 1."""
+    return _on_batches(op, bits, signed, x, y)

@@ -1,6 +1,7 @@
 """Arithmetic of 8 to 128 bits against Python's integers."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,18 @@ def test_conversions(spark):
     out = df.select("i", *[wide.wrap_wide(F.col("x"), b, s).alias(f"t{b}{s}") for b, s in types]).collect()
     assert all(unpack(row[f"t{b}{s}"], s) == wrapped(values[row["i"]], b, s) for row in out for b, s in types)
     assert unpack(spark.range(1).select(wide.of_long(F.lit(-5)).alias("x")).first()["x"]) == -5
+
+
+def test_a_quotient_takes_no_step_for_each_bit(spark):
+    """200,000 rows: a step of column expressions for each bit took minutes."""
+    rows = spark.range(200_000).select("id", wide.of_long(F.col("id") * 7919191919 - 10**14).alias("x"), wide.of_long(F.col("id") - 70001).alias("y"))
+    began = time.time()
+    out = rows.select("id", wide.wide_arithmetic("Div", F.col("x"), F.col("y"), 128)["lo"].alias("q"), wide.wide_arithmetic("Rem", F.col("x"), F.col("y"), 64)["lo"].alias("r"))
+    wrong = out.filter("id <> 70001").filter("q * (id - 70001) + r <> id * 7919191919 - 100000000000000 or abs(r) >= abs(id - 70001)")
+    assert wrong.count() == 0 and out.filter("q is null").count() == 1
+    assert time.time() - began < 20
+
+
+def test_half_a_value_is_none(spark):
+    df = spark.createDataFrame([((None, 1), (0, 1)), ((0, 1), (0, None)), ((0, 3), (0, 2))], "x struct<hi:long,lo:long>, y struct<hi:long,lo:long>").coalesce(1)
+    assert [unpack(r[0]) for r in df.select(wide.wide_arithmetic("Add", F.col("x"), F.col("y"), 32)).collect()] == [None, None, 5]
