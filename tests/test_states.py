@@ -297,3 +297,20 @@ def test_empty(spark, graphs):
     none = roots.limit(0), cells.limit(0)
     assert all(x.count() == 0 for x in chain(states.join_graphs(roots, cells, *none), states.simulation(roots, cells, *none)))
     assert [r["holds"] for r in states.simulation(*none, roots, cells)[0].collect()].count(True) == 0
+
+
+def test_whole_nodes_are_met_by_flat_tables(spark, monkeypatch):
+    """Where pointers lead to whole nodes nothing is looked up inside nodes, rounds carry no paths, and only what a step reads is joined."""
+    field = lambda n: [("field", n, None)]
+    ring = [row for i in range(5) for row in ((0, i, [], "struct", None, None, None), (0, i, field(0), "ptr", None, (i + 1) % 5, []), (0, i, field(1), "int", [i], None, None))]
+    cells = spark.createDataFrame(ring, states.CELLS)
+    roots = spark.createDataFrame([(0, 1, 0)], states.ROOTS)
+    compared = []
+    refuse = lambda *_: compared.append(1) or pytest.fail("looked up inside a node")
+    monkeypatch.setattr(states, "_parts", refuse)
+    assert states.join_graphs(roots, cells, roots, cells)[2].count() == 5
+    holds, pairs = states.simulation(roots, cells, roots, cells)
+    assert holds.collect() == [(0, True)] and pairs.count() == 5
+    monkeypatch.setattr(states, "fixpoint", refuse)
+    ways = spark.createDataFrame([(7, 1, [("field", 0), ("deref", None), ("field", 1)])], "id long, local long, steps array<struct<kind:string,num:long>>")
+    assert [(r["id"], r["node"], r["value"]) for r in states.single_values(states.navigate(roots, cells, ways)).collect()] == [(7, 1, 1)]
