@@ -16,9 +16,26 @@ from factloom.operators import facts, graph, lattice, layout, pointsto
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
+#: Bytes of compressed tables for each partition of a shuffle: rows grow to ten times that, or more, where they are sorted.
+DEALT = 4_000_000
+
+
+def deal(spark: SparkSession, paths: list[str]) -> None:
+    """Raise the number of shuffle partitions with the size of the tables, so that a task's rows do not grow with them; small shuffles are put together again by adaptive execution."""
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true":
+        return
+    size, hadoop = 0, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size += where.getFileSystem(hadoop).getContentSummary(where).getLength()
+    if size // DEALT > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(size // DEALT))
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL in which the driver tables are named plainly."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
+    deal(spark, [f"{sf_dir}/{t}.parquet" for t in used])
     for t in used:
         text = re.sub(rf"\b{t}\b", "{" + t + "}", text)
     return spark.sql(text, **used)

@@ -88,3 +88,17 @@ def test_simple_paths_of_any_length(spark):
     expected = sorted((p[0], p[-1], ">".join(map(str, p)), len(p) - 1) for v in sorted({v for e in edges for v in e}) for p in grown([v]))
     e = spark.createDataFrame(edges, "src long, dst long")
     assert max(p[3] for p in expected) > 4 and rows_of(graph.simple_paths(e, graph.vertices(e))) == expected
+
+
+def test_shuffles_grow_with_the_tables(spark, monkeypatch):
+    """A task's share of a larger table stays as it is: there are more partitions, never fewer than are set."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        registry.sql(spark, "/root/testdata/sf0.001", registry.E)
+        assert spark.conf.get(name) == before
+        monkeypatch.setattr(registry, "DEALT", 1000)
+        registry.sql(spark, "/root/testdata/sf0.001", registry.E)
+        assert int(spark.conf.get(name)) > int(before)
+    finally:
+        spark.conf.set(name, before)
