@@ -146,3 +146,19 @@ def test_bounded_sets(spark):
 
 def test_no_functions(spark):
     assert states(spark, {1: ({0: []}, [], [], 1)}) == {(1, 0, lattice.START, 1): None}
+
+
+def test_done_functions_are_laid_aside(spark):
+    """Functions that end in round 1 to 20: with `apart`, later rounds see only the rows of those that still change, and the result is the same."""
+    hops = spark.createDataFrame([(fn, k, k + 1) for fn in range(40) for k in range(20 if fn == 7 else fn % 3 + 1)], "fn long, at long, to long")
+    seed = spark.createDataFrame([(fn, 0, [fn]) for fn in range(40)], "fn long, at long, value array<long>")
+    seen = []
+
+    def step(changed, known, hops):
+        seen.append(known.select("fn").distinct().count())
+        return changed.join(hops, ["fn", "at"]).select("fn", F.col("to").alias("at"), "value")
+
+    rows = lambda df: sorted((r["fn"], r["at"], tuple(r["value"])) for r in df.select("fn", "at", "value").collect())
+    apart = rows(lattice.lattice_fixpoint(seed, step, facts=[hops], apart=["fn"]))
+    assert seen[0] == 40 and seen[-1] == 1
+    assert apart == sorted((fn, k, (fn,)) for fn in range(40) for k in range((20 if fn == 7 else fn % 3 + 1) + 1))
