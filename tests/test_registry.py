@@ -102,3 +102,19 @@ def test_shuffles_grow_with_the_tables(spark, monkeypatch):
         assert int(spark.conf.get(name)) > int(before)
     finally:
         spark.conf.set(name, before)
+
+
+def test_task_sizes_are_bounded(spark, tmp_path):
+    """What is put together for a task is bounded for the session, unless somebody has set it."""
+    from factloom.plans import registry
+
+    kept = {name: spark.conf.get(name) for name in registry.TOGETHER}
+    first, second = registry.TOGETHER
+    try:
+        spark.conf.unset(first)
+        spark.conf.set(second, "7000000b")
+        registry.deal(spark, [str(tmp_path)])
+        assert spark.conf.get(first) == f"{registry.TOGETHER[first]}b" and spark.conf.get(second) == "7000000b"
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
