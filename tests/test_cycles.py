@@ -64,6 +64,24 @@ def test_closure_of_a_large_component(spark):
     assert graph.transitive_closure(edges).count() == n * (n + 2) + 1
 
 
+def test_closure_is_dealt_to_tasks(spark, monkeypatch):
+    """A component of 150: its 22,500 pairs are made by many tasks, each a part of them, though its members are few."""
+    monkeypatch.setattr(graph, "CELL", 20, raising=False)
+    n = 150
+    edges = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst")).union(spark.createDataFrame([(3, 1000), (1000, 1001), (2000, 3), (5000, 5000)], "src long, dst long"))
+    made = graph.transitive_closure(edges).withColumn("task", F.spark_partition_id())
+    assert made.count() == made.select("src", "dst").distinct().count() == n * (n + 2) + 1 + (n + 2) + 1
+    by_task = [c for _, c in rows(made.groupBy("task").count())]
+    assert len(by_task) > 20 and max(by_task) < n * n // 4
+
+
+def test_nothing_to_trim(spark, writes):
+    """Edges that are all on cycles are not written again."""
+    edges = fixpoint.settle(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long"))
+    assert graph._trimmed(edges) is edges
+    assert rows(graph._trimmed(fixpoint.settle(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 1), (3, 4), (7, 8)], "src long, dst long")))) == [(1, 2), (2, 3), (3, 1)]
+
+
 NAMES = {"addr": "l long, o long", "copy": "r long, l long", "gep": "r long, l long, w long", "store": "v long, proj long, r long", "load": "l long, v long, proj long", "ends": "i long, e long"}
 
 
