@@ -235,9 +235,15 @@ def dominators(edges: DataFrame, entry: DataFrame) -> DataFrame:
 
     What lies on every path lies on the shortest one, so the candidates of v are the vertices above it in a search tree. A candidate goes when
     a predecessor of v has it as none, until all predecessors agree: rows grow with edges times depth, not with pairs of vertices."""
-    if entry.select("v").distinct().limit(2).count() != 1:
+    return _dominators(settle(edges.select("src", "dst").distinct()), entry)
+
+
+def _dominators(edges: DataFrame, entry: DataFrame) -> DataFrame:
+    """dominators() of edges that are settled."""
+    entry = settle(entry.select("v").distinct())
+    if entry.limit(2).count() != 1:
         raise ValueError("dominators need exactly one entry")
-    hop = settle(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")).distinct())
+    hop = edges.select(F.col("src").alias("v"), F.col("dst").alias("w"))
     tree = settle(_search_tree(hop, entry))
     candidates = settle(tree.select(F.explode("above").alias("d"), "v"))
     into = settle(hop.join(tree, "v", "left_semi").select(F.col("v").alias("p"), F.col("w").alias("v")))
@@ -249,13 +255,19 @@ def dominators(edges: DataFrame, entry: DataFrame) -> DataFrame:
 
 def back_edges(edges: DataFrame, entry: DataFrame) -> DataFrame:
     """Edges whose target dominates their source."""
-    return edges.join(dominators(edges, entry).toDF("dst", "src"), ["src", "dst"], "left_semi").distinct()
+    return _back_edges(settle(edges.distinct()), entry)
+
+
+def _back_edges(edges: DataFrame, entry: DataFrame) -> DataFrame:
+    """back_edges() of edges that are distinct and settled."""
+    return edges.join(_dominators(edges, entry).toDF("dst", "src"), ["src", "dst"], "left_semi")
 
 
 def loop_bodies(edges: DataFrame, entry: DataFrame) -> DataFrame:
     """head, v: the vertices of each natural loop, its head included: those that reach a back edge's source without passing the head."""
-    back = settle(back_edges(edges, entry).select(F.col("dst").alias("head"), F.col("src").alias("v")))
-    before = settle(edges.select(F.col("dst").alias("v"), F.col("src").alias("u")).distinct())
+    edges = settle(edges.select("src", "dst").distinct())
+    back = settle(_back_edges(edges, entry).select(F.col("dst").alias("head"), F.col("src").alias("v")))
+    before = edges.select(F.col("dst").alias("v"), F.col("src").alias("u"))
     found = fixpoint(back.union(back.select("head", F.col("head"))), lambda new: new.filter("v <> head").join(before, "v").select("head", F.col("u").alias("v")))
     return found
 

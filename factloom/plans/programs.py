@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import constraints, facts, graph, lattice, layout, pointsto
+from factloom.operators.fixpoint import settle
 
 from .registry import DOM, E, HELD, query, sql, with_e
 
@@ -124,7 +125,7 @@ def _allocations(spark, sf):
 
 @query("loop_bodies", with_e(E, f"{DOM}, back AS (SELECT e.src, e.dst FROM e JOIN dom ON dom.d = e.dst AND dom.v = e.src), lb(head, v) AS (SELECT head, v FROM (SELECT dst AS head, src AS v FROM back UNION SELECT dst, dst FROM back) x UNION SELECT lb.head, e.src FROM lb JOIN e ON e.dst = lb.v WHERE lb.v <> lb.head) SELECT head, v FROM lb"))
 def _loops(spark, sf):
-    e = sql(spark, sf, E)
+    e = settle(sql(spark, sf, E))  # read more than once
     return graph.loop_bodies(e, e.agg(F.min("src").alias("v")))
 
 

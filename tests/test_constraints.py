@@ -4,6 +4,7 @@ import pytest
 
 from factloom.operators import constraints as cs
 from factloom.operators import facts, graph, layout, pointsto
+from factloom.plans import programs, registry
 from factloom.sources import tables
 
 
@@ -143,6 +144,21 @@ def test_loops_and_liveness(spark):
         graph.dominators(edges, make([(0,), (1,)], "v long"))
 
 
+def test_loops_read_their_edges_once(spark, monkeypatch):
+    """The operator, and the query that finds the entry among the edges as well, compute the edges a single time."""
+    seen, made = spark.sparkContext.accumulator(0), [(0, 1), (1, 2), (2, 3), (3, 2), (3, 4), (4, 1), (1, 5)]
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(made, 2).map(counted), "src long, dst long")
+    expected = [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 3)]
+    assert rows(graph.loop_bodies(edges, spark.createDataFrame([(0,)], "v long"))) == expected and seen.value == len(made)
+    monkeypatch.setattr(programs, "sql", lambda *_: edges)
+    assert rows(registry.QUERIES["loop_bodies"](spark, "")) == expected and seen.value == 2 * len(made)
+
+
 def test_long_chain_and_components(spark):
     make = spark.createDataFrame
     chain = make([(i, i + 1) for i in range(12)] + [(20, 21), (21, 22), (22, 20), (22, 23), (23, 24), (24, 23), (3, 20)], "src long, dst long")
