@@ -126,3 +126,17 @@ def test_cycle_of_many_slots(spark, writes):
     out = pointsto.points_to(make("addr", [(1, 50)]), copy, make("gep", []), make("store", []), make("load", []), make("ends", [(50, 50)]))
     assert out.count() == n + 2 and out.select("loc").distinct().count() == n + 2
     assert writes[0] < 150
+
+
+def test_facts_of_a_component_are_dealt_to_tasks(spark, monkeypatch):
+    """A component of 120 with 90 facts and what hangs on it: each pair is made once, by many tasks, and no row of the result is shuffled."""
+    monkeypatch.setattr(graph, "CELL", 20)
+    n, m = 120, 90
+    edges = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst")).union(spark.createDataFrame([(3, 1000), (2000, 3), (3000, 3001)], "src long, dst long"))
+    facts = spark.range(m).select((F.col("id") % n).alias("v"), (F.col("id") + 500).alias("fact")).union(spark.createDataFrame([(1000, 7), (1000, 500), (4000, 8)], "v long, fact long"))
+    found = graph.reaching(edges, facts)
+    made = found.withColumn("task", F.spark_partition_id())
+    assert made.count() == made.select("v", "fact").distinct().count() == (n + 1) * (m + 1) + 2 + 1
+    assert {r["v"] for r in found.filter("fact = 7").collect()} == {*range(n), 1000, 2000} and rows(found.filter("v >= 3000")) == [(4000, 8)]
+    by_task = [c for _, c in rows(made.groupBy("task").count())]
+    assert len(by_task) > 10 and max(by_task) < n * m // 3
