@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import lattice
+from factloom.operators import fixpoint, lattice
 
 STMTS = "fn long, block long, stmt long, dst long, op string, x long, x_const long, y long, y_const long"
 REFINED = "fn long, src long, dst long, local long, keep long, drop array<long>"
@@ -162,3 +162,42 @@ def test_done_functions_are_laid_aside(spark):
     apart = rows(lattice.lattice_fixpoint(seed, step, facts=[hops], apart=["fn"]))
     assert seen[0] == 40 and seen[-1] == 1
     assert apart == sorted((fn, k, (fn,)) for fn in range(40) for k in range((20 if fn == 7 else fn % 3 + 1) + 1))
+
+
+def test_rounds_shuffle_only_what_a_step_gives(spark, monkeypatch):
+    """With `apart`, known rows and facts stay where they are: of a round's tables only the one that step() gives is dealt anew, once."""
+    plans, real = [], lattice.dealt
+
+    def spied(df, *columns):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *columns)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hops = real(spark.createDataFrame([(fn, k, k + 1, k % 2) for fn in range(9) for k in range(4)], "fn long, at long, to long, w long"), "fn")
+        seed = spark.createDataFrame([(fn, 0, [fn]) for fn in range(9)], "fn long, at long, value array<long>")
+        monkeypatch.setattr(lattice, "dealt", spied)
+        step = lambda changed, known, hops: changed.join(hops, ["fn", "at"]).join(known.select("fn", "at"), ["fn", "at"]).select("fn", F.col("to").alias("at"), "value")
+        out = lattice.lattice_fixpoint(seed, step, facts=[hops], apart=["fn"])
+        assert sorted((r["fn"], r["at"], *r["value"]) for r in out.collect()) == [(fn, k, fn) for fn in range(9) for k in range(5)]
+        rounds = [plan.count("Exchange hashpartitioning") for plan in plans[1:]]
+        assert len(rounds) >= 8 and max(rounds[::2]) <= 1 and set(rounds[1::2]) == {0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_packed_files_are_not_broadcast(spark, tmp_path):
+    """2 million rows in files of 3 MB are too many for the driver to gather."""
+    from factloom.plans import registry
+
+    held = {name: spark.conf.get(name, None) for name in [*registry.TOGETHER, "spark.sql.sources.fileCompressionFactor"]}
+    try:
+        spark.range(10).selectExpr("id AS r_regionkey").write.parquet(f"{tmp_path}/region.parquet")
+        registry.sql(spark, str(tmp_path), "SELECT r_regionkey FROM region")
+        rows = fixpoint.settle(spark.range(2_000_000).selectExpr("abs(hash(id)) % 100 AS k", "abs(hash(id, 1)) % 7 AS v"))
+        plan = spark.range(10_000_000).selectExpr("id % 50 AS k").join(rows, "k")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
