@@ -314,3 +314,25 @@ def test_whole_nodes_are_met_by_flat_tables(spark, monkeypatch):
     monkeypatch.setattr(states, "fixpoint", refuse)
     ways = spark.createDataFrame([(7, 1, [("field", 0), ("deref", None), ("field", 1)])], "id long, local long, steps array<struct<kind:string,num:long>>")
     assert [(r["id"], r["node"], r["value"]) for r in states.single_values(states.navigate(roots, cells, ways)).collect()] == [(7, 1, 1)]
+
+
+def test_rounds_stay_within_states(spark, monkeypatch):
+    """Pairs of a state lead to pairs of that state: rounds of a fixpoint dealt by states shuffle no table that is known."""
+    from factloom.operators import fixpoint
+
+    plans, real = [], fixpoint.dealt
+
+    def spied(df, *columns):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return real(df, *columns)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hops = real(spark.createDataFrame([(s, k, (k + 1) % 9) for s in range(5) for k in range(9)], "state long, node long, to long"), "state")
+        monkeypatch.setattr(fixpoint, "dealt", spied)
+        out = fixpoint.fixpoint(spark.createDataFrame([(s, s) for s in range(5)], "state long, node long"), lambda new: new.join(hops, ["state", "node"]).select("state", F.col("to").alias("node")), ["state"])
+        assert sorted(tuple(r) for r in out.collect()) == [(s, k) for s in range(5) for k in range(9)]
+        assert len(plans) > 8 and set(plans[1:8]) == {0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
